@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["paths"]
+MODULES = ["paths", "text"]
 
 
 def load_all() -> None:

@@ -133,6 +133,11 @@ FIXTURES = {
         SELECT doc_id, source || '/' || lang || '/' || CAST(doc_id AS STRING) || '.txt' AS path, text AS content,
                split_part(text, chr(10), 2) AS find, 'X: ' || split_part(text, chr(10), 2) || '!' AS replace
         FROM $documents""",
+    # replies with one EDIT block per document
+    "F_edit_replies": """
+        SELECT doc_id AS reply_id, '### EDIT: ' || path || chr(10) || '<<<<<<< FIND' || chr(10) || find || chr(10)
+               || '=======' || chr(10) || replace || chr(10) || '>>>>>>> REPLACE' || chr(10) AS reply
+        FROM $F_edits""",
     # log lines with file references
     "F_logs": """
         SELECT event_id AS query_id,
