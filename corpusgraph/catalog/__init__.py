@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["paths", "text"]
+MODULES = ["paths", "text", "extraction"]
 
 
 def load_all() -> None:

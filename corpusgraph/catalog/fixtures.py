@@ -176,21 +176,22 @@ FIXTURES = {
                || CASE WHEN s_suppkey % 4 = 0 THEN 'func broken()' || chr(10) ELSE '' END
                || 'func stop():' || chr(10) || '    var inner = 1' || chr(10) AS content
         FROM $supplier""",
-    # section text with quoting traps
+    # section text with quoting traps; a scene instances itself or one of another project
     "F_ini": """
         SELECT s_suppkey AS file_id, 'scenes/S' || CAST(s_suppkey AS STRING) || '.tscn' AS path,
                CASE WHEN s_suppkey % 10 = 3 THEN '' ELSE '[gd_scene load_steps=3 format=3]' || chr(10) END
-               || '[ext_resource type="PackedScene" path="res://scenes/S' || CAST(s_nationkey AS STRING) || '.tscn" id="1_p"]' || chr(10)
+               || '[ext_resource type="PackedScene" path="res://scenes/S' || n || '.tscn" id="1_p"]' || chr(10)
                || '[ext_resource type="Script" path="res://scripts/' || CASE WHEN s_suppkey % 3 = 0 THEN 'a]b'
                  ELSE 's' || CAST(s_suppkey AS STRING) END || '.gd" id="2_s"]' || chr(10)
-               || '[ext_resource type="Texture" path="res://art/' || CAST(s_nationkey AS STRING) || '.png" id="3_t"]' || chr(10)
+               || '[ext_resource type="Texture" path="res://art/' || n || '.png" id="3_t"]' || chr(10)
                || '; comment' || chr(10) || '[node name="Root" type="Node2D"]' || chr(10)
                || 'script = ExtResource("2_s")' || chr(10)
-               || '[node name="S' || CAST(s_nationkey AS STRING) || '" parent="." instance=ExtResource("1_p")]' || chr(10)
+               || '[node name="S' || n || '" parent="." instance=ExtResource("1_p")]' || chr(10)
                || CASE WHEN s_suppkey % 9 = 0 THEN '[connection signal="died" from="S1"]'
-                 ELSE '[connection signal="died" from="S' || CAST(s_nationkey AS STRING) || '" to="." method="_on"]' END || chr(10)
+                 ELSE '[connection signal="died" from="s' || n || '" to="." method="_on"]' END || chr(10)
                AS content
-        FROM $supplier""",
+        FROM (SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey ELSE s_nationkey END AS STRING) AS n
+              FROM $supplier) s""",
     # engine settings with an autoload section
     "F_settings": """
         SELECT s_suppkey AS file_id,

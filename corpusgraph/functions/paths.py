@@ -155,8 +155,8 @@ def resolve_page_link(page_path: Column, link: Column) -> Column:
     return F.when(~foreign, resolve_relative(page_path, clean))
 
 
-def candidate_paths(base: Column) -> Column:
-    """``array<struct(priority, candidate)>`` of files a specifier may mean."""
+def exact_or_typed(base: Column) -> Column:
+    """The path itself, and for a JavaScript extension its typed twins."""
     script = r"\.(js|mjs|cjs|jsx)$"
     typed = F.when(
         base.rlike(script),
@@ -164,11 +164,16 @@ def candidate_paths(base: Column) -> Column:
             strings(K.TYPED_TWINS), lambda e: F.concat(F.regexp_replace(base, script, ""), e)
         ),
     ).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array(base), typed)
+
+
+def candidate_paths(base: Column) -> Column:
+    """``array<struct(priority, candidate)>`` of files a specifier may mean."""
     probes = F.concat(
         F.transform(strings(K.PROBED_EXTENSIONS), lambda e: F.concat(base, e)),
         F.transform(strings(K.PROBED_EXTENSIONS), lambda e: F.concat(base, F.lit("/index"), e)),
     )
-    names = F.when(base.rlike(r"\.[A-Za-z0-9]+$"), F.concat(F.array(base), typed)).otherwise(probes)
+    names = F.when(base.rlike(r"\.[A-Za-z0-9]+$"), exact_or_typed(base)).otherwise(probes)
     return F.transform(names, lambda n, i: F.struct(i.alias("priority"), n.alias("candidate")))
 
 
