@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["paths", "text", "extraction"]
+MODULES = ["paths", "text", "extraction", "graphs"]
 
 
 def load_all() -> None:
