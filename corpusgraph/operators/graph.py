@@ -7,7 +7,7 @@ are pair tables, not arrays, so a hub with many neighbours stays distributed.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.plans.loops import RoundLimit, closure, cut, distinct_links, jump_to_end
+from corpusgraph.plans.loops import RoundLimit, closure, cut, cut_counting, distinct_links, jump_to_end
 
 
 def dependents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -96,19 +96,15 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return unreached.join(needs, "id", "left").select("id", reason.alias("reason"))
 
 
-def trim_acyclic(links: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """Drop links until every source has an incoming and every target an outgoing link."""
-    links = cut(links)
-    size = links.count()
-    for _ in range(max_rounds):
-        sources = links.select(F.col("src").alias("dst")).distinct()
-        targets = links.select(F.col("dst").alias("src")).distinct()
-        kept = cut(links.join(sources, "dst", "left_semi").join(targets, "src", "left_semi").select("src", "dst"))
-        left = kept.count()
-        if left == size:
-            return kept
-        links, size = kept, left
-    raise RoundLimit("trimming did not settle")
+def trim_ends(links: DataFrame, rounds: int = 2) -> DataFrame:
+    """Drop links from nodes without a way in and to nodes without a way out, a few times.
+
+    Leaves such as assets go at once; longer fringes are left to the label rounds.
+    """
+    for _ in range(rounds):
+        links = cut(links.join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(
+            links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+    return links
 
 
 def contract_chains(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,8 +115,9 @@ def contract_chains(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     outs = links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_out"), F.first("dst").alias("only"))
     ins = links.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_in"))
-    thin = cut(outs.join(ins, "id").filter("n_out = 1 AND n_in = 1 AND id <> only").select("id", "only"))
-    if thin.isEmpty():
+    thin, counts = cut_counting(
+        outs.join(ins, "id").filter("n_out = 1 AND n_in = 1 AND id <> only").select("id", "only"))
+    if not counts["rows"]:
         return links, thin.select("id", F.col("id").alias("stand_in"))
     thin_ids = thin.select(F.col("id").alias("only"), F.lit(True).alias("inner"))
     # Inside a run the pointer goes on; at its last node it leaves to a thick node.
@@ -143,64 +140,72 @@ def contract_chains(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 def cycle_groups(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """``(id, cycle)``: strongly connected groups of two or more nodes, and self-loops.
 
-    The acyclic fringe is trimmed, thin runs are contracted, then colours (smallest
-    reaching id) flow forward; nodes that flow back to their colour's origin form a
-    group and leave. The group is named by its smallest member.
+    Thin runs are contracted first. Then every node learns the smallest id that
+    reaches it and the smallest id it reaches; where both agree the node belongs to
+    that id's group. Links between nodes that differ in either label join no group
+    and are dropped, grouped nodes leave, and the rest goes another round. A group is
+    named by its smallest member.
     """
-    links = distinct_links(edges)
+    links = cut(distinct_links(edges))
     self_loops = links.filter("src = dst").select("src")
-    core = trim_acyclic(links.filter("src <> dst"))
-    if core.isEmpty():
-        return self_loops.select(F.col("src").alias("id"), F.col("src").alias("cycle"))
-    short, stand = contract_chains(core)
-    loops = short.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("cycle"))
-    found = cut(loops)
-    work = trim_acyclic(short.filter("src <> dst"))
-    rounds = 0
-    while not work.isEmpty():
-        rounds += 1
-        if rounds > max_rounds:
-            raise RoundLimit("cycle groups did not settle")
-        ids = work.select(F.col("src").alias("id")).unionByName(work.select(F.col("dst").alias("id"))).distinct()
-        colours = _smallest_reaching(ids, work, max_rounds)
-        same = work.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("cs")), "src").join(
-            colours.select(F.col("id").alias("dst"), F.col("colour").alias("cd")), "dst").filter("cs = cd")
-        back = same.select("cs", F.col("dst").alias("src"), F.col("src").alias("dst"))
-        origins = colours.filter("id = colour").select("id")
-        group = closure(origins, back.select("src", "dst")).select("id").join(colours, "id").select(
-            "id", F.col("colour").alias("cycle"))
-        group = cut(group)
-        found = found.unionByName(group)
-        gone = group.select("id")
-        rest = work.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(
-            gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
-        work = trim_acyclic(rest)
-    # Give the contracted nodes the group of their stand-in when they lie on a cycle of it.
-    members = found.unionByName(
-        stand.filter("id <> stand_in").join(found.select(F.col("id").alias("stand_in"), "cycle"), "stand_in").select("id", "cycle"))
-    members = members.dropDuplicates(["id"])
-    # A lone member is a cycle only through a contracted run or a self link.
-    sizes = members.groupBy("cycle").agg(F.count("*").alias("n"), F.min("id").alias("name"))
-    groups = members.join(sizes.filter("n > 1"), "cycle").select("id", F.col("name").alias("cycle"))
+    short, stand = contract_chains(trim_ends(links.filter("src <> dst")))
+    closed = cut(short.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("cycle")))
+    found = None
+    work, counts = cut_counting(short.filter("src <> dst"))
+    for _ in range(max_rounds):
+        if not counts["rows"]:
+            break
+        labels = _both_labels(work, max_rounds)
+        group = labels.filter("fore = back").select("id", F.col("fore").alias("cycle"))
+        found = group if found is None else found.unionByName(group)
+        loose = labels.filter("fore <> back")
+        same = work.join(loose.toDF("src", "f1", "b1"), "src").join(loose.toDF("dst", "f2", "b2"), "dst").filter(
+            "f1 = f2 AND b1 = b2").select("src", "dst")
+        work, counts = cut_counting(same)
+    else:
+        raise RoundLimit("cycle groups did not settle")
+    # One node alone is no cycle, unless it stands for a run that closed on itself.
+    if found is not None:
+        several = found.groupBy("cycle").agg(F.count("*").alias("n")).filter("n > 1").select("cycle")
+        closed = closed.unionByName(found.join(several, "cycle", "left_semi").select("id", "cycle"))
+    found = cut(closed)
+    # A contracted node belongs to the group of the node that stands in for it.
+    inner = stand.filter("id <> stand_in").join(
+        found.select(F.col("id").alias("stand_in"), "cycle").distinct(), "stand_in").select("id", "cycle")
+    members = cut(found.unionByName(inner).dropDuplicates(["id"]))
+    names = members.groupBy("cycle").agg(F.min("id").alias("name"))
+    groups = members.join(names, "cycle").select("id", F.col("name").alias("cycle"))
     lonely = self_loops.select(F.col("src").alias("id")).join(groups.select("id"), "id", "left_anti")
     return groups.unionByName(lonely.select("id", F.col("id").alias("cycle")))
 
 
-def _smallest_reaching(ids: DataFrame, links: DataFrame, max_rounds: int) -> DataFrame:
-    """``(id, colour)``: the smallest id among the node itself and all that reach it."""
-    state = cut(ids.select("id", F.col("id").alias("colour")))
-    changed = state
+def _both_labels(links: DataFrame, max_rounds: int) -> DataFrame:
+    """``(id, fore, back)``: smallest id that reaches a node, and smallest id it reaches.
+
+    Both directions run in the same rounds, and only nodes whose label just fell
+    offer it to their neighbours.
+    """
+    both = cut(links.select(F.lit(0).alias("way"), "src", "dst").unionByName(
+        links.select(F.lit(1).alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    ids = both.select("way", F.col("src").alias("id")).unionByName(both.select("way", F.col("dst").alias("id"))).distinct()
+    state = cut(ids.select("way", "id", F.col("id").alias("label")))
+    moved = state
     for _ in range(max_rounds):
-        offers = changed.select(F.col("id").alias("src"), "colour").join(links, "src").groupBy(
-            F.col("dst").alias("id")).agg(F.min("colour").alias("offer"))
-        new = cut(state.join(offers, "id", "left").select(
-            "id", F.least("colour", F.coalesce("offer", "colour")).alias("colour"),
-            (F.col("offer") < F.col("colour")).alias("moved")))
-        changed = new.filter("moved").select("id", "colour")
-        state = new.select("id", "colour")
-        if changed.isEmpty():
-            return state
-    raise RoundLimit("colours did not settle")
+        offers = moved.select("way", F.col("id").alias("src"), "label").join(both, ["way", "src"]).groupBy(
+            "way", F.col("dst").alias("id")).agg(F.min("label").alias("offer"))
+        fell = F.coalesce(F.col("offer") < F.col("label"), F.lit(False))
+        new, counts = cut_counting(state.join(offers, ["way", "id"], "left").select(
+            "way", "id", F.least("label", F.coalesce("offer", "label")).alias("label"), fell.alias("fell")),
+            fell=F.col("fell"))
+        state = new.select("way", "id", "label")
+        if not counts["fell"]:
+            break
+        moved = new.filter("fell").select("way", "id", "label")
+    else:
+        raise RoundLimit("labels did not settle")
+    return cut(state.groupBy("id").agg(
+        F.min(F.when(F.col("way") == 0, F.col("label"))).alias("fore"),
+        F.min(F.when(F.col("way") == 1, F.col("label"))).alias("back")))
 
 
 def layers(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
@@ -218,8 +223,8 @@ def layers(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> Dat
     placed = None
     for layer in range(max_rounds):
         ready = waiting.filter("open = 0").select("id", F.lit(layer).alias("layer"))
-        ready = cut(ready)
-        if ready.isEmpty():
+        ready, counts = cut_counting(ready)
+        if not counts["rows"]:
             break
         placed = ready if placed is None else placed.unionByName(ready)
         done = links.join(ready.select(F.col("id").alias("dst")), "dst").groupBy(F.col("src").alias("id")).agg(

@@ -1,8 +1,8 @@
 """Loops over DataFrames with lineage cut in reliable storage."""
 
-from collections.abc import Callable
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusgraph.session import checkpoint_folder
@@ -11,25 +11,30 @@ HOT_DEGREE = 1_000_000
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Write the frame to the checkpoint folder and continue from there."""
-    checkpoint_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Write the frame to a table in the checkpoint folder and read it back.
 
+    The new frame has no lineage and no inherited plan constraints, survives the loss
+    of executors, and its file sizes tell the planner which side is small.
+    """
+    spark = frame.sparkSession
+    place = f"{checkpoint_folder(spark).rstrip('/')}/corpusgraph/{uuid.uuid4().hex}"
+    frame.write.parquet(place)
+    return spark.read.schema(frame.schema).parquet(place)
 
-class RoundLimit(RuntimeError):
-    """A loop did not settle; a partial answer is never returned."""
+
+def cut_counting(frame: DataFrame, **conditions: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`cut`, and how many rows it wrote, in all and per condition.
+
+    The counts are observed while the rows are written, so they cost no extra job.
+    """
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("rows")] + [F.count_if(c).alias(n) for n, c in conditions.items()]
+    kept = cut(frame.observe(seen, *counts))
+    return kept, seen.get
 
 
-def repeat(state: DataFrame, step: Callable[[DataFrame, int], DataFrame],
-           settled: Callable[[DataFrame, DataFrame], bool], limit: int = 1000) -> DataFrame:
-    """Apply ``step`` until ``settled(old, new)``; the state is cut every round."""
-    state = cut(state)
-    for number in range(1, limit + 1):
-        new = cut(step(state, number))
-        if settled(state, new):
-            return new
-        state = new
-    raise RoundLimit(f"no fixed point after {limit} rounds")
+class RoundLimit(RuntimeError):
+    """A loop did not settle; a partial answer is never returned."""
 
 
 def distinct_links(edges: DataFrame) -> DataFrame:
@@ -46,8 +51,8 @@ def spread_hubs(links: DataFrame, limit: int = HOT_DEGREE) -> tuple[DataFrame, D
     """
     hubs = links.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(
         "src", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
-    hubs = cut(hubs)
-    if hubs.isEmpty():
+    hubs, counts = cut_counting(hubs)
+    if not counts["rows"]:
         return links.withColumn("part", F.lit(0)), None
     spread = links.join(hubs, "src", "left").withColumn(
         "part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.hash("dst"), F.col("parts")))).drop("parts")
@@ -82,8 +87,9 @@ def closure(seeds: DataFrame, edges: DataFrame, keys: list[str] | None = None,
     frontier = seen
     for number in range(1, max_rounds + 1):
         reached = expand(frontier.drop("hops"), links, hubs, keys).distinct()
-        fresh = cut(reached.join(seen, [*keys, "id"], "left_anti").withColumn("hops", F.lit(number)))
-        if fresh.isEmpty():
+        fresh, counts = cut_counting(
+            reached.join(seen, [*keys, "id"], "left_anti").withColumn("hops", F.lit(number)))
+        if not counts["rows"]:
             return seen
         seen = seen.unionByName(fresh)
         if number % 16 == 0:
@@ -103,21 +109,22 @@ def jump_to_end(parents: DataFrame) -> DataFrame:
     """
     if "ord" not in parents.columns:
         parents = parents.withColumn("ord", F.col("id"))
-    start = cut(parents.select(
+    start, counts = cut_counting(parents.select(
         "id", F.coalesce("parent", "id").alias("jump"), F.col("parent").isNotNull().cast("long").alias("steps"),
-        F.col("parent").isNotNull().alias("open"), F.col("ord").alias("low")))
+        F.col("parent").isNotNull().alias("open"), F.col("ord").alias("low")), open=F.col("open"))
     done, active = start.filter("NOT open"), start.filter("open")
-    count, covered, rounds = active.count(), 1, 0
+    count, covered, rounds = counts["open"], 1, 0
     while count:
         far = done.unionByName(active).select(
             F.col("id").alias("jump"), F.col("jump").alias("far"), F.col("steps").alias("more"),
             F.col("open").alias("far_open"), F.col("low").alias("far_low"))
-        new = cut(active.join(far, "jump", "left").select(
+        new, counts = cut_counting(active.join(far, "jump", "left").select(
             "id", F.coalesce("far", "jump").alias("jump"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-            F.coalesce("far_open", F.lit(False)).alias("open"), F.least("low", "far_low").alias("low")))
+            F.coalesce("far_open", F.lit(False)).alias("open"), F.least("low", "far_low").alias("low")),
+            open=F.col("open"))
         done = done.unionByName(new.filter("NOT open"))
         active = new.filter("open")
-        left = active.count()
+        left = counts["open"]
         covered *= 2
         rounds += 1
         # No chain ended and every cycle was walked round: only cycles are left.
@@ -137,14 +144,15 @@ def jump_to_end(parents: DataFrame) -> DataFrame:
 
 def ancestors(parents: DataFrame) -> DataFrame:
     """``(id, ancestor, hops)`` of acyclic ``(id, parent)`` chains in log2(depth) rounds."""
-    pairs = cut(parents.filter("parent IS NOT NULL").select(
+    pairs, counts = cut_counting(parents.filter("parent IS NOT NULL").select(
         "id", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("hops")))
-    reach, tip = 1, pairs
-    while not tip.isEmpty():
+    reach, tip, left = 1, pairs, counts["rows"]
+    while left:
         upper = pairs.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("far"), F.col("hops").alias("more"))
-        fresh = cut(tip.join(upper, "ancestor").select(
-            "id", F.col("far").alias("ancestor"), (F.col("hops") + F.col("more")).alias("hops")))
-        pairs = pairs.unionByName(fresh)
         reach *= 2
-        tip = fresh.filter(F.col("hops") == reach)
+        fresh, counts = cut_counting(tip.join(upper, "ancestor").select(
+            "id", F.col("far").alias("ancestor"), (F.col("hops") + F.col("more")).alias("hops")),
+            tip=F.col("hops") == reach)
+        pairs = pairs.unionByName(fresh)
+        tip, left = fresh.filter(F.col("hops") == reach), counts["tip"]
     return pairs
