@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["paths", "text", "extraction", "graphs"]
+MODULES = ["paths", "text", "extraction", "graphs", "contexts"]
 
 
 def load_all() -> None:

@@ -101,6 +101,13 @@ FIXTURES = {
                  ELSE CASE area WHEN 'low' THEN '' ELSE 'const speed_' || area END END AS export_sig,
                CASE area WHEN 'urgent' THEN 'died_' || lower(o_orderstatus) || '()' ELSE '' END AS signal_sig
         FROM $F_sources""",
+    # text of every source file; lengths differ
+    "F_bodies": """
+        SELECT project, path, file_no, 'import { start } from "./boot.js";' || chr(10)
+               || 'export function load_' || area || '(x, y) {' || chr(10) || '  return x + ' || CAST(file_no AS STRING) || ';' || chr(10)
+               || '}' || chr(10) || repeat('// note' || chr(10), CAST(file_no % 90 AS INT)) || 'export const speed = '
+               || CAST(project AS STRING) || ';' || repeat(chr(10) || '//', CAST(CASE WHEN file_no % 50 = 0 THEN 210 ELSE 0 END AS INT)) AS content
+        FROM $F_sources""",
     # one query per event: description and log
     "F_issues": """
         SELECT e.event_id AS query_id, e.user_id AS project,
