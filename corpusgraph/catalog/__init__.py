@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["paths", "text", "extraction", "graphs", "contexts"]
+MODULES = ["paths", "text", "extraction", "graphs", "contexts", "changes"]
 
 
 def load_all() -> None:
