@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["paths", "text", "extraction", "graphs", "contexts", "changes"]
+MODULES = ["paths", "text", "extraction", "graphs", "contexts", "changes", "scenes"]
 
 
 def load_all() -> None:
