@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["paths", "text", "extraction", "graphs", "contexts", "changes", "scenes"]
+MODULES = ["paths", "text", "extraction", "graphs", "contexts", "changes", "scenes", "streams"]
 
 
 def load_all() -> None:

@@ -15,6 +15,7 @@ def local_session(app: str = "corpusgraph", cpus: str = "*", partitions: int = 8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
