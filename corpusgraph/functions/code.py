@@ -92,8 +92,11 @@ def _import_names(clause: Column) -> Column:
 
 def imports(source: Column) -> Column:
     """``array<struct(specifier, names, dynamic)>``: static ones in order, then dynamic ones."""
-    code = blank(source, keep_strings=True)
+    return let(blank(source, keep_strings=True), imports_of)
 
+
+def imports_of(text: Column) -> Column:
+    """:func:`imports` of a source whose comments are blanked already."""
     def read(text: Column) -> Column:
         static = F.transform(
             F.arrays_zip(T.extract_all(text, _STATIC, 1).alias("c"), T.extract_all(text, _STATIC, 2).alias("s")),
@@ -107,7 +110,7 @@ def imports(source: Column) -> Column:
         )
         return F.concat(static, dynamic)
 
-    return let(code, read)
+    return read(text)
 
 
 # --- exports -----------------------------------------------------------------
@@ -178,7 +181,12 @@ def binding_key(entry: Column) -> Column:
 
 def exports(source: Column) -> Column:
     """``array<struct(kind, name, parameters, returns)>``; the first of each binding wins."""
-    statements = T.extract_all(blank(source, keep_strings=True), _EXPORT)
+    return let(blank(source, keep_strings=True), exports_of)
+
+
+def exports_of(text: Column) -> Column:
+    """:func:`exports` of a source whose comments are blanked already."""
+    statements = T.extract_all(text, _EXPORT)
 
     def first_only(entries: Column) -> Column:
         return let(

@@ -177,6 +177,31 @@ def candidate_paths(base: Column) -> Column:
     return F.transform(names, lambda n, i: F.struct(i.alias("priority"), n.alias("candidate")))
 
 
+def satisfied_bases(path: Column) -> Column:
+    """``array<struct(base, priority)>``: the specifier bases that an existing file answers.
+
+    The other side of :func:`candidate_paths`: a base asks for up to fourteen files,
+    but a file answers a handful of bases, and there are fewer files than references.
+    """
+    dotted = r"\.[A-Za-z0-9]+$"
+    suffix = F.regexp_extract(path, r"(\.[^./]+)$", 1)
+    root = F.substring(path, F.lit(1), F.length(path) - F.length(suffix))
+    probe = F.array_position(strings(K.PROBED_EXTENSIONS), suffix) - 1
+    twin = F.array_position(strings(K.TYPED_TWINS), suffix)
+
+    def pair(base: Column, priority: Column) -> Column:
+        return F.struct(base.alias("base"), priority.cast("int").alias("priority"))
+
+    own = F.array(pair(path, F.lit(0)))
+    scripts = F.when(twin > 0, F.transform(strings([".js", ".mjs", ".cjs", ".jsx"]), lambda e: pair(F.concat(root, e), twin)))
+    bare = F.when((probe >= 0) & ~root.rlike(dotted), F.array(pair(root, probe)))
+    home = parent_folder(path)
+    index = F.when((probe >= 0) & (base_name(root) == "index") & (home != "") & ~home.rlike(dotted),
+                   F.array(pair(home, probe + len(K.PROBED_EXTENSIONS))))
+    parts = F.filter(F.array(own, scripts, bare, index), lambda p: p.isNotNull())
+    return F.flatten(parts)
+
+
 def language(path: Column) -> Column:
     ext = extension(path)
     return (

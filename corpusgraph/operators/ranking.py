@@ -125,8 +125,11 @@ def targets(issues: DataFrame, ranked: DataFrame) -> DataFrame:
 def attachments(issues: DataFrame, ranked: DataFrame, limit: int = K.AUTO_ATTACH) -> DataFrame:
     """The first ranked files per query without its target and its requested files."""
     top = top_ranked(ranked, limit)
-    aim = targets(issues, ranked).select("query_id", F.col("target").alias("file"))
     asked = issues.select("query_id", F.explode(T.attachment_requests(F.concat_ws("\n", "logs", "issue"))).alias("file"))
+    if "target_file" not in issues.columns:
+        # Without a named target the best file is the target.
+        return top.filter("place > 1").join(asked.distinct(), ["query_id", "file"], "left_anti")
+    aim = targets(issues, ranked).select("query_id", F.col("target").alias("file"))
     return top.join(aim.unionByName(asked).distinct(), ["query_id", "file"], "left_anti")
 
 

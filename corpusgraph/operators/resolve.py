@@ -28,14 +28,16 @@ def candidates(imports: DataFrame) -> DataFrame:
 def resolve_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
     """``(project, path, specifier, n, target)``: the first candidate that exists.
 
-    ``known`` holds ``(project, path)`` of modules and existing assets. ``n`` counts
-    the equal import rows, so duplicates cost one candidate expansion only.
+    ``known`` holds ``(project, path)`` of modules and existing assets. Each of them is
+    listed under the few bases it answers, the best file per base is kept, and every
+    import meets at most one row. ``n`` counts the equal import rows.
     """
-    counted = imports.groupBy("project", "path", "specifier").agg(F.count("*").alias("n"))
-    tried = candidates(counted)
-    hit = tried.join(known.select("project", F.col("path").alias("candidate")).distinct(), ["project", "candidate"])
-    return hit.groupBy("project", "path", "specifier").agg(
-        F.first("n").alias("n"), F.min_by("candidate", "priority").alias("target"))
+    counted = imports.filter(~P.is_external_specifier(F.col("specifier"))).groupBy(
+        "project", "path", "specifier").agg(F.count("*").alias("n"))
+    based = counted.withColumn("base", P.resolve_relative(F.col("path"), F.col("specifier")))
+    answers = known.select("project", F.col("path").alias("target"), F.inline(P.satisfied_bases(F.col("path"))))
+    best = answers.groupBy("project", "base").agg(F.min_by("target", "priority").alias("target"))
+    return based.join(best, ["project", "base"]).select("project", "path", "specifier", "n", "target")
 
 
 def import_edges(resolved: DataFrame) -> DataFrame:
