@@ -8,6 +8,7 @@ what a row means (only assistants reply, only some assets exist).
 
 import re
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -288,6 +289,13 @@ def duck_text(sql: str) -> str:
     return ("WITH " + ", ".join(defs) + " " if defs else "") + body
 
 
+# Fixtures whose rows are costly to process.
+COSTLY = {
+    "F_files", "F_code", "F_scene", "F_edits", "F_edit_replies", "F_versions", "F_ini", "F_bodies", "F_assets",
+    "F_brief", "F_issues", "F_logs", "F_contracts",
+}
+
+
 class Inputs:
     """Fixture and table access for one session and one folder."""
 
@@ -302,7 +310,16 @@ class Inputs:
         return self.spark.sql(spark_text(text, self.folder))
 
     def __call__(self, fixture: str) -> DataFrame:
-        return self.sql(FIXTURES[fixture])
+        """A fixture; costly rows of a one-file test table are spread over the cores.
+
+        Such a file has one row group and so feeds one task. Tables on a cluster are
+        folders of many files: their scans are wide and are left alone.
+        """
+        frame = self.sql(FIXTURES[fixture])
+        tables = [n for n in _NAME.findall(FIXTURES[fixture]) if n in TABLES] or ["orders"]
+        if fixture in COSTLY and all(Path(f"{self.folder}/{n}.parquet").is_file() for n in tables):
+            return frame.repartition(self.spark.sparkContext.defaultParallelism)
+        return frame
 
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
