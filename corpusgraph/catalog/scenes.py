@@ -78,8 +78,7 @@ def _(t):
 
 @query("v2_document_shape", _WITH + " SELECT scene, path, message FROM shape UNION ALL SELECT scene, path, message FROM relation")
 def _(t):
-    docs = t("F_scene")
-    return V.shape_problems(docs).unionByName(V.relation_problems(docs))
+    return V.document_problems(t("F_scene"))
 
 
 @query("v3_field_bounds", _WITH + " SELECT scene, path, message FROM shape WHERE path LIKE 'lights%' OR path LIKE 'camera%' OR path LIKE '%position'")

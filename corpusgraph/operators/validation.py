@@ -37,9 +37,24 @@ def parent_problems(instances: DataFrame) -> DataFrame:
     return joined.select("id", problem.alias("problem")).filter("problem IS NOT NULL")
 
 
+def checked_documents(docs: DataFrame) -> DataFrame:
+    """``(scene, doc, problems)``, written once: the shape rules are the costly part."""
+    return cut(docs.select("scene", "doc", D.shape_problems(F.col("doc")).alias("problems")))
+
+
+def document_problems(docs: DataFrame) -> DataFrame:
+    """``(scene, path, message)`` of shape and, for documents of clean shape, relations."""
+    checked = checked_documents(docs)
+    return checked.select("scene", F.inline("problems")).unionByName(_relations(checked))
+
+
 def relation_problems(docs: DataFrame) -> DataFrame:
     """``(scene, path, message)`` between instances, for documents of clean shape only."""
-    clean = cut(scenes.read_status(docs).filter("status = 'ok'").select("scene", "doc"))
+    return _relations(checked_documents(docs))
+
+
+def _relations(checked: DataFrame) -> DataFrame:
+    clean = checked.filter("size(problems) = 0").select("scene", "doc")
     rows = cut(scenes.instances(clean))
     firsts = rows.groupBy("scene", "id").agg(F.min_by("parent", "pos").alias("parent"))
     key = lambda c: F.concat_ws("\u0001", F.col("scene").cast("string"), F.col(c))
@@ -61,8 +76,9 @@ def relation_problems(docs: DataFrame) -> DataFrame:
 
 def valid_documents(docs: DataFrame) -> DataFrame:
     """Documents with neither shape nor relation problems."""
-    good = scenes.read_status(docs).filter("status = 'ok'").select("scene", "doc")
-    return good.join(relation_problems(docs).select("scene").distinct(), "scene", "left_anti")
+    checked = checked_documents(docs)
+    good = checked.filter("size(problems) = 0").select("scene", "doc")
+    return good.join(_relations(checked).select("scene").distinct(), "scene", "left_anti")
 
 
 # --- parameters --------------------------------------------------------------

@@ -5,17 +5,18 @@ from pyspark.sql import functions as F
 
 from corpusgraph import constants as K
 from corpusgraph.functions import documents as D
+from corpusgraph.functions.exprs import let
 
 
 def read_status(docs: DataFrame) -> DataFrame:
     """Add ``status``: missing, bad_json, bad_shape or ok, to ``(scene, doc)`` rows."""
-    problems = D.shape_problems(F.col("doc"))
-    status = (
+    # Bound once: the rules are the costly part of this expression.
+    status = let(D.shape_problems(F.col("doc")), lambda problems: (
         F.when(F.col("doc").isNull(), "missing")
         .when(problems.isNull(), "bad_json")
         .when(F.size(problems) > 0, "bad_shape")
         .otherwise("ok")
-    )
+    ))
     return docs.withColumn("status", status)
 
 

@@ -18,7 +18,7 @@ def revalidate(docs: DataFrame) -> DataFrame:
 
     def handle(batch: DataFrame, number: int) -> None:
         latest = batch.dropDuplicates(["scene"])
-        problems = validation.shape_problems(latest).unionByName(validation.relation_problems(latest))
+        problems = validation.document_problems(latest)
         problems.write.mode("overwrite").parquet(f"{place}/problems/batch={number}")
         latest.select("scene").write.mode("overwrite").parquet(f"{place}/checked/batch={number}")
 
