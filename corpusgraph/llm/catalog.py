@@ -1,9 +1,13 @@
 """One query per operator over its whole table, and DuckDB SQL where SQL can say it."""
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import caps, minhash, mixing
+from corpusgraph.llm import caps, minhash, mixing, tokenfile
+from corpusgraph.session import checkpoint_folder
 
 QUERIES = {}
 ORACLES = {}
@@ -99,3 +103,11 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sized UNION SELECT r.doc_id,
 least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN least USING (doc_id)
 """
+
+
+@query("op4_token_file")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{checkpoint_folder(spark).rstrip('/')}/corpusgraph/tokens-{uuid.uuid4().hex}"
+    tokenfile.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end=0)
+    return tokenfile.read_tokens(spark, path, digest=True).withColumnRenamed("id", "doc_id")
