@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from corpusgraph.plans.loops import RoundLimit, cut, cut_counting
 
+#: Leaf rows that one task's union-find holds at most when stars are contracted again.
+STARS_PER_TASK = 1_000_000
+
 
 class UnionFind:
     """Sets of nodes; the smallest node of a set is its root."""
@@ -55,33 +58,33 @@ def _with_least(pairs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """``(id, component)`` of every node in ``links (a, b)``; the component is its smallest node.
+    """``(id, component)`` of every node in ``links (a, b)`` but the smallest of each component, which names it.
 
-    Tasks first contract their own links to stars. Where stars still touch, the two
-    alternating star steps (every neighbour to the smallest one, first the larger
+    Tasks first contract their own links to stars, then as few tasks as can hold the
+    stars (``STARS_PER_TASK`` each) contract again. Where more than one task is needed, the
+    two alternating star steps (every neighbour to the smallest one, first the larger
     neighbours, then the smaller) follow until no centre is a leaf, about log(n)
     rounds. A hub's rows are joined with one smallest value, so a split join serves it.
-    Null ends are dropped; self links give a component of one.
+    Null ends are dropped; a node linked only with itself has no row.
     """
-    links = links.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
-    schema = f"u {links.schema['a'].dataType.simpleString()}, v {links.schema['b'].dataType.simpleString()}"
-    links = cut(links)
-    stars, counts = cut_counting(links.filter("a <> b").distinct().mapInArrow(_contract, schema))
-    for _ in range(max_rounds):
-        if not counts["rows"]:
-            break
+    links = links.select("a", "b").filter("a <> b")
+    kinds = [f.dataType.simpleString() for f in links.schema.fields]
+    schema = f"u {kinds[0]}, v {kinds[1]}"
+    stars, counts = cut_counting(links.mapInArrow(_contract, schema))
+    tasks = -(-counts["rows"] // STARS_PER_TASK)
+    if tasks:
+        stars, counts = cut_counting(stars.coalesce(tasks).mapInArrow(_contract, schema))
+    for _ in range(max_rounds if tasks > 1 else 0):
         leaves = stars.groupBy("u").agg(F.count("*").alias("n"))
         open_ends = stars.select(F.col("v").alias("u")).distinct().join(leaves, "u", "left_semi").select("u")
         if not open_ends.unionByName(leaves.filter("n > 1").select("u")).limit(1).count():
             break
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = cut(_with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        small = _with_least(large.filter("u <> v"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        stars, counts = cut_counting(small)
+        small = _with_least(large)
+        stars = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+            small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
     else:
-        raise RoundLimit(f"components still changing after {max_rounds} rounds")
-    nodes = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    return nodes.join(stars.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").withColumn(
-        "component", F.coalesce("component", "id"))
+        if tasks > 1:
+            raise RoundLimit(f"components still changing after {max_rounds} rounds")
+    return stars.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -190,7 +190,7 @@ def _links_across(shared: DataFrame, groups: DataFrame, sets: DataFrame, numerat
     families = components(members.select(F.col("digest").alias("a"), F.col("first").alias("b"))).withColumnsRenamed(
         {"id": "digest", "component": "family"})
     each = cut(members.groupBy("digest").agg(F.any_value("n").alias("n"), F.any_value("component").alias("component")).join(
-        families, "digest"))
+        families, "digest", "left").withColumn("family", F.coalesce("family", "digest")))
     blocks = each.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_SHINGLES).cast("int").alias("blocks"))
     placed = each.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -246,9 +246,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links = cut(likely.join(sets.withColumnsRenamed({"digest": "a", "members": "ma"}), "a").join(
         sets.withColumnsRenamed({"digest": "b", "members": "mb"}), "b").mapInArrow(
         _verifier(numerator, denominator), "a binary, b binary"))
-    groups = cut(components(links))
+    groups = components(links)
     links = links.unionByName(_links_across(shared, groups, sets, numerator, denominator))
-    groups = cut(components(links))
+    groups = components(links)
     keyed = signed.select("id", F.col("n").alias("n_shingles"), "digest").join(
         groups.withColumnRenamed("id", "digest"), "digest", "left").withColumn(
         "component_key", F.when(F.col("n_shingles") > 0, F.coalesce("component", "digest")))
