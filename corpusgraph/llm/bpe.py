@@ -19,15 +19,13 @@ BLOCK_ROWS = 10_000
 BLOCK_CHARACTERS = 24_000_000
 
 
+@lru_cache(maxsize=2)
 def read_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a ``.tiktoken`` file: base64 bytes and rank per line."""
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-_ranks = lru_cache(maxsize=2)(read_ranks)
-
-
 @lru_cache(maxsize=2)
 def merge_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     """The rank map of neighbouring pieces as two arrays of fixed size.
@@ -36,7 +34,7 @@ def merge_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     rank; other cells hold another a or -1. Rows are laid over one another, longest first, each
     at a seeded random shift at which its cells are free.
     """
-    ranks = read_ranks(path)
+    ranks = readread_ranks(path)
     rows: dict[int, list[tuple[int, int]]] = {}
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
@@ -104,7 +102,7 @@ def _blocks(path: str, pattern: str):
     split = regex.compile(pattern).findall
 
     def run(batches):
-        ranks = _ranks(path)
+        ranks = read_ranks(path)
         single = [ranks.get(bytes([b])) for b in range(256)]
 
         def listed(word: bytes) -> list[int]:
@@ -131,7 +129,7 @@ def _blocks(path: str, pattern: str):
 
 @lru_cache(maxsize=2)
 def _pieces(path: str) -> list:
-    ranks = _ranks(path)
+    ranks = read_ranks(path)
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece

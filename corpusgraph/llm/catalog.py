@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import caps, minhash, mixing, tokenfile
+from corpusgraph.llm import bpe, caps, minhash, mixing, tokenfile
 from corpusgraph.session import checkpoint_folder
 
 QUERIES = {}
@@ -111,3 +111,10 @@ def op4(spark, sf_dir):
     path = f"{checkpoint_folder(spark).rstrip('/')}/corpusgraph/tokens-{uuid.uuid4().hex}"
     tokenfile.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end=0)
     return tokenfile.read_tokens(spark, path, digest=True).withColumnRenamed("id", "doc_id")
+
+
+@query("op7_byte_bpe")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=True).select(
+        F.col("id").alias("doc_id"), "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
