@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import bpe, caps, minhash, mixing, tokenfile
+from corpusgraph.llm import bpe, caps, fingerprint, minhash, mixing, tokenfile
 from corpusgraph.session import checkpoint_folder
 
 QUERIES = {}
@@ -118,3 +118,9 @@ def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=True).select(
         F.col("id").alias("doc_id"), "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
+@query("op10_fingerprint")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprint.fingerprints(docs).withColumnRenamed("id", "doc_id")
