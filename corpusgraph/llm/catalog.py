@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import bpe, caps, fingerprint, minhash, mixing, tokenfile
+from corpusgraph.llm import bpe, caps, fingerprint, minhash, mixing, substrings, tokenfile
 from corpusgraph.session import checkpoint_folder
 
 QUERIES = {}
@@ -124,3 +124,9 @@ def op7(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fingerprint.fingerprints(docs).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_substring_dedup")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).withColumnRenamed("id", "doc_id")
