@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import bpe, caps, fingerprint, minhash, mixing, substrings, tokenfile
+from corpusgraph.llm import bpe, caps, fingerprint, minhash, mixing, sitetree, substrings, tokenfile
 from corpusgraph.session import checkpoint_folder
 
 QUERIES = {}
@@ -130,3 +130,8 @@ def op10(spark, sf_dir):
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs).withColumnRenamed("id", "doc_id")
+
+
+@query("op8_main_text")
+def op8(spark, sf_dir):
+    return sitetree.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumnRenamed("page", "page_id")
