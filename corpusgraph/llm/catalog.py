@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import bpe, caps, fingerprint, minhash, mixing, sitetree, substrings, tokenfile
+from corpusgraph.llm import bpe, caps, fingerprint, minhash, mixing, personal, sitetree, substrings, tokenfile
 from corpusgraph.session import checkpoint_folder
 
 QUERIES = {}
@@ -135,3 +135,8 @@ def op9(spark, sf_dir):
 @query("op8_main_text")
 def op8(spark, sf_dir):
     return sitetree.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumnRenamed("page", "page_id")
+
+
+@query("op5_personal_data")
+def op5(spark, sf_dir):
+    return personal.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
