@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import bpe, caps, fingerprint, minhash, mixing, personal, sitetree, substrings, tokenfile
+from corpusgraph.llm import bpe, caps, fingerprint, minhash, mixing, ordinal, personal, sitetree, substrings, tokenfile
 from corpusgraph.session import checkpoint_folder
 
 QUERIES = {}
@@ -140,3 +140,10 @@ def op8(spark, sf_dir):
 @query("op5_personal_data")
 def op5(spark, sf_dir):
     return personal.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return ordinal.grade(docs, ordinal.train(docs, labels)).withColumnRenamed("id", "doc_id")
