@@ -10,7 +10,7 @@ import regex
 from corpusgraph.llm.chunks import WordTable, gather
 
 #: Words and pieces that a worker remembers, and rows that it encodes at once.
-REMEMBERED = 4_000_000
+REMEMBERED = 1_000_000
 ROWS = 2048
 
 
