@@ -1,8 +1,8 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse word features."""
 
+import math
 import re
 from collections import Counter
-from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
@@ -16,37 +16,59 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that training takes at most (about), and word features.
 TRAINING_ROWS = 20_000
 FEATURES = 4096
-#: Labelled toxic documents that a word must be in before it can be a feature.
+#: Labelled documents that a feature must be in to be tested, the chance that any passes without cause, and lengths of word beginnings.
 LEAST_DOCUMENTS = 4
+BEGINNINGS = (4, 5, 6)
+CHANCE = 0.01
+
+
+def marks(word: str) -> list[str]:
+    """Features of a word: itself, and its first 4, 5 and 6 letters where more follow (``abcd*``)."""
+    return [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) > k)]
+
+
+def feature(count: int) -> float:
+    """1 for a feature that is there once, and more the more often."""
+    return 1 + math.log(count)
+
+
+class _Marked(dict):
+    """Numbers of a word's features that a model knows, remembered."""
+
+    def __init__(self, number: dict[str, int]):
+        super().__init__()
+        self.number = number
+
+    def __missing__(self, word):
+        if len(self) > 500_000:
+            self.clear()
+        known = self[word] = tuple(self.number[m] for m in marks(word) if m in self.number)
+        return known
 
 
-@dataclass
 class OrdinalModel:
-    """``P(grade >= k) = logistic(weights . x - borders[k - 1])``: one weight per word for all borders."""
+    """``P(grade >= k) = logistic(weights . x - borders[k - 1])``: one weight per feature for all borders."""
 
-    weights: dict[str, float]
-    borders: np.ndarray
+    def __init__(self, weights: dict[str, float], borders: np.ndarray):
+        kept = {w: v for w, v in weights.items() if v > 0}
+        self.weights, self.borders = np.array(list(kept.values())), borders
+        self._marked = _Marked({w: k for k, w in enumerate(kept)})
 
     def score(self, text: str) -> float:
-        words = _WORD.findall(text.lower())
-        hits = Counter(w for w in words if w in self.weights) if not self.weights.keys().isdisjoint(words) else {}
-        return sum(self.weights[w] * feature(c, len(words)) for w, c in hits.items())
+        hits = Counter(k for known in map(self._marked.__getitem__, _WORD.findall(text.lower())) if known for k in known)
+        return sum(float(self.weights[k]) * feature(c) for k, c in hits.items())
 
     def at_least(self, scores: np.ndarray) -> np.ndarray:
         """Row per score: the probabilities of grade 1 and above, 2 and above, and so on."""
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.borders[None, :], -40, 40)))
 
 
-def feature(count: int, words: int) -> float:
-    """1 for a word that is there, and more the more often per hundred words."""
-    return 1 + float(np.log1p(100 * count / max(1, words)))
-
-
 def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int, levels: int,
-                penalty: float = 0.5, rounds: int = 1500, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+                penalty: float = 0.05, rounds: int = 3000, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ``levels - 1`` rising borders by gradient steps (Adam) on the penalized cumulative-link likelihood.
 
-    ``rows, columns, values`` are the non-zero features. Borders stay in order because only
+    ``rows, columns, values`` are the non-zero features. Weights stay at 0 or above: features are
+    chosen as marks of higher grades, so none may excuse another. Borders stay in order because only
     their logarithmic gaps are free.
     """
     n = len(grades)
@@ -69,7 +91,7 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
         moments[0] = 0.9 * moments[0] + 0.1 * slope
         moments[1] = 0.999 * moments[1] + 0.001 * slope**2
         move = rate * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
-        weight, free = weight - move[:width], free - move[width:]
+        weight, free = np.maximum(weight - move[:width], 0), free - move[width:]
     return weight, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
 
 
@@ -77,21 +99,26 @@ def _counter(batches):
     for batch in batches:
         for low in range(0, batch.num_rows, 512):
             part = batch.slice(low, 512)
-            counted = [Counter(_WORD.findall(x.lower())) for x in part.column("text").to_pylist()]
+            counted = []
+            for text in part.column("text").to_pylist():
+                own = Counter()
+                for word, n in Counter(_WORD.findall(text.lower())).items():
+                    for mark in marks(word):
+                        own[mark] += n
+                counted.append(own)
             yield pa.RecordBatch.from_arrays([
-                part.column("key"), part.column("toxic"), pa.array([sum(c.values()) for c in counted], pa.int64()),
-                pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int64()))],
-                ["key", "toxic", "n", "words", "counts"])
+                part.column("key"), part.column("toxic"), pa.array([list(c) for c in counted], pa.list_(pa.string())),
+                pa.array([list(c.values()) for c in counted], pa.list_(pa.int64()))], ["key", "toxic", "words", "counts"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
           training_rows: int = TRAINING_ROWS) -> OrdinalModel:
     """Fit on the labelled documents, or a seeded share of them that leaves about ``training_rows``.
 
-    Features are the words that toxic documents hold significantly more often (log odds, with
-    a level at which half a word would pass by chance), at most ``FEATURES``. The labels only
-    say toxic or not; the grade of a toxic row is 2 if these words make up at least the median
-    share among toxic rows that have any, else 1. So there are two ordered borders.
+    Features are the words and word beginnings that toxic documents hold significantly more often (log-likelihood
+    ratio, at a level set for the number of words tested), at most ``FEATURES``. The labels only
+    say toxic or not; the grade of a toxic row is 2 if it holds such features at least as often as the
+    median of the toxic rows that have any, else 1. So there are two ordered borders.
 
     Rows with a null id, null label or null text do not train; a repeated label row counts
     once. Without toxic and clean rows the model has no words and says 0 for all.
@@ -104,28 +131,31 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         F.broadcast(picked), "key")  # about training_rows rows of two numbers
     kind = rows.schema["key"].dataType.simpleString()
     counted = cut(rows.select("key", "toxic", "text").mapInArrow(
-        _counter, f"key {kind}, toxic int, n bigint, words array<string>, counts array<bigint>"))
+        _counter, f"key {kind}, toxic int, words array<string>, counts array<bigint>"))
     totals = counted.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("clean")).first()
     a_all, b_all = totals["toxic"], totals["clean"]
     if not a_all or not b_all:
         return OrdinalModel({}, np.array([20.0, 21.0]))
     tested = cut(counted.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
-        F.count_if(F.col("toxic") > 0).alias("a"), F.count_if(F.col("toxic") <= 0).alias("b")).filter(F.col("a") >= LEAST_DOCUMENTS))
-    level = NormalDist().inv_cdf(1 - 0.5 / max(2, tested.count()))
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    z = (F.log(a / (a_all + 1 - a)) - F.log(b / (b_all + 1 - b))) / F.sqrt(1 / a + 1 / b)
+        F.count_if(F.col("toxic") > 0).alias("a"), F.count_if(F.col("toxic") <= 0).alias("b")).filter(
+        F.col("a") + F.col("b") >= LEAST_DOCUMENTS))
+    level = NormalDist().inv_cdf(1 - CHANCE / max(2, tested.count()))
+    held = F.col("a") + F.col("b")
+    of_toxic, of_clean = held * a_all / (a_all + b_all), held * b_all / (a_all + b_all)
+    ratio = 2 * (F.col("a") * F.log(F.greatest("a", F.lit(1)) / of_toxic) + F.col("b") * F.log(F.greatest("b", F.lit(1)) / of_clean))
+    z = F.when(F.col("a") > of_toxic, F.sqrt(F.greatest(ratio, F.lit(0.0)))).otherwise(0.0)
     chosen = [r["word"] for r in tested.withColumn("z", z).filter(F.col("z") > level).orderBy(F.desc("z"), "word").limit(FEATURES).collect()]
     if not chosen:
         return OrdinalModel({}, np.array([20.0, 21.0]))
     number = {w: k for k, w in enumerate(chosen)}
     terms = F.arrays_zip("words", "counts")
-    kept = counted.select("toxic", "n", F.filter(terms, lambda t: t["words"].isin(chosen)).alias("hits")).collect()
+    kept = counted.select("toxic", F.filter(terms, lambda t: t["words"].isin(chosen)).alias("hits")).collect()
     order = np.array([r["toxic"] > 0 for r in kept])
-    density = np.array([sum(h["counts"] for h in r["hits"]) / max(1, r["n"]) for r in kept])
-    marked = density[order & (density > 0)]
+    total = np.array([sum(h["counts"] for h in r["hits"]) for r in kept])
+    marked = total[order & (total > 0)]
     middle = float(np.median(marked)) if len(marked) else 1.0
-    grades = order.astype(np.int64) + (order & (density > 0) & (density >= middle))
-    where = [(i, number[h["words"]], feature(h["counts"], r["n"])) for i, r in enumerate(kept) for h in r["hits"]]
+    grades = order.astype(np.int64) + (order & (total > 0) & (total >= middle))
+    where = [(i, number[h["words"]], feature(h["counts"])) for i, r in enumerate(kept) for h in r["hits"]]
     rows_, columns, values = (np.array(x) for x in zip(*where))
     weight, borders = fit_ordinal(rows_.astype(np.int64), columns.astype(np.int64), values, grades, len(chosen), 3)
     return OrdinalModel(dict(zip(chosen, weight.tolist())), borders)
