@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from corpusgraph.llm.chunks import WordTable, gather
 
 #: Rows, and characters of text, whose distinct words are folded together.
-BLOCK_ROWS = 10_000
-BLOCK_CHARACTERS = 24_000_000
+BLOCK_ROWS = 4096
+BLOCK_CHARACTERS = 10_000_000
 
 
 @lru_cache(maxsize=2)
@@ -185,6 +185,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_column: str
     kind = rows.schema["id"].dataType.simpleString()
     shift, cells = rank_literal(ranks_path)
     blocks = rows.mapInArrow(_blocks(ranks_path, pattern), f"words array<array<bigint>>, ids array<{kind}>, docs array<binary>")
-    coded = blocks.select("ids", "docs", F.transform("words", lambda w: fold_word(w, shift, cells)).alias("coded"))
+    # one lambda variable holds the two literals, so that the plan holds them once and not at every look-up
+    coded = blocks.select("ids", "docs", F.get(F.transform(F.array(F.struct(shift.alias("shift"), cells.alias("cells"))), lambda table: F.transform(
+        "words", lambda w: fold_word(w, table["shift"], table["cells"]))), F.lit(0)).alias("coded"))
     out = "string" if digest else "binary"
     return coded.mapInArrow(_assemble(ranks_path, digest), f"id {kind}, n_tokens bigint, ids {out}, decoded {out}")

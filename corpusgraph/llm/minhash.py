@@ -203,8 +203,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
                     threshold: tuple[int, int] = (85, 100), slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
     """Group documents whose word shingles overlap by at least ``threshold``.
 
-    Returns one row per row of ``docs``: ``id, n_shingles, class_id, component_key,
-    component_id, kept``. Links: ``100 * intersection >= 85 * union`` of the full sets.
+    Returns one row per row of ``docs``: ``id, tkey, n_shingles, class_id, component_key,
+    component_id, kept``; ``tkey`` is the MD5 of the text. Links: ``100 * intersection >= 85 * union`` of the full sets.
 
     1. SuperMinHash signature, band keys and a digest of the set, in one pass over the texts.
     2. Equal sets become one class, so copies cost nothing afterwards.
@@ -249,11 +249,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     groups = components(links)
     links = links.unionByName(_links_across(shared, groups, sets, numerator, denominator))
     groups = components(links)
-    keyed = signed.select("id", F.col("n").alias("n_shingles"), "digest").join(
+    keyed = signed.select("id", "tkey", F.col("n").alias("n_shingles"), "digest").join(
         groups.withColumnRenamed("id", "digest"), "digest", "left").withColumn(
         "component_key", F.when(F.col("n_shingles") > 0, F.coalesce("component", "digest")))
     least = keyed.filter("component_key IS NOT NULL").groupBy("component_key").agg(F.min("id").alias("least"))
     return keyed.join(least, "component_key", "left").select(
-        "id", "n_shingles", F.col("digest").alias("class_id"), "component_key",
+        "id", "tkey", "n_shingles", F.col("digest").alias("class_id"), "component_key",
         F.when(F.col("component_key").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")).withColumn(
         "kept", F.col("id").eqNullSafe(F.col("component_id")))
