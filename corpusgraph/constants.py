@@ -77,7 +77,6 @@ MAX_FULL_FILE_CHARS = 400_000
 MAX_WHOLE_FILE_LINES = 200
 SLICE_CONTEXT_LINES = 5
 OUTLINE_FALLBACK_LINES = 40
-MAX_DIFF_LINES = 4000
 DIFF_CONTEXT_LINES = 2
 HISTORY_LIMIT = 20
 RECENT_LIMIT = 5

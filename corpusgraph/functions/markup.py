@@ -3,8 +3,6 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_URL_CHARS = 512
-
 
 def without_comments(html: Column) -> Column:
     return F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
@@ -13,7 +11,7 @@ def without_comments(html: Column) -> Column:
 def tag_attribute(html: Column, tag: str, attribute: str) -> Column:
     """Values of one attribute of every ``tag``, in order.
 
-    Quoted in either way or bare; a bare value counts up to 512 characters.
+    Quoted in either way or bare, of any length.
     """
     head = rf"(?is)<{tag}(?![A-Za-z0-9_])[^>]*>"
     tags = F.regexp_extract_all(without_comments(html), F.lit(head), F.lit(0))
@@ -28,7 +26,7 @@ def tag_attribute(html: Column, tag: str, attribute: str) -> Column:
         return (
             F.when(~text.rlike(value), F.lit(None))
             .when(bare == "", quoted)
-            .when(F.length(bare) <= MAX_URL_CHARS, bare)
+            .otherwise(bare)
         )
 
     return F.filter(F.transform(tags, read), lambda v: v.isNotNull())

@@ -13,22 +13,38 @@ _OP = "struct<type:string,line:string,before_line:int,after_line:int>"
 
 
 def _walk(before: list, after: list) -> list[tuple]:
-    """Operations of the longest common subsequence walk; a tie deletes first."""
+    """Operations of the longest common subsequence walk; a tie deletes first.
+
+    Memory grows with sqrt(n) * m, so files of any length have a diff.
+    """
     ids: dict = {}
     a = np.array([ids.setdefault(x, len(ids)) for x in before], dtype=np.int64)
     b = np.array([ids.setdefault(x, len(ids)) for x in after], dtype=np.int64)
     n, m = len(a), len(b)
-    best = np.zeros((n + 1, m + 1), dtype=np.uint16)
-    for i in range(n - 1, -1, -1):
-        below = best[i + 1]
+    stripe = max(1, int(np.sqrt(n)))
+
+    def above(i: int, below: np.ndarray) -> np.ndarray:
         step = np.maximum(below[:-1], np.where(b == a[i], below[1:] + 1, 0))
-        best[i, :-1] = np.maximum.accumulate(step[::-1])[::-1]
-    ops, i, j = [], 0, 0
+        return np.append(np.maximum.accumulate(step[::-1])[::-1], 0)
+
+    # Row i of the table holds the common length of before[i:] and every after[j:]. Only every
+    # stripe-th row is kept; the walk makes the rows of one stripe again when it enters it.
+    row, kept = np.zeros(m + 1, dtype=np.int64), {}
+    for i in range(n, -1, -1):
+        row = row if i == n else above(i, row)
+        if i % stripe == 0 or i == n:
+            kept[i] = row
+    ops, i, j, best = [], 0, 0, {}
     while i < n and j < m:
+        if i not in best or i + 1 not in best:
+            last = min(n, (i // stripe + 1) * stripe)
+            best = {last: kept[last]}
+            for k in range(last - 1, i - 1, -1):
+                best[k] = above(k, best[k + 1])
         if a[i] == b[j]:
             ops.append(("context", before[i], i + 1, j + 1))
             i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
+        elif best[i + 1][j] >= best[i][j + 1]:
             ops.append(("delete", before[i], i + 1, None))
             i += 1
         else:
@@ -62,11 +78,15 @@ def diff_operations(before: Column, after: Column):
     return walk, let(lines, cut)
 
 
-def line_diff(versions: DataFrame, limit: int = K.MAX_DIFF_LINES) -> DataFrame:
-    """Add ``refused`` and ``ops`` to version pairs; files over the limit are refused."""
+def line_diff(versions: DataFrame, limit: int | None = None) -> DataFrame:
+    """Add ``refused`` and ``ops`` to version pairs.
+
+    Files of any length are compared; a caller who sets ``limit`` refuses longer ones.
+    """
     walk, cut = diff_operations(F.col("before"), F.col("after"))
     rows = versions.withColumn("_c", cut)
-    rows = rows.withColumn("refused", F.greatest(F.size("_c.b"), F.size("_c.a")) > limit)
+    longest = F.greatest(F.size("_c.b"), F.size("_c.a"))
+    rows = rows.withColumn("refused", F.lit(False) if limit is None else longest > limit)
     empty = F.array().cast("array<string>")
     tail = lambda side: F.when(F.col("refused"), empty).otherwise(F.slice(f"_c.{side}", F.col("_c.head") + 1, F.size(f"_c.{side}")))
     rows = rows.withColumn("_t", walk(tail("b"), tail("a")))

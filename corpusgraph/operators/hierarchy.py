@@ -67,9 +67,12 @@ def flatten(tree: DataFrame, width: int = 12) -> DataFrame:
     """``(id, depth, order_key)``: sorting by the key gives pre-order.
 
     The key joins the document positions from the root down; roots that opened a
-    cycle come after the true roots, as they are found last.
+    cycle come after the true roots, as they are found last. A position of more than
+    ``width`` digits is written whole behind its length, which sorts after shorter ones.
     """
-    place = tree.select("id", F.lpad(F.col("ord").cast("string"), width, "0").alias("place"))
+    digits = F.col("ord").cast("string")
+    longer = F.concat(F.lit("x"), F.lpad(F.length(digits).cast("string"), 3, "0"), digits)
+    place = tree.select("id", F.when(F.length(digits) > width, longer).otherwise(F.lpad(digits, width, "0")).alias("place"))
     upper = ancestors(tree.select("id", "parent")).join(place.withColumnRenamed("id", "ancestor"), "ancestor")
     path = upper.groupBy("id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("hops", "place")), asc=False), lambda a: a["place"]).alias("above"))

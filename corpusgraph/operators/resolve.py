@@ -106,7 +106,7 @@ def resolve_slots(assets: DataFrame) -> DataFrame:
     """
     path = F.col("path")
     default = F.struct(
-        S.slot_stem(path).alias("slot"), F.substring(P.extension(path), 2, 32).alias("format"),
+        S.slot_stem(path).alias("slot"), F.regexp_replace(P.extension(path), r"^\.", "").alias("format"),
         F.lit(None).cast("array<string>").alias("animations"), F.lit(None).cast("string").alias("dimensions"),
         F.lit(None).cast("boolean").alias("rigged"), F.lit(None).cast("double").alias("max_size_kb"))
     source = (

@@ -7,8 +7,18 @@ from corpusgraph.operators import validation
 from corpusgraph.streaming.feeds import run_batches, work_folder
 
 
-def revalidate(docs: DataFrame) -> DataFrame:
-    """Problems of changed documents, from a stream of ``(scene, doc)``.
+def last_version(batch: DataFrame, key: str, value: str, version: str | None) -> DataFrame:
+    """``(key, value)`` once per key: the row of the highest ``version``.
+
+    Without a version column a batch has no order, and the greatest value stands; so
+    a batch that is run again gives the same rows either way.
+    """
+    order = F.col(value) if version is None else F.struct(version, value)
+    return batch.groupBy(key).agg(F.max_by(value, order).alias(value))
+
+
+def revalidate(docs: DataFrame, version: str | None = None) -> DataFrame:
+    """Problems of changed documents, from a stream of ``(scene, doc)`` and perhaps a version column.
 
     A reader takes, per scene, the problems of its last batch; scenes that became
     clean appear in the ``checked`` part of that batch without a problem.
@@ -17,7 +27,7 @@ def revalidate(docs: DataFrame) -> DataFrame:
     place = work_folder(spark, "revalidate")
 
     def handle(batch: DataFrame, number: int) -> None:
-        latest = batch.dropDuplicates(["scene"])
+        latest = last_version(batch, "scene", "doc", version)
         problems = validation.document_problems(latest)
         problems.write.mode("overwrite").parquet(f"{place}/problems/batch={number}")
         latest.select("scene").write.mode("overwrite").parquet(f"{place}/checked/batch={number}")
@@ -29,8 +39,8 @@ def revalidate(docs: DataFrame) -> DataFrame:
     return problems.join(last, ["scene", "batch"], "left_semi").select("scene", "path", "message")
 
 
-def refresh_edges(edges: DataFrame, changes: DataFrame, extract) -> DataFrame:
-    """Edge table after a stream of changed files ``(path, content)``.
+def refresh_edges(edges: DataFrame, changes: DataFrame, extract, version: str | None = None) -> DataFrame:
+    """Edge table after a stream of changed files ``(path, content)`` and perhaps a version column.
 
     Each batch drops the edges of its files and adds those that ``extract(files)``
     finds now. Every batch writes a new version, so a repeated batch does no harm.
@@ -42,7 +52,7 @@ def refresh_edges(edges: DataFrame, changes: DataFrame, extract) -> DataFrame:
 
     def handle(batch: DataFrame, number: int) -> None:
         old = spark.read.schema(edges.schema).parquet(f"{place}/v{number - 1}")
-        files = batch.dropDuplicates(["path"])
+        files = last_version(batch, "path", "content", version)
         kept = old.join(files.select(F.col("path").alias("src")), "src", "left_anti")
         kept.select(*edges.columns).unionByName(extract(files)).write.mode("overwrite").parquet(f"{place}/v{number}")
         versions["last"] = number
