@@ -88,3 +88,7 @@ SEARCH_TOTAL_NAMES = 200
 SEARCH_MAX_BYTES = 2 * 1024 * 1024
 DISPLAY_CHARS = 300
 DEBOUNCE_MS = 150
+
+# Words that introduce a binding, and words that announce a function (fixed values).
+INTRODUCING_WORDS = ["function", "class", "const", "let", "var"]
+FUNCTION_WORDS = ["function", "method", "func"]
