@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.llm.chunks import WordTable, gather
+from corpusgraph.llm.tasks import lean
 
 #: Rows, and characters of text, whose distinct words are folded together.
 BLOCK_ROWS = 4096
@@ -101,6 +102,7 @@ def _blocks(path: str, pattern: str):
     """
     split = regex.compile(pattern).findall
 
+    @lean
     def run(batches):
         ranks = read_ranks(path)
         single = [ranks.get(bytes([b])) for b in range(256)]
@@ -143,6 +145,7 @@ def decode(ids: np.ndarray, path: str) -> bytes:
 
 def _assemble(path: str, digest: bool):
     """Blocks with folded words back to documents."""
+    @lean
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.llm.components import components
+from corpusgraph.llm.tasks import lean
 from corpusgraph.plans.loops import cut
 
 #: Filters a vector passes on average, and at least.
@@ -66,6 +67,7 @@ def decode(vectors: np.ndarray, words: int, seed: int = 5) -> list[np.ndarray]:
 
 
 def _decoder(words: int, seed: int):
+    @lean
     def run(batches):
         for batch in batches:
             vectors = batch.column("embedding")

@@ -4,6 +4,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.llm.tasks import lean
 from corpusgraph.plans.loops import RoundLimit, cut, cut_counting
 
 #: Leaf rows that one task's union-find holds at most when stars are contracted again.
@@ -37,6 +38,7 @@ class UnionFind:
         return True
 
 
+@lean
 def _contract(batches):
     """Links of one task to a star per set of nodes that they join; at most nodes - 1 rows leave."""
     sets, schema = UnionFind(), None

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.llm import wordhash
+from corpusgraph.llm.tasks import lean
 from corpusgraph.plans.loops import cut
 
 BINS = 256
@@ -90,6 +91,7 @@ def _described(ids: pa.Array, texts: list, following: list, words: int) -> pa.Re
 
 def _walker(words: int):
     """Result rows of all documents of a sorted range but its last, then one edge row: the first text and the last document."""
+    @lean
     def walk(batches):
         part, first, held_id, held_text, kind = TaskContext.get().partitionId(), None, None, None, None
         for batch in batches:
@@ -116,6 +118,7 @@ def _walker(words: int):
 
 
 def _edge_describer(words: int):
+    @lean
     def run(batches):
         for batch in batches:
             yield _described(batch.column("id"), batch.column("last").to_pylist(), batch.column("first").to_pylist(), words)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.llm import wordhash
 from corpusgraph.llm.components import UnionFind, components
+from corpusgraph.llm.tasks import lean
 from corpusgraph.plans.loops import cut
 
 SLOTS = 64
@@ -77,6 +78,7 @@ def _shingle_sets(raw, ends, words):
 
 
 def _signer(words: int, slots: int, bands: int):
+    @lean
     def sign(batches):
         for batch in batches:
             for at, to, raw, ends in wordhash.chunks(batch.column("text")):
@@ -99,6 +101,7 @@ def _signer(words: int, slots: int, bands: int):
 
 
 def _set_maker(words: int):
+    @lean
     def make(batches):
         for batch in batches:
             for at, to, raw, ends in wordhash.chunks(batch.column("text")):
@@ -111,6 +114,7 @@ def _set_maker(words: int):
 
 def _estimator(floor: float, slots: int):
     """Keeps pairs whose sketches agree in at least ``floor`` of their slots."""
+    @lean
     def keep(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, slots) for c in ("sa", "sb"))
@@ -121,6 +125,7 @@ def _estimator(floor: float, slots: int):
 
 def _verifier(numerator: int, denominator: int):
     """Keeps pairs with ``denominator * intersection >= numerator * union`` of the full sets."""
+    @lean
     def keep(batches):
         for batch in batches:
             good = []

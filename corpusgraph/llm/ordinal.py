@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.llm.tasks import lean
 from corpusgraph.plans.loops import cut
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -95,10 +96,11 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
     return weight, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
 
 
+@lean
 def _counter(batches):
     for batch in batches:
-        for low in range(0, batch.num_rows, 512):
-            part = batch.slice(low, 512)
+        for low in range(0, batch.num_rows, 64):
+            part = batch.slice(low, 64)
             counted = []
             for text in part.column("text").to_pylist():
                 own = Counter()
@@ -162,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 
 def _grader(model: OrdinalModel):
+    @lean
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
@@ -189,6 +192,7 @@ def grade(docs: DataFrame, model: OrdinalModel, id_column: str = "doc_id", text_
 
 
 def _keeper(model: OrdinalModel):
+    @lean
     def run(batches):
         for batch in batches:
             scores = np.array([model.score(x or "") for x in batch.column("text").to_pylist()])

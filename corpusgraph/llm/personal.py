@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.llm.boosting import BoostedTrees
+from corpusgraph.llm.tasks import lean
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "ssn")
@@ -219,6 +220,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 def _finder(redact: bool):
     model, levels = trained()
 
+    @lean
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, 256):

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.llm.tasks import lean
 from corpusgraph.plans.loops import cut
 
 # Element names of HTML by what they do to the text around them.
@@ -123,6 +124,7 @@ BLOCK = "array<struct<path:string,role:string,text:string>>"
 STYLE = "array<struct<path:string,style:string>>"
 
 
+@lean
 def _reader(batches):
     block = pa.list_(pa.struct([("path", pa.string()), ("role", pa.string()), ("text", pa.string())]))
     style = pa.list_(pa.struct([("path", pa.string()), ("style", pa.string())]))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.llm import wordhash
+from corpusgraph.llm.tasks import lean
 
 #: Words a run of sentences has at least; a run is as short as that allows.
 LEAST_WORDS = 30
@@ -78,6 +79,7 @@ def _slices(batch, rows: int = 512):
 
 
 def _lister(least: int):
+    @lean
     def run(batches):
         for batch in batches:
             for part in _slices(batch):
@@ -89,6 +91,7 @@ def _lister(least: int):
     return run
 
 
+@lean
 def _remover(batches):
     for batch in batches:
         for part in _slices(batch):

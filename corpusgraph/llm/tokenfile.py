@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgraph.llm.tasks import lean
 from corpusgraph.llm.tokens import encoder
 from corpusgraph.plans.loops import cut
 
@@ -118,6 +119,7 @@ def _pairs(batch):
     return zip(batch.column("n").to_pylist(), (x.as_buffer() for x in batch.column("ids")))
 
 
+@lean
 def _counter(batches):
     counts = np.zeros(0, np.int64)
     for batch in batches:
@@ -132,6 +134,7 @@ def _counter(batches):
 
 
 def _writer(lengths: bytes):
+    @lean
     def write(batches):
         code = CanonicalCode(np.frombuffer(lengths, np.uint8))
         part, block = TaskContext.get().partitionId(), 0
@@ -189,6 +192,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end:
 
 
 def _reader(lengths: bytes, digest: bool):
+    @lean
     def read(batches):
         code = CanonicalCode(np.frombuffer(lengths, np.uint8))
         for batch in batches:

@@ -8,6 +8,7 @@ import pyarrow as pa
 import regex
 
 from corpusgraph.llm.chunks import WordTable, gather
+from corpusgraph.llm.tasks import lean
 
 #: Words and pieces that a worker remembers, and rows that it encodes at once.
 REMEMBERED = 1_000_000
@@ -64,6 +65,7 @@ def worker_encoder(path: str, pattern: str) -> TextEncoder:
 
 def encoder(path: str, pattern: str, end: int | None):
     """Arrow function: ``id, n, ids`` of ``id, text``, ids as little-endian 16-bit numbers (32-bit if one needs it)."""
+    @lean
     def run(batches):
         coder = worker_encoder(path, pattern)
         for batch in batches:
