@@ -191,7 +191,8 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     low = cut(node_importance(read).filter((F.col("importance") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES)).select("host", "path"))
     unnamed = read.select("row", "host", F.explode(F.array_distinct(F.transform(
         F.filter("blocks", lambda b: b["role"] == ""), lambda b: b["path"]))).alias("path"))
-    removed = unnamed.join(low, ["host", "path"]).groupBy("row").agg(F.collect_set("path").alias("removed"))
+    # written, so that the planner knows how few rows these are and need not deal out the texts
+    removed = cut(unnamed.join(low, ["host", "path"]).groupBy("row").agg(F.collect_set("path").alias("removed")))
     kept = F.filter("blocks", lambda b: (b["role"] == "+") | (
         (b["role"] == "") & ~F.coalesce(F.array_contains("removed", b["path"]), F.lit(False))))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
