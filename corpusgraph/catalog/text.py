@@ -112,25 +112,23 @@ def _(t):
       SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS rn FROM h) r
     WHERE rn <= 50 ORDER BY path, line LIMIT 500""")
 def _(t):
-    return search.capped_hits(t("F_files"), "the")
+    return search.capped_hits(t("F_files"), "the", K.SEARCH_LINES_PER_FILE, K.SEARCH_TOTAL_LINES)
 
 
 @query("w7_search_all_kinds", f"""
     WITH h AS ({_HITS.replace("'the'", "'en/1'")}),
-    n AS (SELECT path FROM $F_files WHERE contains(lower(path), 'en/1') ORDER BY path LIMIT 200)
+    n AS (SELECT path FROM $F_files WHERE contains(lower(path), 'en/1'))
     SELECT 'name' AS hit, path, NULL AS line, NULL AS "column", NULL AS text FROM n
-    UNION ALL SELECT 'line', path, line, "column", text FROM (SELECT * FROM h ORDER BY path, line LIMIT 500) l""")
+    UNION ALL SELECT 'line', path, line, "column", text FROM h""")
 def _(t):
     return search.search(t("F_files"), "en/1")
 
 
 @query("a9_hits_by_path", f"""
     WITH h AS ({_HITS})
-    SELECT path, count(*) AS n, string_agg(CAST(line AS STRING), ',' ORDER BY line) AS lines FROM (
-      SELECT path, line FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS rn FROM h) r
-      WHERE rn <= 50 ORDER BY path, line LIMIT 500) k GROUP BY path""")
+    SELECT path, count(*) AS n, string_agg(CAST(line AS STRING), ',' ORDER BY line) AS lines FROM h GROUP BY path""")
 def _(t):
-    return search.lines_by_path(search.capped_hits(t("F_files"), "the"))
+    return search.lines_by_path(search.line_hits(t("F_files"), "the"))
 
 
 @query("a9_listed_paths", f"""
@@ -143,20 +141,19 @@ def _(t):
       GROUP BY path) g""")
 def _(t):
     files = t("F_files")
-    return search.listed_paths(search.capped_hits(files, "the"), search.capped_names(files, "src1"))
+    return search.listed_paths(search.capped_hits(files, "the", K.SEARCH_LINES_PER_FILE, K.SEARCH_TOTAL_LINES),
+                               search.capped_names(files, "src1", K.SEARCH_TOTAL_NAMES))
 
 
 @query("a10_search_summary", """
     WITH per AS (SELECT path, size, len(list_filter(string_split(content, chr(10)), lambda s: contains(lower(s), 'the')))
       AS lines FROM $F_files)
     SELECT count(*) AS scanned, least(count(*) FILTER (WHERE contains(lower(path), 'the')), 200) AS name_hits,
-      least(sum(CASE WHEN size <= 60000 THEN least(lines, 50) ELSE 0 END), 500) AS line_hits,
-      count(*) FILTER (WHERE size > 60000) AS skipped,
-      count(*) FILTER (WHERE size <= 60000 AND lines > 50) AS files_cut,
+      least(sum(least(lines, 50)), 500) AS line_hits, 0 AS skipped, count(*) FILTER (WHERE lines > 50) AS files_cut,
       count(*) FILTER (WHERE contains(lower(path), 'the')) > 200 AS names_cut,
-      sum(CASE WHEN size <= 60000 THEN least(lines, 50) ELSE 0 END) > 500 AS lines_cut FROM per""")
+      sum(least(lines, 50)) > 500 AS lines_cut FROM per""")
 def _(t):
-    return search.summary(t("F_files"), "the", max_bytes=60_000)
+    return search.summary(t("F_files"), "the", K.SEARCH_LINES_PER_FILE, K.SEARCH_TOTAL_LINES, K.SEARCH_TOTAL_NAMES)
 
 
 @query("p22_token_estimate", """

@@ -85,7 +85,6 @@ FOLDER_SAMPLE = 6
 SEARCH_LINES_PER_FILE = 50
 SEARCH_TOTAL_LINES = 500
 SEARCH_TOTAL_NAMES = 200
-SEARCH_MAX_BYTES = 2 * 1024 * 1024
 DISPLAY_CHARS = 300
 DEBOUNCE_MS = 150
 

@@ -1,9 +1,8 @@
-"""Search over file names and contents with reported caps."""
+"""Search over file names and contents. Nothing is capped unless the caller asks for a page."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgraph import constants as K
 from corpusgraph.functions import text as T
 from corpusgraph.functions.exprs import numbered
 
@@ -52,22 +51,24 @@ def line_hits(files: DataFrame, query: str, per_file: int | None = None,
     )
 
 
-def capped_hits(files: DataFrame, query: str, per_file: int = K.SEARCH_LINES_PER_FILE,
-                total: int = K.SEARCH_TOTAL_LINES, max_bytes: int = K.SEARCH_MAX_BYTES) -> DataFrame:
-    """The lines a user sees: the first of each file, then the first overall."""
+def capped_hits(files: DataFrame, query: str, per_file: int, total: int, max_bytes: int | None = None) -> DataFrame:
+    """The lines of one page: the first ``per_file`` of each file, then the first ``total`` overall."""
     return line_hits(files, query, per_file, max_bytes).orderBy("path", "line").limit(total)
 
 
-def capped_names(files: DataFrame, query: str, total: int = K.SEARCH_TOTAL_NAMES) -> DataFrame:
+def capped_names(files: DataFrame, query: str, total: int) -> DataFrame:
     return name_hits(files, query).orderBy("path").limit(total)
 
 
-def search(files: DataFrame, query: str, kind: str = "all") -> DataFrame:
-    """Capped name hits and line hits in one table, ``kind`` all / files / contents."""
-    names = capped_names(files, query).select(
+def search(files: DataFrame, query: str, kind: str = "all", per_file: int | None = None, total: int | None = None,
+           total_names: int | None = None) -> DataFrame:
+    """Name hits and line hits in one table, ``kind`` all / files / contents; a page of them where caps are given."""
+    names = name_hits(files, query) if total_names is None else capped_names(files, query, total_names)
+    names = names.select(
         F.lit("name").alias("hit"), "path", F.lit(None).cast("int").alias("line"),
         F.lit(None).cast("long").alias("column"), F.lit(None).cast("string").alias("text"))
-    lines = capped_hits(files, query).select(F.lit("line").alias("hit"), "path", "line", "column", "text")
+    lines = line_hits(files, query, per_file) if total is None else capped_hits(files, query, per_file, total)
+    lines = lines.select(F.lit("line").alias("hit"), "path", "line", "column", "text")
     if kind == "files":
         return names
     if kind == "contents":
@@ -76,7 +77,7 @@ def search(files: DataFrame, query: str, kind: str = "all") -> DataFrame:
 
 
 def lines_by_path(hits: DataFrame) -> DataFrame:
-    """Line numbers per file, in order; a file has at most the per-file cap of them."""
+    """Line numbers per file, in order; as many as the file has hits."""
     return hits.groupBy("path").agg(
         F.count("*").alias("n"),
         F.array_join(F.transform(F.sort_array(F.collect_list("line")), lambda v: v.cast("string")), ",")
@@ -87,7 +88,7 @@ def lines_by_path(hits: DataFrame) -> DataFrame:
 def listed_paths(hits: DataFrame, names: DataFrame) -> DataFrame:
     """Files in listing order: those with line hits, then those named only.
 
-    Both inputs are capped, so the global numbering sees a bounded number of rows.
+    A listing is numbered in one place, so give it a page: hits and names with caps.
     """
     both = hits.select("path", F.lit(0).alias("part")).unionByName(
         names.select("path", F.lit(1).alias("part")))
@@ -96,12 +97,10 @@ def listed_paths(hits: DataFrame, names: DataFrame) -> DataFrame:
     return first.select("path", F.row_number().over(order).alias("position"))
 
 
-def summary(files: DataFrame, query: str, per_file: int = K.SEARCH_LINES_PER_FILE,
-            total: int = K.SEARCH_TOTAL_LINES, names: int = K.SEARCH_TOTAL_NAMES,
-            max_bytes: int = K.SEARCH_MAX_BYTES) -> DataFrame:
-    """Counts before and after the caps, and which caps were hit, in one row."""
+def summary(files: DataFrame, query: str, per_file: int, total: int, names: int, max_bytes: int | None = None) -> DataFrame:
+    """Counts before and after a page's caps, and which caps were hit, in one row. Files of every size are searched."""
     needle = needle_of(query)
-    searched = F.col("size") <= max_bytes
+    searched = F.lit(True) if max_bytes is None else F.col("size") <= max_bytes
     lines = F.when(searched, F.size(_matching_lines(needle or ""))).otherwise(0)
     per_file_rows = files.select(
         searched.alias("searched"),
