@@ -20,6 +20,11 @@ def locate_snippets(edits: DataFrame) -> DataFrame:
     return edits.withColumn("m", E.locate(F.col("content"), F.col("find")))
 
 
+def file_keys(*tables: DataFrame) -> list[str]:
+    """What names a file in all these tables: its path, inside its project where every table says which."""
+    return ["project", "path"] if all("project" in t.columns for t in tables) else ["path"]
+
+
 def staged(replies: DataFrame, files: DataFrame) -> DataFrame:
     """``(reply_id, path, before, base, edits, n_file, n_edit, refusal)``, one row per named file.
 
@@ -27,7 +32,8 @@ def staged(replies: DataFrame, files: DataFrame) -> DataFrame:
     ``files`` moves data. FILE blocks come first: the last one of a path is the base
     on which its EDIT blocks work.
     """
-    read = replies.select("reply_id", T.file_blocks(F.col("reply")).alias("fb"), T.edit_blocks(F.col("reply")).alias("eb"))
+    project = file_keys(replies, files)[:-1]
+    read = replies.select(*project, "reply_id", T.file_blocks(F.col("reply")).alias("fb"), T.edit_blocks(F.col("reply")).alias("eb"))
     # A path the reply spells in two ways is one file.
     def cleaned(blocks: str, *fields: str):
         return F.transform(blocks, lambda b: F.struct(
@@ -39,14 +45,14 @@ def staged(replies: DataFrame, files: DataFrame) -> DataFrame:
     rows = read.select("*", F.explode(named).alias("path"))
     mine = lambda blocks: F.filter(blocks, lambda b: name(b) == F.col("path"))
     rows = rows.select(
-        "reply_id", "path",
+        *project, "reply_id", "path",
         F.get(F.reverse(F.transform(mine("fb"), lambda b: b["content"])), F.lit(0)).alias("written"),
         F.transform(mine("eb"), lambda b: F.struct(b["find"].alias("find"), b["replace"].alias("replace"))).alias("edits"),
         F.size(mine("fb")).alias("n_file"), F.size(mine("eb")).alias("n_edit"),
         F.coalesce(F.get(F.transform(mine("fb"), lambda b: b["v"]["refusal"]), F.lit(0)),
                    F.get(F.transform(mine("eb"), lambda b: b["v"]["refusal"]), F.lit(0))).alias("refusal"))
-    known = files.select("path", F.col("content").alias("before"))
-    return rows.join(known, "path", "left").withColumn("base", F.coalesce("written", "before"))
+    known = files.select(*project, "path", F.col("content").alias("before"))
+    return rows.join(known, [*project, "path"], "left").withColumn("base", F.coalesce("written", "before"))
 
 
 _APPLIED = "array<struct<find:string,replace:string>>"
@@ -127,7 +133,7 @@ def apply_replies(replies: DataFrame, files: DataFrame) -> DataFrame:
         "edits", F.when(usable, F.col("edits")).otherwise(F.array().cast(_APPLIED)))
     done = apply_blocks(marked)
     out = done.select(
-        "reply_id", "path", "before", F.when(F.col("usable"), F.col("content")).alias("after"),
+        *file_keys(replies, files)[:-1], "reply_id", "path", "before", F.when(F.col("usable"), F.col("content")).alias("after"),
         F.coalesce("refused", "results").alias("results"), "n_file", "n_edit", "refusal")
     changed = F.col("after").isNotNull() & ~F.col("before").eqNullSafe(F.col("after"))
     return out.withColumn("changed", changed).withColumn(
@@ -177,9 +183,10 @@ def passing_changes(applied: DataFrame, override: bool = False) -> DataFrame:
 
 
 def next_version(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """The file table after one set of changes, at most one change per path."""
-    new = changes.select("path", F.col("after").alias("content"))
-    return files.join(new.select("path"), "path", "left_anti").select("path", "content").unionByName(new)
+    """The file table after one set of changes, at most one change per path (and project)."""
+    keys = file_keys(files, changes)
+    new = changes.select(*keys, F.col("after").alias("content"))
+    return files.join(new.select(*keys), keys, "left_anti").select(*keys, "content").unionByName(new)
 
 
 def new_project_check(replies: DataFrame) -> DataFrame:

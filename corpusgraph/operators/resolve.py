@@ -171,7 +171,8 @@ def version_consistency(pins: DataFrame) -> DataFrame:
 
 
 def created_or_overwritten(blocks: DataFrame, files: DataFrame) -> DataFrame:
-    """Mark each block's target as new or existing."""
-    known = files.select("path", F.lit(True).alias("known")).distinct()
-    return blocks.join(known, "path", "left").withColumn(
+    """Mark each block's target as new or existing, inside its project where both tables say which."""
+    keys = ["project", "path"] if "project" in blocks.columns and "project" in files.columns else ["path"]
+    known = files.select(*keys, F.lit(True).alias("known")).distinct()
+    return blocks.join(known, keys, "left").withColumn(
         "outcome", F.when(F.col("known"), "overwritten").otherwise("created")).drop("known")

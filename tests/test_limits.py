@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import slots, text
 from corpusgraph.functions.markup import tag_attribute
-from corpusgraph.operators import diffs, hierarchy, history, search
+from corpusgraph.operators import diffs, hierarchy, history, patches, search
 from corpusgraph.streaming.incremental import last_version
 
 
@@ -62,3 +62,14 @@ def test_names_by_words_and_slots_by_pairs(spark):
     code = "// @slot models/a.glb: animations = [run, walk], format=glb dimensions = 10x20, rigged=true\n"
     hint = spark.createDataFrame([(code,)], "c string").select(slots.hints(F.col("c")).alias("h")).first().h[0].slot
     assert (hint.animations, hint.format, hint.dimensions, hint.rigged) == (["run", "walk"], "glb", "10x20", True)
+
+
+def test_one_path_in_two_projects(spark):
+    files = spark.createDataFrame([("p1", "src/a.js", "let a = 1;\n"), ("p2", "src/a.js", "let other = 5;\n")], "project string, path string, content string")
+    reply = "EDIT: src/a.js\n<<<<<<< FIND\nlet a = 1;\n=======\nlet a = 2;\n>>>>>>> REPLACE\n"
+    replies = spark.createDataFrame([("p1", 1, reply)], "project string, reply_id int, reply string")
+    applied = patches.apply_replies(replies, files)
+    assert [(r.project, r.after) for r in applied.collect()] == [("p1", "let a = 2;\n")]
+    assert patches.gate(patches.plan_totals(applied)).first().verdict == "pass"
+    after = {(r.project, r.content) for r in patches.next_version(files, patches.passing_changes(applied)).collect()}
+    assert after == {("p1", "let a = 2;\n"), ("p2", "let other = 5;\n")}
