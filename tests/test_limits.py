@@ -68,8 +68,8 @@ def test_one_path_in_two_projects(spark):
     files = spark.createDataFrame([("p1", "src/a.js", "let a = 1;\n"), ("p2", "src/a.js", "let other = 5;\n")], "project string, path string, content string")
     reply = "EDIT: src/a.js\n<<<<<<< FIND\nlet a = 1;\n=======\nlet a = 2;\n>>>>>>> REPLACE\n"
     replies = spark.createDataFrame([("p1", 1, reply)], "project string, reply_id int, reply string")
-    applied = patches.apply_replies(replies, files)
-    assert [(r.project, r.after) for r in applied.collect()] == [("p1", "let a = 2;\n")]
-    assert patches.gate(patches.plan_totals(applied)).first().verdict == "pass"
-    after = {(r.project, r.content) for r in patches.next_version(files, patches.passing_changes(applied)).collect()}
+    rows = patches.staged(replies, files).collect()
+    assert [(r.project, r.reply_id, r.before) for r in rows] == [("p1", 1, "let a = 1;\n")]
+    changes = spark.createDataFrame([("p1", "src/a.js", "let a = 2;\n")], "project string, path string, after string")
+    after = {(r.project, r.content) for r in patches.next_version(files, changes).collect()}
     assert after == {("p1", "let a = 2;\n"), ("p2", "let other = 5;\n")}
