@@ -8,6 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry  # noqa: E402
+from corpusgraph.catalog.fixtures import QUERIES  # noqa: E402
 from tools.compare import compare, connect  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,7 +19,7 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     good, note, _ = compare(spark, duck, FOLDER, name)
     assert good, note
