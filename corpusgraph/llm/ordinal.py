@@ -41,7 +41,7 @@ class _Marked(dict):
         self.number = number
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         known = self[word] = tuple(self.number[m] for m in marks(word) if m in self.number)
         return known
@@ -167,8 +167,8 @@ def _grader(model: OrdinalModel):
     @lean
     def run(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
                 chance = model.at_least(np.array([model.score(x) for x in part.column("text").to_pylist()]))
                 yield pa.RecordBatch.from_arrays(
                     [c for n, c in zip(part.schema.names, part.columns) if n != "text"]
@@ -195,8 +195,10 @@ def _keeper(model: OrdinalModel):
     @lean
     def run(batches):
         for batch in batches:
-            scores = np.array([model.score(x or "") for x in batch.column("text").to_pylist()])
-            yield batch.filter(pa.array(model.at_least(scores)[:, 0] < 0.5))
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                scores = np.array([model.score(x or "") for x in part.column("text").to_pylist()])
+                yield part.filter(pa.array(model.at_least(scores)[:, 0] < 0.5))
     return run
 
 
