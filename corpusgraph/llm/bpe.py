@@ -143,7 +143,7 @@ def decode(ids: np.ndarray, path: str) -> bytes:
     return b"".join(map(_pieces(path).__getitem__, ids.tolist()))
 
 
-def _assemble(path: str, digest: bool):
+def _assemble(path: str, digest_ids: bool, digest_decoded: bool):
     """Blocks with folded words back to documents."""
     @lean
     def run(batches):
@@ -159,11 +159,8 @@ def _assemble(path: str, digest: bool):
                     own = [gather(np.frombuffer(x.as_buffer(), "<i4"), starts, flat) for x in docs[low:low + 1024]]
                     raw = [x.tobytes() for x in own]
                     back = [decode(x, path) for x in own]
-                    if digest:
-                        raw = pa.array([hashlib.sha256(x).hexdigest() for x in raw])
-                        back = pa.array([hashlib.sha256(x).hexdigest() for x in back])
-                    else:
-                        raw, back = pa.array(raw, pa.binary()), pa.array(back, pa.binary())
+                    raw, back = (pa.array([hashlib.sha256(x).hexdigest() for x in values]) if hashed else pa.array(values, pa.binary())
+                                 for values, hashed in ((raw, digest_ids), (back, digest_decoded)))
                     yield pa.RecordBatch.from_arrays(
                         [ids.slice(low, len(own)), pa.array([len(x) for x in own], pa.int64()), raw, back],
                         ["id", "n_tokens", "ids", "decoded"])
@@ -171,7 +168,7 @@ def _assemble(path: str, digest: bool):
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text",
-                 digest: bool = False) -> DataFrame:
+                 digest: bool = False, digest_decoded: bool = False) -> DataFrame:
     """Ids of every text and the bytes that they decode to.
 
     No shuffle and no broadcast: a task takes a block of its documents, lists their distinct
@@ -180,7 +177,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_column: str
     longer text is a block of its own.
 
     Returns ``id, n_tokens, ids, decoded``: ids as little-endian unsigned 32-bit numbers and bytes,
-    or the lowercase hex SHA-256 of both with ``digest``. A null text is empty: no ids, no
+    or the lowercase hex SHA-256 of both with ``digest``, of the bytes alone with ``digest_decoded``. A null text is empty: no ids, no
     bytes. Null and repeated ids are kept, one row per row. Other columns are ignored; an
     empty table gives an empty result.
     """
@@ -191,5 +188,6 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_column: str
     # one lambda variable holds the two literals, so that the plan holds them once and not at every look-up
     coded = blocks.select("ids", "docs", F.get(F.transform(F.array(F.struct(shift.alias("shift"), cells.alias("cells"))), lambda table: F.transform(
         "words", lambda w: fold_word(w, table["shift"], table["cells"]))), F.lit(0)).alias("coded"))
-    out = "string" if digest else "binary"
-    return coded.mapInArrow(_assemble(ranks_path, digest), f"id {kind}, n_tokens bigint, ids {out}, decoded {out}")
+    hashed = digest or digest_decoded
+    return coded.mapInArrow(_assemble(ranks_path, digest, hashed), (
+        f"id {kind}, n_tokens bigint, ids {'string' if digest else 'binary'}, decoded {'string' if hashed else 'binary'}"))
