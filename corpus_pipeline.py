@@ -66,9 +66,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row: ``doc_id, n_tokens, ids`` (little-endian, 32 bits)."""
-    return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select(
-        F.col("id").alias("doc_id"), "n_tokens", "ids")
+    """Token ids of every row (little-endian, 32 bits) and the SHA-256 of what they decode to: ``doc_id, n_tokens, ids, decoded_sha256``."""
+    coded = bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest_decoded=True)
+    return coded.select(F.col("id").alias("doc_id"), "n_tokens", "ids", F.col("decoded").alias("decoded_sha256"))
 
 
 STAGES = [
