@@ -16,8 +16,8 @@ from corpusgraph.llm.chunks import WordTable, gather
 from corpusgraph.llm.tasks import lean
 
 #: Rows, and characters of text, whose distinct words are folded together.
-BLOCK_ROWS = 2048
-BLOCK_CHARACTERS = 5_000_000
+BLOCK_ROWS = 4096
+BLOCK_CHARACTERS = 10_000_000
 
 
 @lru_cache(maxsize=2)
