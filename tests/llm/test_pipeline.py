@@ -1,7 +1,9 @@
 """The pipeline and the registered queries at the smallest scale."""
 
 import hashlib
+import random
 import re
+from itertools import combinations
 
 import corpus_pipeline
 import duckdb
@@ -11,6 +13,7 @@ import tiktoken
 
 import __spark_entry__ as entry
 from corpusgraph.llm import bpe, catalog
+from corpusgraph.llm.components import UnionFind
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -71,3 +74,37 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark, tmp_path):
             stage(spark, docs, FOLDER).write.parquet(place)
             docs = spark.read.parquet(place)
         assert docs.count() == 0 if not part else docs.filter("doc_id = 1").count() <= 3
+
+
+def _near_groups(texts):
+    """Texts' groups by brute force at 0.8, and the similarities."""
+    sets, groups, levels = [], UnionFind(), []
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    for a, b in combinations(range(len(texts)), 2):
+        if sets[a] and sets[b]:
+            levels.append(len(sets[a] & sets[b]) / len(sets[a] | sets[b]))
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                groups.union(a, b)
+    return [groups.find(k) for k in range(len(texts))], levels
+
+
+def test_near_copies_stage_equals_brute_force_at_four_fifths(spark):
+    r = random.Random(12)
+    texts = [None, "", " \n", "one two", "One two", "a b c d e"]
+    for words, edits in [(500, 10), (500, 11), (300, 6), (120, 2), (120, 3), (60, 1), (40, 1), (500, 14)] * 8:
+        base = [f"w{r.randrange(3000)}" for _ in range(words)]
+        edited = list(base)
+        for k in r.sample(range(5, words - 5), edits):
+            edited[k] = f"x{r.randrange(10**6)}"
+        texts += [" ".join(base), " ".join(edited)]
+    groups, levels = _near_groups(texts)
+    assert sum(0.8 <= x < 0.85 for x in levels) > 20 and sum(0.7 < x < 0.8 for x in levels) > 5
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    least = {}
+    for k, g in enumerate(groups):
+        least.setdefault(g, k)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()
+    assert sorted(x["doc_id"] for x in kept) == sorted(least.values())
