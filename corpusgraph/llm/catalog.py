@@ -109,7 +109,8 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = f"{checkpoint_folder(spark).rstrip('/')}/corpusgraph/tokens-{uuid.uuid4().hex}"
-    tokenfile.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end=0)
+    tokenfile.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end=0,
+                           added=True)
     return tokenfile.read_tokens(spark, path, digest=True).withColumnRenamed("id", "doc_id")
 
 

@@ -166,19 +166,22 @@ def _writer(lengths: bytes):
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end: int | None = 0, id_column: str = "doc_id",
-                 text_column: str = "text") -> None:
+                 text_column: str = "text", added: bool = False) -> None:
     """Encode every text and write a token file of all documents in ascending id order at ``path``.
 
     Texts are encoded once, to a table of ids in the checkpoint folder; global counts of
     ids (at most one row per vocabulary entry comes to the driver) give the code; the
     ids, not the texts, are then sorted by range and packed.
 
+    With ``added`` the added tokens of the tokenizer file are found in the texts and get their own
+    ids, as in the library's ``encode``; without, they are spelled (``encode_special_tokens``).
+
     A null text is empty: only its end id, if any. Null document ids come last; rows that
     tie are ordered by their ids. Other columns are ignored. An empty table gives no blocks.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    encoded = cut(rows.mapInArrow(encoder(tokenizer, pattern, end), f"id {kind}, n bigint, ids binary"))
+    encoded = cut(rows.mapInArrow(encoder(tokenizer, pattern, end, added), f"id {kind}, n bigint, ids binary"))
     seen = encoded.mapInArrow(_counter, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["token"] for r in seen), default=0) + 1, np.int64)
     counts[[r["token"] for r in seen]] = [r["n"] for r in seen]

@@ -1,10 +1,12 @@
 """Encoding whole texts with a public tokenizer file."""
 
+import json
 import os
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from corpusgraph.llm.chunks import WordTable, gather
@@ -24,12 +26,20 @@ def _byte_letters() -> dict[int, str]:
 
 
 class TextEncoder:
-    """Ids of texts by the model of the tokenizers library; words that were seen before are looked up."""
+    """Ids of texts by the model of the tokenizers library; words that were seen before are looked up.
 
-    def __init__(self, path: str, pattern: str):
+    With ``added``, texts that hold an added token of the file go through the library as a whole;
+    without, such a token is spelled like other text.
+    """
+
+    def __init__(self, path: str, pattern: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.model = Tokenizer.from_file(path).model
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        with open(path, encoding="utf-8") as file:
+            tokens = json.load(file).get("added_tokens") or [] if added else []
+        self.added = "|".join(f"\\Q{x['content']}\\E" for x in tokens)
         self.split = regex.compile(pattern).findall
         self.letters = _byte_letters()
         self._clear()
@@ -50,24 +60,32 @@ class TextEncoder:
         """Ids of all texts (null: empty) in order, and the offsets between texts."""
         if len(self.table) > REMEMBERED:
             self._clear()
-        words, offsets = self.table.numbers(texts)
+        held = pc.fill_null(pc.match_substring_regex(texts, self.added), False) if self.added else pa.array([False] * len(texts))
+        words, offsets = self.table.numbers(pc.if_else(held, "", texts))
         self._learn()
         sizes = np.zeros(len(words) + 1, np.int64)
         np.cumsum(np.diff(self.starts)[words], out=sizes[1:])
-        return gather(words, self.starts, self.ids), sizes[offsets]
+        ids, offsets = gather(words, self.starts, self.ids), sizes[offsets]
+        rows = np.flatnonzero(np.array(held))
+        if not len(rows):
+            return ids, offsets
+        coded = [np.array(self.whole.encode(texts[int(k)].as_py(), add_special_tokens=False).ids, np.uint32) for k in rows]
+        counts = np.diff(offsets)
+        counts[rows] = [len(x) for x in coded]
+        return np.insert(ids, np.repeat(offsets[rows], counts[rows]), np.concatenate(coded)), np.append(0, np.cumsum(counts))
 
 
 @lru_cache(maxsize=2)
-def worker_encoder(path: str, pattern: str) -> TextEncoder:
+def worker_encoder(path: str, pattern: str, added: bool = False) -> TextEncoder:
     """One per Python worker, so that its memory lasts over tasks."""
-    return TextEncoder(path, pattern)
+    return TextEncoder(path, pattern, added)
 
 
-def encoder(path: str, pattern: str, end: int | None):
+def encoder(path: str, pattern: str, end: int | None, added: bool = False):
     """Arrow function: ``id, n, ids`` of ``id, text``, ids as little-endian 16-bit numbers (32-bit if one needs it)."""
     @lean
     def run(batches):
-        coder = worker_encoder(path, pattern)
+        coder = worker_encoder(path, pattern, added)
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS):
                 part = batch.slice(low, ROWS)

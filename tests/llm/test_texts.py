@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusgraph.llm import bpe, fingerprint, mixing, ordinal, personal, sitetree, tokenfile
+from corpusgraph.llm import bpe, catalog, fingerprint, mixing, ordinal, personal, sitetree, tokenfile
 
 WEIRD = [None, "", " ", "  ", "a  b", "a \n b", "\n", "\n\n a", " a", "a ", "x\t y", "<|endoftext|> x", "don't  'll x's",
          "　 a 　", "é   è12 34abc!!", " \x1c a", "x" * 400, "ééé" * 60, "日本語のテキスト 123", "\U0001f600 ‍ ok"]
@@ -66,6 +66,18 @@ def test_token_file_round_trip(spark, weird, tmp_path, monkeypatch):
         start += len(ids)
 
 
+def test_token_file_query_knows_the_added_tokens(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "plain", None, "<|endoftext|><|endoftext|>", "x<|endoftext|>y  <|endoftext|>  z\n", "<|endoftext", "", "last one"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x for x in catalog.QUERIES["op4_token_file"](spark, str(tmp_path)).collect()}
+    library, start = Tokenizer.from_file(JSON), 0
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for k, text in enumerate(texts):
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (got[k]["start"], got[k]["n_tokens"], got[k]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_token_file_of_an_empty_table_and_of_null_ids(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     tokenfile.write_tokens(empty, str(tmp_path / "none"), JSON, public_tokenizers.PATTERN)
