@@ -14,6 +14,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 INLINE = set("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp
 small span strike strong sub sup time tt u var wbr""".split())
 UNSEEN = set("script style template noscript head title iframe object embed svg math canvas audio video map datalist".split())
+HEAD_CONTENT = set("html head title base basefont bgsound link meta style script noscript noframes template".split())
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
                  "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = set("ul ol dl table article section div main body td th blockquote".split())
@@ -49,7 +50,11 @@ def _role(tag: str, names: list[str]) -> str:
 
 
 class _Page(HTMLParser):
-    """Blocks of text with the style path of each, and the child styles of every path."""
+    """Blocks of text with the style path of each, and the child styles of every path.
+
+    ``unseen`` holds the open elements from the outermost unseen one on. A head without end tag ends at
+    the first thing that no head holds, other unseen elements with the element around them.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -65,10 +70,13 @@ class _Page(HTMLParser):
             self.blocks.append((path, role, text))
 
     def handle_starttag(self, tag, attributes):
-        if tag in UNSEEN and tag not in VOID:
-            self.unseen.append(tag)
-            return
-        if self.unseen:
+        if tag == "body" and self.unseen[:1] == ["head"]:
+            self.unseen.clear()
+        elif self.unseen[-1:] == ["head"] and tag not in HEAD_CONTENT:
+            self.unseen.pop()
+        if self.unseen or tag in UNSEEN:
+            if tag not in VOID:
+                self.unseen.append(tag)
             return
         if tag == "br":
             self.pending.append(" ")
@@ -93,10 +101,13 @@ class _Page(HTMLParser):
         self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self.unseen:
-            if tag in self.unseen:
-                del self.unseen[self.unseen.index(tag):]
+        if tag in self.unseen:
+            del self.unseen[len(self.unseen) - 1 - self.unseen[::-1].index(tag):]
             return
+        if self.unseen:
+            if all(x[0] != tag for x in self.stack):
+                return
+            self.unseen.clear()
         if tag in INLINE or tag in VOID:
             return
         for k in range(len(self.stack) - 1, 0, -1):
@@ -106,6 +117,8 @@ class _Page(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.unseen == ["head"] and data.strip():
+            self.unseen.clear()
         if not self.unseen:
             self.pending.append(data)
 
@@ -181,7 +194,7 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
 
     A null html is empty and gives an empty text. Pages without a host in their url share the
     empty host. Null and repeated ids are kept, one row each. Broken markup never fails: open
-    elements end with the page. Other columns are ignored; an empty table gives an empty result.
+    elements end with the page, a head at its first other content, unseen elements with the one around. Other columns are ignored; an empty table gives an empty result.
     """
     rows = pages.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("page"), F.col(url_column).alias("url"),

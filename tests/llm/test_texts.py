@@ -194,6 +194,21 @@ def test_main_text_drops_what_is_not_the_article(spark):
     assert html.unescape("&amp;") == "&"
 
 
+@pytest.mark.parametrize("page", [
+    "<html><head><title>x</title><body><article><p>one<p>two</article>",
+    "<html><head><title>x</title><meta charset=u><p>one<p>two",
+    "<html><head><title>x</title>one<p>two",
+    "<head><noscript><link><body><p>one<p>two",
+    "<head><noscript><p>no</p></noscript><title>x</title></head><body><p>one<p>two",
+    "<body><div><p>one</p><noscript><div>no</div>no</div><p>two",
+    "<body><div>one<svg><g><text>no</text></g></div><p>two",
+    "<body><div>one<object><object>no</object>no</object></div><p>two",
+    "<body><div>one<template><p>no</div><div>two</div>",
+])
+def test_unclosed_unseen_elements_do_not_take_the_page(page):
+    assert [text for _, _, text in sitetree.read_page(page)[0]] == ["one", "two"]
+
+
 def test_copies_of_an_article_keep_their_text(spark):
     rows = [(k, "http://h/", "<body><article><p>the very same</article><div class=x>common</div></body>") for k in range(8)]
     got = sitetree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
