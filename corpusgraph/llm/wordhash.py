@@ -17,6 +17,9 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Everything but ASCII letters and digits and the bytes of other characters.
+SIGNS = np.ones(256, bool)
+SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 #: Bytes hashed at once; a longer text is hashed alone.
 CHUNK_BYTES = 1 << 21
 
@@ -51,10 +54,10 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0]:ends[-1]], ends - ends[0]
 
 
-def words(raw: np.ndarray, ends: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word in order, and per text the number of its first word (one more entry at the end)."""
+def word_spans(raw: np.ndarray, ends: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of every word in order, and the byte behind it. No word spans two texts."""
     n = len(raw)
-    gap = SEPARATOR[raw]
+    gap = separator[raw]
     inside = ~gap
     starts = inside.copy()
     starts[1:] &= gap[:-1] | False
@@ -64,7 +67,12 @@ def words(raw: np.ndarray, ends: np.ndarray, fold: bool = True) -> tuple[np.ndar
     stops[:-1] &= gap[1:]
     last = ends[1:][(ends[1:] > 0)] - 1
     stops[last] = inside[last]
-    begin, end = np.flatnonzero(starts), np.flatnonzero(stops) + 1
+    return np.flatnonzero(starts), np.flatnonzero(stops) + 1
+
+
+def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Hash of every word ``raw[begin[k]:end[k]]``."""
+    n = len(raw)
     if n > CHUNK_BYTES:
         up, down = _powers(n + 1)
     else:
@@ -72,8 +80,13 @@ def words(raw: np.ndarray, ends: np.ndarray, fold: bool = True) -> tuple[np.ndar
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_VALUES[LOWER[raw] if fold else raw] * up[:n], out=sums[1:])
     value = (sums[end] - sums[begin]) * down[begin]
-    value = mixed(value + (end - begin).astype(np.uint64) * STEP)
-    return value, np.searchsorted(begin, ends)
+    return mixed(value + (end - begin).astype(np.uint64) * STEP)
+
+
+def words(raw: np.ndarray, ends: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word in order, and per text the number of its first word (one more entry at the end)."""
+    begin, end = word_spans(raw, ends)
+    return span_hashes(raw, begin, end, fold), np.searchsorted(begin, ends)
 
 
 def runs(value: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
