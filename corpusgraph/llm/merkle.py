@@ -146,9 +146,9 @@ def manifest(rows: DataFrame, proofs: bool = False, levels: int = LEVELS) -> Dat
     ``(place, others)`` per level. Superblocks are ``8 ** levels`` nodes. Empty tables give no rows.
     """
     spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
-    order = [F.col("group").asc_nulls_first(), F.col("id").asc_nulls_first(), F.col("leaf")]
-    placed = running_number(ranged(rows.select("id", "group", "leaf", "found"), order), ["group"], F.col("_part"),
-                            order[1:], "number").drop("_part")
+    order = [F.col("group").asc_nulls_first(), F.col("id").asc_nulls_first()]
+    hashed = cut(rows.select("id", "group", "leaf", "found"))  # finding the ranges reads the rows once more
+    placed = running_number(ranged(hashed, order), ["group"], F.col("_part"), [*order[1:], F.col("leaf")], "number").drop("_part")
     groups = placed.groupBy("group").agg(F.count("*").alias("nodes"))
     trees = cut(with_running_sum(groups, [F.col("group").asc_nulls_first()], F.lit(1).cast("long"), "tree"))
     leaves = placed.join(trees.select(F.col("group").alias("_group"), "tree"), F.col("group").eqNullSafe(F.col("_group"))).select(
