@@ -162,7 +162,7 @@ def manifest(rows: DataFrame, proofs: bool = False, levels: int = LEVELS) -> Dat
     if proofs:
         schema += ", proof array<struct<place:long,others:array<string>>>"
     checked = _blocks(tiers[0]).cogroup(_blocks(outer)).applyInPandas(_finish(levels, proofs), schema)
-    root = top[-1].select(F.col("node").alias("root"))
-    named = checked.join(subroots.join(F.broadcast(root)), "tree")  # one root
+    root = top[-1].first()  # one row, none where there are no rows
+    named = checked.join(subroots, "tree").withColumn("root", F.lit(root["node"] if root else None).cast("string"))
     columns = ["id", "leaf", "subroot", "root", "proof_sha256", "folded_root"] + ["proof"] * proofs
     return named.withColumn("id", F.col("id").cast(kind)).select(*columns, (F.col("folded_root") == F.col("root")).alias("verified"))
