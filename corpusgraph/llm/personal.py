@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
 
@@ -45,7 +46,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             out.append(("email", begin, found.end()))
             done = found.end()
         at = text.find("@", max(done, at + 1))
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(
+        len(x) < 4 and int(x or 0) <= 255 for x in (y.lstrip("0") for y in m[0].split(".")))]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -74,7 +76,7 @@ CONTEXTS = tuple(re.compile(rf"\b(?:{x})", re.I) for x in (
 def _features(kind: int, text: str, begin: int, end: int) -> list[float]:
     """Format of the span and its surroundings, as numbers."""
     span, before, after = text[begin:end], text[max(0, begin - WINDOW):begin], text[end:end + 12]
-    n, digits = len(span), [c for c in span if c.isdigit()]
+    n, digits = len(span), [c for c in span if "0" <= c <= "9"]
     groups = [len(x) for x in re.split(r"[^0-9A-Za-z]+", span) if x] + [0, 0, 0, 0]
     counts = Counter(span)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
@@ -82,7 +84,7 @@ def _features(kind: int, text: str, begin: int, end: int) -> list[float]:
         *(float(kind == k) for k in range(len(GENERATORS))), n, len(digits), len(digits) / n, sum(c.isupper() for c in span) / n,
         sum(c.islower() for c in span) / n, len(counts), entropy, sum(not c.isalnum() for c in span), *groups[:4], span.count("."),
         span.count("-"), span.count(":"), span.count("/"), float("(" in span or "[" in span), float(all(c in "0123456789abcdefABCDEF" for c in span)),
-        float(len(digits) >= 13 and luhn("".join(map(str, map(int, digits))))), float(before[-1:] in ("'", '"')), float(before.rstrip()[-1:] in (":", "=")),
+        float(len(digits) >= 13 and luhn("".join(digits))), float(before[-1:] in ("'", '"')), float(before.rstrip()[-1:] in (":", "=")),
         float(before[-1:].isalnum()), float(after[:1].isalnum()), float(after[:1] in (".", ",")),
         *(float(bool(c.search(before))) for c in CONTEXTS)]
 
@@ -176,8 +178,37 @@ def trained(count: int = 6000, seed: int = 23) -> tuple[BoostedTrees, np.ndarray
     return model, levels
 
 
-def _free(begin: int, end: int, taken: list[tuple[int, int]]) -> bool:
-    return all(end <= a or begin >= b for a, b in taken)
+def _apart(base: list[tuple[str, int, int]], wanted: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Those of ``wanted``, the first ones first, that overlap neither ``base`` nor one kept before.
+
+    Only spans of one stretch (spans that overlap directly or by way of others) can meet, so each
+    stretch is settled alone, with the kept spans in order.
+    """
+    spans = sorted([(a, b, -1, "") for _, a, b in base] + [(a, b, k, kind) for k, (kind, a, b) in enumerate(wanted)])
+    kept, at = [], 0
+    while at < len(spans):
+        to, stop = at + 1, spans[at][1]
+        while to < len(spans) and spans[to][0] < stop:
+            stop = max(stop, spans[to][1])
+            to += 1
+        starts, ends = [], []
+        for a, b, k, _ in spans[at:to]:
+            if k >= 0:
+                continue
+            if ends and a < ends[-1]:
+                ends[-1] = max(b, ends[-1])
+            else:
+                starts.append(a)
+                ends.append(b)
+        for k, a, b, kind in sorted((k, a, b, kind) for a, b, k, kind in spans[at:to] if k >= 0):
+            place = bisect_right(starts, a)
+            if (place and ends[place - 1] > a) or (place < len(starts) and starts[place] < b):
+                continue
+            starts.insert(place, a)
+            ends.insert(place, b)
+            kept.append((k, (kind, a, b)))
+        at = to
+    return [span for _, span in sorted(kept)]
 
 
 def found_spans(texts: list[str], model: BoostedTrees, levels: np.ndarray) -> list[tuple[list, list]]:
@@ -190,15 +221,7 @@ def found_spans(texts: list[str], model: BoostedTrees, levels: np.ndarray) -> li
         row, kind, a, b = proposed[i]
         if p[i] >= levels[kind]:
             chosen.setdefault(row, []).append((GENERATORS[kind][0], a, b))
-    added = [[] for _ in texts]
-    for row, spans in chosen.items():
-        taken = sorted((a, b) for _, a, b in bases[row])
-        for kind, a, b in spans:
-            at = np.searchsorted(np.array([x for x, _ in taken]), a) if taken else 0
-            if _free(a, b, taken[max(0, at - 3):at + 3]):
-                added[row].append((kind, a, b))
-                taken.insert(at, (a, b))
-    return list(zip(bases, added))
+    return [(base, _apart(base, chosen.get(row, []))) for row, base in enumerate(bases)]
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:

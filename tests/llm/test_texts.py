@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -153,6 +154,30 @@ def test_base_spans_equal_the_plain_patterns():
     assert personal.base_spans("a" * 200_000 + "1" * 200_000) == []
 
 
+def test_personal_data_knows_ascii_digits_only(spark):
+    texts = ["¹²³¹²³¹²³¹²³¹²³ [at] example [dot] com", "٣٣٣٣٣٣٣٣٣٣٣٣٣٣٣٣ card ٣٣٣-٣٣-٣٣٣٣ Ⅻ①", "1." + "0" * 6000 + "2.3.4 " + "9" * 6000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["id"]: x for x in personal.find_personal(docs).collect()}
+    assert got[0]["spans"].startswith("email:") and got[1]["spans"] == "" and got[2]["n_ip"] == 1
+    assert personal.redact_personal(docs).count() == 3
+
+
+def test_many_spans_of_one_text_are_kept_apart():
+    r = random.Random(8)
+    for _ in range(200):
+        draw = lambda n: [(r.choice("xy"), a, a + r.randrange(1, 6)) for a in (r.randrange(60) for _ in range(n))]
+        base, wanted = draw(r.randrange(6)), draw(r.randrange(20))
+        want, taken = [], [(a, b) for _, a, b in base]
+        for kind, a, b in wanted:
+            if all(b <= c or a >= d for c, d in taken):
+                want.append((kind, a, b))
+                taken.append((a, b))
+        assert personal._apart(base, wanted) == want
+    begin = time.perf_counter()
+    many = [("x", 7 * k, 7 * k + 8 - k % 3) for k in range(200_000)]
+    assert len(personal._apart(many[::5], many)) > 50_000 and time.perf_counter() - begin < 10
+
+
 def test_personal_data_rows_and_redaction(spark):
     rows = [(1, "write to ann.b@mail.example.com or 10.0.0.1, +1 (555) 555-0100"), (2, None), (3, ""),
             (4, 'a token = "2321bac4d15ec8f90433955bf9d3cf6aa0b1c2d3" here'), (None, "clean text of 12 words, no. 3.14"),
