@@ -7,6 +7,7 @@ and the words in them repeat, so each is encoded once per dictionary.
 """
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,19 +16,22 @@ import pyarrow.compute as pc
 #: A space before another white space: such texts are cut by ``_CUT`` instead of at every space.
 _RUN = r" [\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _CUT = re.compile(r"(?= \S)")
+#: Pieces whose words are listed at once.
+SPLIT_AT_ONCE = 20_000
 
 
 class _Numbers(dict):
-    """Numbers of strings; a new string, with ``prefix`` before it, goes to ``seen``."""
+    """Numbers of strings; new strings, with ``prefix`` before them, go to ``seen``."""
 
     def __init__(self, seen: list, prefix: str = ""):
         super().__init__()
         self.seen, self.prefix = seen, prefix
 
-    def __missing__(self, key):
-        number = self[key] = len(self.seen)
-        self.seen.append(self.prefix + key)
-        return number
+    def of(self, strings: list[str]) -> np.ndarray:
+        fresh = [x for x in dict.fromkeys(strings) if x not in self]
+        self.update(zip(fresh, range(len(self.seen), len(self.seen) + len(fresh))))
+        self.seen.extend(map(self.prefix.__add__, fresh) if self.prefix else fresh)
+        return np.fromiter(map(self.__getitem__, strings), np.int32, len(strings))
 
 
 def ranges(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -68,7 +72,7 @@ class WordTable:
         others = {}
         for row in np.flatnonzero(odd):
             parts = [x for x in _CUT.split(texts[int(row)].as_py()) if x]
-            others[row] = np.fromiter(map(self._whole.__getitem__, parts), np.int32, len(parts))
+            others[row] = self._whole.of(parts)
             counts[row] = len(parts)
         offsets = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(counts, out=offsets[1:])
@@ -76,10 +80,10 @@ class WordTable:
         if len(plain):
             flat = lists.flatten()
             coded = flat.dictionary_encode()
-            known = np.fromiter(map(self._spaced.__getitem__, coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
+            known = self._spaced.of(coded.dictionary.to_pylist())
             own = known[np.array(coded.indices)]
             heads = np.array(lists.offsets)[:-1] - lists.offsets[0].as_py()
-            own[heads] = np.fromiter(map(self._whole.__getitem__, flat.take(pa.array(heads)).to_pylist()), np.int32, len(heads))
+            own[heads] = self._whole.of(flat.take(pa.array(heads)).to_pylist())
             numbers[ranges(offsets[plain], counts[plain])] = own
         for row, own in others.items():
             numbers[offsets[row]:offsets[row + 1]] = own
@@ -88,13 +92,15 @@ class WordTable:
     def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The word numbers of all texts (null: empty) in order, and the offsets between texts."""
         pieces, offsets = self._piece_numbers(texts)
-        split = [self.split(x) for x in self._pieces[self._done:]]
-        if split:
-            counts = np.fromiter(map(len, split), np.int64, len(split))
-            flat = np.fromiter((self._word_numbers[w] for x in split for w in x), np.int32, int(counts.sum()))
-            self._starts = np.concatenate([self._starts, len(self._flat) + np.cumsum(counts)])
-            self._flat = np.concatenate([self._flat, flat])
-            self._done = len(self._pieces)
+        counts, flat = [], []
+        while self._done < len(self._pieces):
+            split = list(map(self.split, self._pieces[self._done:self._done + SPLIT_AT_ONCE]))
+            counts.append(np.fromiter(map(len, split), np.int64, len(split)))
+            flat.append(self._word_numbers.of(list(chain.from_iterable(split))))
+            self._done += len(split)
+        if counts:
+            self._starts = np.concatenate([self._starts, len(self._flat) + np.cumsum(np.concatenate(counts))])
+            self._flat = np.concatenate([self._flat, *flat])
         sizes = np.zeros(len(pieces) + 1, np.int64)
         np.cumsum(np.diff(self._starts)[pieces], out=sizes[1:])
         return gather(pieces, self._starts, self._flat), sizes[offsets]

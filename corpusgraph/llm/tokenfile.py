@@ -119,20 +119,6 @@ def _pairs(batch):
     return zip(batch.column("n").to_pylist(), (x.as_buffer() for x in batch.column("ids")))
 
 
-@lean
-def _counter(batches):
-    counts = np.zeros(0, np.int64)
-    for batch in batches:
-        ids = _ids(_pairs(batch))
-        if ids:
-            now = np.bincount(np.concatenate(ids))
-            if len(now) > len(counts):
-                counts = np.pad(counts, (0, len(now) - len(counts)))
-            counts[:len(now)] += now
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["token", "n"])
-
-
 def _writer(lengths: bytes):
     @lean
     def write(batches):
@@ -169,8 +155,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end:
                  text_column: str = "text", added: bool = False) -> None:
     """Encode every text and write a token file of all documents in ascending id order at ``path``.
 
-    Texts are encoded once, to a table of ids in the checkpoint folder; global counts of
-    ids (at most one row per vocabulary entry comes to the driver) give the code; the
+    Texts are encoded once, to a table of ids in the checkpoint folder with the counts of each
+    task's ids beside them; global counts (at most one row per vocabulary entry comes to the driver) give the code; the
     ids, not the texts, are then sorted by range and packed.
 
     With ``added`` the added tokens of the tokenizer file are found in the texts and get their own
@@ -181,15 +167,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end:
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    encoded = cut(rows.mapInArrow(encoder(tokenizer, pattern, end, added), f"id {kind}, n bigint, ids binary"))
-    seen = encoded.mapInArrow(_counter, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    encoded = cut(rows.mapInArrow(encoder(tokenizer, pattern, end, added),
+                                  f"id {kind}, n bigint, ids binary, tokens array<int>, counts array<bigint>"))
+    seen = encoded.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy("x.tokens").agg(
+        F.sum("x.counts").alias("n")).withColumnRenamed("tokens", "token").collect()
     counts = np.zeros(max((r["token"] for r in seen), default=0) + 1, np.int64)
     counts[[r["token"] for r in seen]] = [r["n"] for r in seen]
     lengths = limited_lengths(counts).tobytes()
     docs.sparkSession.createDataFrame([(bytearray(lengths),)], "lengths binary").write.parquet(f"{path}/code")
     order = [F.col("id").asc_nulls_last(), F.col("ids")]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).mapInArrow(
+    encoded.filter("n IS NOT NULL").select("id", "n", "ids").repartitionByRange(parts, order[0]).sortWithinPartitions(*order).mapInArrow(
         _writer(lengths), f"part int, block int, n_ids bigint, docs array<{kind}>, sizes array<bigint>, gaps binary, stream binary",
     ).write.parquet(f"{path}/blocks")
 

@@ -3,6 +3,7 @@
 import json
 import os
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +51,18 @@ class TextEncoder:
 
     def _learn(self):
         fresh = self.table.words[len(self.starts) - 1:]
-        tokenize, letters = self.model.tokenize, self.letters
-        coded = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in fresh]
-        counts = np.fromiter(map(len, coded), np.int64, len(coded))
+        if not fresh:
+            return
+        # 255 is in no UTF-8 text, so all words are spelled at once
+        spelled = b"\xff".join(map(str.encode, fresh)).decode("latin-1").translate(self.letters).split(self.letters[255])
+        tokenize, number = self.model.tokenize, attrgetter("id")
+        counts, ids = [], []
+        for word in spelled:
+            tokens = tokenize(word)
+            counts.append(len(tokens))
+            ids.extend(map(number, tokens))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in coded for i in x), np.uint32, int(counts.sum()))])
+        self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty) in order, and the offsets between texts."""
@@ -82,11 +90,18 @@ def worker_encoder(path: str, pattern: str, added: bool = False) -> TextEncoder:
 
 
 def encoder(path: str, pattern: str, end: int | None, added: bool = False):
-    """Arrow function: ``id, n, ids`` of ``id, text``, ids as little-endian 16-bit numbers (32-bit if one needs it)."""
+    """Arrow function: ``id, n, ids`` of ``id, text``, ids as little-endian 16-bit numbers (32-bit if one needs it).
+
+    Each task ends with one row without ``n``: the ids that it gave out and how often, in ``tokens`` and ``counts``.
+    """
+    lists = [pa.list_(pa.int32()), pa.list_(pa.int64())]
+    names = ["id", "n", "ids", "tokens", "counts"]
+
     @lean
     def run(batches):
-        coder = worker_encoder(path, pattern, added)
+        coder, seen, kind = worker_encoder(path, pattern, added), np.zeros(0, np.int64), None
         for batch in batches:
+            kind = batch.column("id").type
             for low in range(0, batch.num_rows, ROWS):
                 part = batch.slice(low, ROWS)
                 ids, offsets = coder.encode(part.column("text"))
@@ -95,10 +110,17 @@ def encoder(path: str, pattern: str, end: int | None, added: bool = False):
                     ids = np.insert(ids, offsets[1:], end)
                     counts = counts + 1
                     offsets = offsets + np.arange(len(offsets))
+                now = np.bincount(ids, minlength=len(seen))
+                now[:len(seen)] += seen
+                seen = now
                 small = bool(len(ids)) and int(ids.max()) > 65_535
                 width = np.dtype("<u4" if small else "<u2")
                 binary = pa.Array.from_buffers(pa.large_binary(), len(part), [
                     None, pa.py_buffer((offsets * width.itemsize).astype(np.int64)), pa.py_buffer(ids.astype(width))])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(counts, pa.int64()), binary.cast(pa.binary())], ["id", "n", "ids"])
+                    [part.column("id"), pa.array(counts, pa.int64()), binary.cast(pa.binary()), *(pa.nulls(len(part), x) for x in lists)], names)
+        used = np.flatnonzero(seen)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([
+                pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([used], lists[0]), pa.array([seen[used]], lists[1])], names)
     return run
