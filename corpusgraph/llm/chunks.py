@@ -3,7 +3,7 @@
 The split pattern of these tokenizers gives a single space to the word behind it and
 never spans from a non-space to a space. So a text may be cut in front of every space that
 a non-space follows: each piece encodes alone as it does inside the text. Pieces
-and the words in them repeat, so each is encoded once per dictionary.
+and the words in them repeat, so each is looked at once per dictionary.
 """
 
 import re
@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from corpusgraph.llm import wordhash
+
 #: A space before another white space: such texts are cut by ``_CUT`` instead of at every space.
 _RUN = r" [\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _CUT = re.compile(r"(?= \S)")
@@ -21,16 +23,16 @@ SPLIT_AT_ONCE = 20_000
 
 
 class _Numbers(dict):
-    """Numbers of strings; new strings, with ``prefix`` before them, go to ``seen``."""
+    """Numbers of strings; new ones go to ``seen``."""
 
-    def __init__(self, seen: list, prefix: str = ""):
+    def __init__(self, seen: list):
         super().__init__()
-        self.seen, self.prefix = seen, prefix
+        self.seen = seen
 
     def of(self, strings: list[str]) -> np.ndarray:
-        fresh = [x for x in dict.fromkeys(strings) if x not in self]
-        self.update(zip(fresh, range(len(self.seen), len(self.seen) + len(fresh))))
-        self.seen.extend(map(self.prefix.__add__, fresh) if self.prefix else fresh)
+        new = [x for x in dict.fromkeys(strings) if x not in self]
+        self.update(zip(new, range(len(self.seen), len(self.seen) + len(new))))
+        self.seen.extend(new)
         return np.fromiter(map(self.__getitem__, strings), np.int32, len(strings))
 
 
@@ -48,56 +50,91 @@ def gather(numbers: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.nd
     return values[ranges(begin, starts[numbers + 1] - begin)]
 
 
-class WordTable:
-    """The words of texts by number. ``split`` gives the words of one piece of text."""
+class PieceTable:
+    """The pieces of texts by number. Pieces are known by 128 bits of hash, in sorted arrays."""
 
-    def __init__(self, split):
-        self.split = split
-        self.words: list[str] = []
-        self._word_numbers = _Numbers(self.words)
-        self._pieces: list[str] = []
-        self._spaced, self._whole = _Numbers(self._pieces, " "), _Numbers(self._pieces)
-        self._done, self._starts, self._flat = 0, np.zeros(1, np.int64), np.zeros(0, np.int32)
+    def __init__(self):
+        self._fresh, self._total = [], 0
+        self._first, self._second, self._number = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     def __len__(self):
-        return len(self._pieces) + len(self.words)
-
-    def _piece_numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self._total
+
+    def fresh(self) -> list[str]:
+        """The pieces that were numbered since the last call, in order."""
+        new = self._fresh[:]
+        self._fresh.clear()
+        return new
+
+    def _of(self, strings: pa.Array, prefix: str = "") -> np.ndarray:
+        """Numbers of strings with ``prefix`` before them, as often as they occur."""
+        coded = strings.dictionary_encode()
+        strings = coded.dictionary
+        raw, ends = wordhash.text_bytes(strings)
+        first = wordhash.span_hashes(raw, ends[:-1], ends[1:], fold=False) ^ np.uint64(len(prefix))
+        second = wordhash.span_hashes(255 - raw, ends[:-1], ends[1:], fold=False)
+        numbers, known = np.zeros(len(strings), np.int32), np.zeros(len(strings), bool)
+        if self._total:
+            place = np.minimum(np.searchsorted(self._first, first), len(self._first) - 1)
+            known = (self._first[place] == first) & (self._second[place] == second)
+            numbers[known] = self._number[place[known]]
+        new = np.flatnonzero(~known)
+        numbers[new] = self._total + np.arange(len(new))
+        self._total += len(new)
+        found = strings.take(pa.array(new)).to_pylist()
+        self._fresh.extend(map(prefix.__add__, found) if prefix else found)
+        new = new[np.argsort(first[new], kind="stable")]
+        at = np.searchsorted(self._first, first[new])
+        self._first, self._second, self._number = (
+            np.insert(x, at, y[new]) for x, y in ((self._first, first), (self._second, second), (self._number, numbers)))
+        return numbers[np.array(coded.indices)]
+
+    def piece_numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The piece numbers of all texts (null: empty) in order, and the offsets between texts."""
         texts = texts.fill_null("")
         odd = np.array(pc.match_substring_regex(texts, _RUN))
         plain = np.flatnonzero(~odd)
         lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
         counts = np.zeros(len(texts), np.int64)
         counts[plain] = np.diff(np.array(lists.offsets))
-        others = {}
+        others = []
         for row in np.flatnonzero(odd):
             parts = [x for x in _CUT.split(texts[int(row)].as_py()) if x]
-            others[row] = self._whole.of(parts)
+            others += parts
             counts[row] = len(parts)
         offsets = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(counts, out=offsets[1:])
         numbers = np.zeros(offsets[-1], np.int32)
         if len(plain):
             flat = lists.flatten()
-            coded = flat.dictionary_encode()
-            known = self._spaced.of(coded.dictionary.to_pylist())
-            own = known[np.array(coded.indices)]
+            own = self._of(flat, " ")
             heads = np.array(lists.offsets)[:-1] - lists.offsets[0].as_py()
-            own[heads] = self._whole.of(flat.take(pa.array(heads)).to_pylist())
+            own[heads] = self._of(flat.take(pa.array(heads)))
             numbers[ranges(offsets[plain], counts[plain])] = own
-        for row, own in others.items():
-            numbers[offsets[row]:offsets[row + 1]] = own
+        if others:
+            rows = np.flatnonzero(odd)
+            numbers[ranges(offsets[rows], counts[rows])] = self._of(pa.array(others, pa.string()))
         return numbers, offsets
 
+
+class WordTable(PieceTable):
+    """The words of texts by number. ``split`` gives the words of one piece of text."""
+
+    def __init__(self, split):
+        super().__init__()
+        self.split = split
+        self.words: list[str] = []
+        self._word_numbers = _Numbers(self.words)
+        self._starts, self._flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
     def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The word numbers of all texts (null: empty) in order, and the offsets between texts."""
-        pieces, offsets = self._piece_numbers(texts)
-        counts, flat = [], []
-        while self._done < len(self._pieces):
-            split = list(map(self.split, self._pieces[self._done:self._done + SPLIT_AT_ONCE]))
+        pieces, offsets = self.piece_numbers(texts)
+        fresh, counts, flat = self.fresh(), [], []
+        for low in range(0, len(fresh), SPLIT_AT_ONCE):
+            split = list(map(self.split, fresh[low:low + SPLIT_AT_ONCE]))
             counts.append(np.fromiter(map(len, split), np.int64, len(split)))
             flat.append(self._word_numbers.of(list(chain.from_iterable(split))))
-            self._done += len(split)
         if counts:
             self._starts = np.concatenate([self._starts, len(self._flat) + np.cumsum(np.concatenate(counts))])
             self._flat = np.concatenate([self._flat, *flat])

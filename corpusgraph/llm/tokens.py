@@ -3,6 +3,7 @@
 import json
 import os
 from functools import lru_cache
+from itertools import chain
 from operator import attrgetter
 
 import numpy as np
@@ -10,12 +11,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from corpusgraph.llm.chunks import WordTable, gather
+from corpusgraph.llm.chunks import SPLIT_AT_ONCE, PieceTable, gather
 from corpusgraph.llm.tasks import lean
 
-#: Words and pieces that a worker remembers, and rows that it encodes at once.
-REMEMBERED = 1_000_000
-ROWS = 2048
+#: Pieces that a worker remembers, and rows and bytes (and one row) that it encodes at once.
+REMEMBERED = 3_000_000
+ROWS = 8192
+BYTES = 16_000_000
 
 
 @lru_cache(maxsize=1)
@@ -27,7 +29,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class TextEncoder:
-    """Ids of texts by the model of the tokenizers library; words that were seen before are looked up.
+    """Ids of texts by the model of the tokenizers library; pieces of text that were seen before are looked up.
 
     With ``added``, texts that hold an added token of the file go through the library as a whole;
     without, such a token is spelled like other text.
@@ -46,34 +48,38 @@ class TextEncoder:
         self._clear()
 
     def _clear(self):
-        self.table = WordTable(self.split)
+        self.table = PieceTable()
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self):
-        fresh = self.table.words[len(self.starts) - 1:]
-        if not fresh:
-            return
-        # 255 is in no UTF-8 text, so all words are spelled at once
-        spelled = b"\xff".join(map(str.encode, fresh)).decode("latin-1").translate(self.letters).split(self.letters[255])
-        tokenize, number = self.model.tokenize, attrgetter("id")
-        counts, ids = [], []
-        for word in spelled:
-            tokens = tokenize(word)
-            counts.append(len(tokens))
-            ids.extend(map(number, tokens))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts)])
-        self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
+        fresh, sizes, ids = self.table.fresh(), [], []
+        tokenize, number, last = self.model.tokenize, attrgetter("id"), len(self.ids)
+        for low in range(0, len(fresh), SPLIT_AT_ONCE):
+            split = list(map(self.split, fresh[low:low + SPLIT_AT_ONCE]))
+            words = list(chain.from_iterable(split))
+            # 255 is in no UTF-8 text, so all words are spelled at once
+            spelled = b"\xff".join(map(str.encode, words)).decode("latin-1").translate(self.letters).split(self.letters[255])
+            counts, own = [0], []
+            for word in spelled if words else ():
+                own.extend(map(number, tokenize(word)))
+                counts.append(len(own))
+            ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+            sizes.append(last + np.array(counts, np.int64)[ends])
+            last += len(own)
+            ids.append(np.array(own, np.uint32))
+        if fresh:
+            self.starts, self.ids = np.concatenate([self.starts, *sizes]), np.concatenate([self.ids, *ids])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty) in order, and the offsets between texts."""
         if len(self.table) > REMEMBERED:
             self._clear()
         held = pc.fill_null(pc.match_substring_regex(texts, self.added), False) if self.added else pa.array([False] * len(texts))
-        words, offsets = self.table.numbers(pc.if_else(held, "", texts))
+        pieces, offsets = self.table.piece_numbers(pc.if_else(held, "", texts))
         self._learn()
-        sizes = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(np.diff(self.starts)[words], out=sizes[1:])
-        ids, offsets = gather(words, self.starts, self.ids), sizes[offsets]
+        sizes = np.zeros(len(pieces) + 1, np.int64)
+        np.cumsum(np.diff(self.starts)[pieces], out=sizes[1:])
+        ids, offsets = gather(pieces, self.starts, self.ids), sizes[offsets]
         rows = np.flatnonzero(np.array(held))
         if not len(rows):
             return ids, offsets
@@ -102,8 +108,12 @@ def encoder(path: str, pattern: str, end: int | None, added: bool = False):
         coder, seen, kind = worker_encoder(path, pattern, added), np.zeros(0, np.int64), None
         for batch in batches:
             kind = batch.column("id").type
-            for low in range(0, batch.num_rows, ROWS):
-                part = batch.slice(low, ROWS)
+            ends = np.cumsum(np.array(pc.binary_length(batch.column("text")).fill_null(0), np.int64))
+            low = 0
+            while low < batch.num_rows:
+                stop = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BYTES, "right"))
+                part = batch.slice(low, max(1, min(stop - low, ROWS)))
+                low += len(part)
                 ids, offsets = coder.encode(part.column("text"))
                 counts = np.diff(offsets)
                 if end is not None:
