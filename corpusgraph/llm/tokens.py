@@ -15,9 +15,9 @@ from corpusgraph.llm.chunks import SPLIT_AT_ONCE, PieceTable, gather
 from corpusgraph.llm.tasks import lean
 
 #: Pieces that a worker remembers, and rows and bytes (and one row) that it encodes at once.
-REMEMBERED = 3_000_000
+REMEMBERED = 2_000_000
 ROWS = 8192
-BYTES = 16_000_000
+BYTES = 4_000_000
 
 
 @lru_cache(maxsize=1)
