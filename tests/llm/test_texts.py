@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import html
+import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -231,7 +233,80 @@ def test_main_text_drops_what_is_not_the_article(spark):
     "<body><div>one<template><p>no</div><div>two</div>",
 ])
 def test_unclosed_unseen_elements_do_not_take_the_page(page):
-    assert [text for _, _, text in sitetree.read_page(page)[0]] == ["one", "two"]
+    assert [text for *_, text in sitetree.read_page(page)[0]] == ["one", "two"]
+
+
+@pytest.mark.parametrize("tag", ["<div class='content-block'>", "<center>", "<li>", "<p><section>"])
+def test_depth_costs_no_more_than_the_page(tag):
+    tracemalloc.start()
+    begin = time.perf_counter()
+    blocks, _ = sitetree.read_page(tag * 50_000 + "<p></p></b>" * 20_000 + "deep")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [text for *_, text in blocks] == ["deep"] and peak < 150e6 and time.perf_counter() - begin < 30
+
+
+def main_texts(spark, pages):
+    rows = [(k, f"http://h{host}/", html) for k, (host, html) in enumerate(pages)]
+    got = sitetree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    return [x["text"] for x in sorted(got, key=lambda x: x["page"])]
+
+
+def test_names_of_states_and_wrappers_do_not_take_the_article(spark):
+    pages = ["<body class='has-sidebar'><article>a", "<form><div><article><p>a</article></div>no</form>", "<div class='post comments-open'><p>a</div>",
+             "<article><header><h1>a</h1></header><p>b</article>", "<div class='sidebar-layout'><div><main>a</main></div></div>",
+             "<section id=comments><article>no</article></section><p>a", "<aside><article>no</article></aside><p>a", "<div class=header>no<article>a",
+             "<div class='promo-box'>no</div><p>a", "<div class='comment-list'>no</div><p>a", "<article>a<div class='cookie-bar'>no"]
+    assert main_texts(spark, list(enumerate(pages))) == ["a", "a", "a", "a\nb"] + ["a"] * 7
+
+
+def test_importance_decides_where_a_host_has_pages(spark):
+    def page(k):
+        return (f"<div class=x1><span>Top story</span></div><div class=x2><p>Body {k} of page<p>We use cookies<p>more {k}</div>"
+                f"<div class='promo-box'>Deal {k}</div><div class='promo-card'>Buy {k % 2}</div>"
+                f"<main><p>Main {k} is long enough<p>Accept our terms<p>End {k}</main><div class=x3>About us</div>")
+    want = [f"Body {k} of page\nWe use cookies\nmore {k}\nDeal {k}\nMain {k} is long enough\nEnd {k}" for k in range(12)]
+    copies = ["<main><p>one<p>two</main><div class=x3>About"] * 4 + ["<main><p>one<p>two<p>extra</main><div class=x3>About"] * 2
+    got = main_texts(spark, [(0, page(k)) for k in range(12)] + [(1, x) for x in copies])
+    assert got[:12] == want
+    assert got[12:] == ["one\ntwo"] * 4 + ["one\ntwo\nextra"] * 2
+
+
+def test_node_importance_equals_a_plain_computation(spark):
+    r = random.Random(12)
+    pages = []
+    for k in range(60):
+        parts = [f"<div class={c}><p>{r.choice('abcdef')}" + r.choice(["", "<p>z", "<ul><li>1"]) + "</div>" for c in r.sample("xyz", r.randrange(1, 4))]
+        pages.append((f"http://h{k % 3}/{k}", "".join(parts) + f"<article>{r.randrange(30)}"))
+    rows = [(k, u, t) for k, (u, t) in enumerate(pages)]
+    read = sitetree.read_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4))
+    got = {(x["host"], x["path"]): (x["pages"], x["importance"]) for x in sitetree.node_importance(read, sitetree.text_counts(read)).collect()}
+    hosts = {x["page"]: x["host"] for x in read.collect()}
+    by_host = {}
+    for k, (_, html) in enumerate(pages):
+        blocks, styles = sitetree.read_page(html)
+        article = tuple(t for *_, role, t in blocks if role == "+")
+        by_host.setdefault(hosts[k], []).append((k, article, blocks, styles))
+    want = {}
+    for host, known in by_host.items():
+        texts, paths, shown, parent = {}, {}, {}, {}
+        for k, article, blocks, styles in known:
+            for path, above, role, text in blocks:
+                unit = article if role == "+" else k  # copies of an article count once inside it
+                texts.setdefault(path, {}).setdefault(text, set()).add(unit)
+                paths.setdefault(path, set()).add(unit)
+                parent[path] = above
+            for path, style in styles.items():
+                shown.setdefault(path, {}).setdefault(style, set()).add(k)
+        for path, held in texts.items():
+            m = len(paths[path])
+            content = 1.0 if m == 1 else 1 - sum(math.log(len(x)) / math.log(m) for x in held.values()) / len(held)
+            styles = [len(x) for x in shown[parent[path]].values()]
+            total = sum(styles)
+            presentation = 1.0 if total == 1 else -sum(n / total * math.log(n / total) for n in styles) / math.log(total)
+            want[host, path] = (m, 0.9 * content + 0.1 * presentation)
+    assert got.keys() == want.keys()
+    assert all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-9 for x in want)
 
 
 def test_copies_of_an_article_keep_their_text(spark):
