@@ -7,6 +7,7 @@ rotating adverts).
 """
 
 import hashlib
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -49,15 +50,16 @@ LEAST_PAGES = 3
 PAGES_INSIDE = 8
 
 
-def _names(attributes) -> list[str]:
+def _names(attributes) -> tuple[str, ...]:
     words = []
     for key, value in attributes:
         if key in ("class", "id", "role") and value:
             words += value.lower().replace("_", "-").split()
-    return words
+    return tuple(words)
 
 
-def _role(tag: str, names: list[str]) -> str:
+@lru_cache(maxsize=10_000)
+def _role(tag: str, names: tuple[str, ...]) -> str:
     """``-`` for a branch that is no part of the article, ``+`` for the article, ``~`` if only a part of a name speaks against it."""
     if tag in ("html", "body"):
         return ""
@@ -73,7 +75,8 @@ def _role(tag: str, names: list[str]) -> str:
     return "+" if parts & MAIN_NAMES else ""
 
 
-def _closed(tag: str, names: list[str]) -> bool:
+@lru_cache(maxsize=10_000)
+def _closed(tag: str, names: tuple[str, ...]) -> bool:
     """No article begins inside such a branch."""
     return tag in CLOSED_TAGS or any(p in READER_NAMES for n in names for p in n.split("-"))
 
@@ -87,6 +90,7 @@ def _inner_role(above: str, closed: bool, tag: str, own: str) -> str:
     return own or above
 
 
+@lru_cache(maxsize=100_000)
 def _number(above: int, label: str) -> int:
     """64 bits for a path: its parent's and one more label."""
     return int.from_bytes(hashlib.blake2b(f"{above}>{label}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
@@ -323,7 +327,8 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     def length(blocks):
         return F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
 
-    known = read.join(decided(read), "row", "left").select(
+    met = read.join(decided(read), "row", "left")
+    known = met.filter("verdicts IS NOT NULL").select(
         "page", "url", F.transform("blocks", lambda b: F.struct(b["role"].alias("role"), b["text"].alias("text"), verdict(b).alias("v"))).alias("blocks"))
     inside = F.filter("blocks", lambda b: b["role"] == "+")
     common = F.filter(inside, lambda b: F.coalesce(b["v"]["common"], F.lit(False)))
@@ -331,6 +336,10 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
                     .when(b["role"] == "+", ~(F.col("notices") & F.coalesce(b["v"]["common"], F.lit(False))))
                     .when(b["role"] == "~", F.coalesce(b["v"]["mark"] < 1, F.lit(True)))
                     .otherwise(F.coalesce(b["v"]["mark"] < 2, F.lit(True))))
-    return known.withColumn("notices", 2 * length(common) <= length(inside)).select(
-        "page", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text")).withColumn(
+    def joined(blocks):
+        return F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
+
+    judged = known.withColumn("notices", 2 * length(common) <= length(inside)).select("page", "url", joined(kept).alias("text"))
+    free = met.filter("verdicts IS NULL").select("page", "url", joined(F.filter("blocks", lambda b: b["role"] != "-")).alias("text"))
+    return free.unionByName(judged).withColumn(
         "n_chars", F.length("text").cast("long"))
