@@ -95,11 +95,11 @@ def _(t):
 
 
 @query("w11_signature_order", """
-    SELECT path, CASE WHEN path IN (SELECT min(path) FROM $F_sources GROUP BY project) THEN 0 ELSE 1 END AS later, export_sig
-    FROM $F_contracts""")
+    SELECT c.project, path, CASE WHEN path = first THEN 0 ELSE 1 END AS later, export_sig
+    FROM $F_contracts c JOIN (SELECT project, min(path) AS first FROM $F_sources GROUP BY project) f ON f.project = c.project""")
 def _(t):
     first = t("F_sources").groupBy("project").agg(F.min("path").alias("path"))
-    return R.signature_order(t("F_contracts"), first).select("path", "later", "export_sig")
+    return R.signature_order(t("F_contracts"), first).select("project", "path", "later", "export_sig")
 
 
 @query("a6_silent_nodes", "SELECT project, count(*) FILTER (WHERE export_sig = '' AND signal_sig = '') AS silent FROM $F_contracts GROUP BY project")
@@ -153,9 +153,11 @@ def _(t):
     return t("F_bodies").select("path", C.outline(F.col("path"), F.col("content")).alias("outline"))
 
 
-@query("c6_dependents_section", f"""WITH RECURSIVE {_TARGET}, back AS (SELECT DISTINCT dst AS src, src AS dst FROM $F_deps),
-    reach(seed, id) AS (SELECT DISTINCT target, target FROM aim UNION SELECT r.seed, l.dst FROM reach r JOIN back l ON l.src = r.id)
-    SELECT a.query_id, a.target, r.id AS dependent FROM aim a JOIN reach r ON r.seed = a.target WHERE r.id <> r.seed""")
+@query("c6_dependents_section", f"""WITH RECURSIVE {_TARGET}, back AS (SELECT DISTINCT dst AS src, src AS dst FROM $F_kdeps),
+    reach(seed, id) AS (SELECT DISTINCT CAST(project AS STRING) || '|' || target, CAST(project AS STRING) || '|' || target FROM aim
+      UNION SELECT r.seed, l.dst FROM reach r JOIN back l ON l.src = r.id)
+    SELECT a.query_id, a.project, a.target, substr(r.id, instr(r.id, '|') + 1) AS dependent
+    FROM aim a JOIN reach r ON r.seed = CAST(a.project AS STRING) || '|' || a.target WHERE r.id <> r.seed""")
 def _(t):
     aim = R.targets(t("F_issues"), _ranked(t)).filter("target IS NOT NULL")
     return C.dependents_rows(aim, t("F_nodes"), t("F_deps"))

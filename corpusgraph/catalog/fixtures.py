@@ -33,22 +33,26 @@ FIXTURES = {
                || CASE doc_id % 7 WHEN 0 THEN '.js' WHEN 1 THEN '.min.js' WHEN 2 THEN '.TS' WHEN 3 THEN '.gd'
                  WHEN 4 THEN '.png' WHEN 5 THEN '.scene.json' ELSE '' END AS raw_path
         FROM $documents""",
-    # one source file per order; a project is a customer
+    # one source file per order; a project is a customer, and file names repeat from project to project
     "F_sources": """
-        SELECT o_custkey AS project, o_orderkey AS file_no, o_orderdate, o_totalprice, o_orderstatus, o_orderpriority,
-               lower(replace(substr(o_orderpriority, 3), ' ', '_')) AS area,
-               'src/' || lower(replace(substr(o_orderpriority, 3), ' ', '_')) || '/'
-                 || CAST(o_orderkey AS STRING) || '.js' AS path
-        FROM $orders""",
-    # graph nodes: every source file, and the assets that exist
+        SELECT project, file_no, order_no, o_orderdate, o_totalprice, o_orderstatus, o_orderpriority, area,
+               'src/' || area || '/' || CAST(file_no AS STRING) || '.js' AS path
+        FROM (SELECT o_custkey AS project, o_orderkey AS order_no, o_orderdate, o_totalprice, o_orderstatus, o_orderpriority,
+                CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS file_no,
+                lower(replace(substr(o_orderpriority, 3), ' ', '_')) AS area
+              FROM $orders) o""",
+    # graph nodes of each project: every source file, the assets that it needs and that exist, and assets that nothing needs
     "F_nodes": """
-        SELECT path AS id,
+        SELECT project, path AS id,
                CASE o_orderstatus WHEN 'F' THEN 'module' WHEN 'O' THEN 'scene' ELSE 'script' END AS type,
                CASE o_orderstatus WHEN 'P' THEN 'godot' ELSE 'js' END AS engine, area AS label
         FROM $F_sources
         UNION ALL
-        SELECT 'models/' || CAST(p_partkey AS STRING) || '.glb', 'asset', 'js', p_brand || '/' || p_name
-        FROM $part WHERE p_size <= 45""",
+        SELECT a.project, 'models/' || CAST(p.p_partkey AS STRING) || '.glb', 'asset', 'js', p.p_brand || '/' || p.p_name
+        FROM $part p JOIN (
+          SELECT s.project, l.l_partkey AS part FROM $lineitem l JOIN $F_sources s ON l.l_orderkey = s.order_no
+          UNION SELECT p_partkey, p_partkey FROM $part) a ON a.part = p.p_partkey
+        WHERE p.p_size <= 15""",
     # typed edges: earlier file of the area, next cheaper file, itself, a lost file, assets
     "F_deps": """
         SELECT project, src, dst, kind FROM (
@@ -69,8 +73,12 @@ FIXTURES = {
           WHERE o_orderstatus = 'O' AND area = 'low'
           UNION ALL
           SELECT DISTINCT s.project, s.path, 'models/' || CAST(l.l_partkey AS STRING) || '.glb', 'asset_ref'
-          FROM $lineitem l JOIN $F_sources s ON l.l_orderkey = s.file_no
+          FROM $lineitem l JOIN $F_sources s ON l.l_orderkey = s.order_no
         ) e WHERE dst IS NOT NULL""",
+    # the same with ids that name their project
+    "F_knodes": "SELECT CAST(project AS STRING) || '|' || id AS id, project, type, engine FROM $F_nodes",
+    "F_kdeps": """
+        SELECT CAST(project AS STRING) || '|' || src AS src, CAST(project AS STRING) || '|' || dst AS dst, kind, project FROM $F_deps""",
     # hierarchy with self-parents, missing parents and cycles
     "F_tree": """
         SELECT c_custkey AS id, c_mktsegment AS prefab, c_name AS name,
@@ -98,16 +106,16 @@ FIXTURES = {
     "F_contracts": """
         SELECT project, path, file_no,
                CASE o_orderstatus WHEN 'F' THEN 'function load_' || area || '(x,  y)'
-                 WHEN 'O' THEN 'class Level' || CAST(file_no % 10 AS STRING)
+                 WHEN 'O' THEN 'class Level' || CAST(order_no % 10 AS STRING)
                  ELSE CASE area WHEN 'low' THEN '' ELSE 'const speed_' || area END END AS export_sig,
                CASE area WHEN 'urgent' THEN 'died_' || lower(o_orderstatus) || '()' ELSE '' END AS signal_sig
         FROM $F_sources""",
     # text of every source file; lengths differ
     "F_bodies": """
         SELECT project, path, file_no, 'import { start } from "./boot.js";' || chr(10)
-               || 'export function load_' || area || '(x, y) {' || chr(10) || '  return x + ' || CAST(file_no AS STRING) || ';' || chr(10)
-               || '}' || chr(10) || repeat('// note' || chr(10), CAST(file_no % 90 AS INT)) || 'export const speed = '
-               || CAST(project AS STRING) || ';' || repeat(chr(10) || '//', CAST(CASE WHEN file_no % 50 = 0 THEN 210 ELSE 0 END AS INT)) AS content
+               || 'export function load_' || area || '(x, y) {' || chr(10) || '  return x + ' || CAST(order_no AS STRING) || ';' || chr(10)
+               || '}' || chr(10) || repeat('// note' || chr(10), CAST(order_no % 90 AS INT)) || 'export const speed = '
+               || CAST(project AS STRING) || ';' || repeat(chr(10) || '//', CAST(CASE WHEN order_no % 50 = 0 THEN 210 ELSE 0 END AS INT)) AS content
         FROM $F_sources""",
     # one query per event: description and log
     "F_issues": """

@@ -7,106 +7,115 @@ from corpusgraph.operators import graph as G
 from corpusgraph.operators import hierarchy as H
 
 
+def _named(**columns: str) -> str:
+    """SQL columns from ids that name their project: the project of the first, then the id of each."""
+    first = next(iter(columns.values()))
+    ids = ", ".join(f"substr({x}, instr({x}, '|') + 1) AS {name}" for name, x in columns.items())
+    return f"CAST(split_part({first}, '|', 1) AS BIGINT) AS project, {ids}"
+
+
 @query("g4_reverse_adjacency", """
-    SELECT n.id, d.src AS dependent FROM $F_nodes n LEFT JOIN (SELECT DISTINCT src, dst FROM $F_deps) d ON d.dst = n.id""")
+    SELECT n.project, n.id, d.src AS dependent FROM $F_nodes n LEFT JOIN (SELECT DISTINCT project, src, dst FROM $F_deps) d
+      ON d.dst = n.id AND d.project = n.project""")
 def _(t):
     return G.dependents(t("F_nodes"), t("F_deps"))
 
 
-@query("g5_forward_adjacency", "SELECT DISTINCT src AS id, dst AS dependency FROM $F_deps")
+@query("g5_forward_adjacency", "SELECT DISTINCT project, src AS id, dst AS dependency FROM $F_deps")
 def _(t):
     return G.dependencies(t("F_deps"))
 
 
 @query("g6_edges_from_adjacency", """
-    SELECT src, dst, 'import' AS kind FROM (SELECT DISTINCT src, dst FROM $F_deps WHERE src LIKE 'src/%') d""")
+    SELECT project, src, dst, 'import' AS kind FROM (SELECT DISTINCT project, src, dst FROM $F_deps WHERE src LIKE 'src/%') d""")
 def _(t):
     # A file has few dependencies, so its array is short; hubs are on the other side.
-    adjacency = G.dependencies(t("F_deps")).groupBy("id").agg(F.array_sort(F.collect_set("dependency")).alias("depends_on"))
+    adjacency = G.dependencies(t("F_deps")).groupBy("project", "id").agg(F.array_sort(F.collect_set("dependency")).alias("depends_on"))
     return G.edges_from_adjacency(adjacency)
 
 
-@query("g7_dangling_edges", """
-    SELECT project, src, dst, kind FROM $F_deps
-    WHERE src NOT IN (SELECT id FROM $F_nodes) OR dst NOT IN (SELECT id FROM $F_nodes)""")
+@query("g7_dangling_edges", f"""
+    SELECT {_named(src="src", dst="dst")}, kind FROM $F_kdeps
+    WHERE src NOT IN (SELECT id FROM $F_knodes) OR dst NOT IN (SELECT id FROM $F_knodes)""")
 def _(t):
     return G.dangling(t("F_nodes"), t("F_deps"))
 
 
-_FORWARD = """WITH RECURSIVE links AS (SELECT DISTINCT src, dst FROM $F_deps),
-    reach(seed, id) AS (SELECT id, id FROM $F_nodes UNION SELECT r.seed, l.dst FROM reach r JOIN links l ON l.src = r.id)"""
+_FORWARD = """WITH RECURSIVE links AS (SELECT DISTINCT src, dst FROM $F_kdeps),
+    reach(seed, id) AS (SELECT id, id FROM $F_knodes UNION SELECT r.seed, l.dst FROM reach r JOIN links l ON l.src = r.id)"""
+
+
+def _per_seed(pairs):
+    return pairs.groupBy("project", "seed").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-@query("g8_forward_closure", _FORWARD + """
-    SELECT seed, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM reach GROUP BY seed""")
+@query("g8_forward_closure", _FORWARD + f"""
+    SELECT {_named(seed="seed", first_id="min(id)", last_id="max(id)")}, count(*) AS n FROM reach GROUP BY seed""")
 def _(t):
-    pairs = G.reachable(t("F_nodes").select("id"), t("F_deps"))
-    return pairs.groupBy("seed").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return _per_seed(G.reachable(t("F_nodes").select("project", "id"), t("F_deps")))
 
 
-@query("g9_reverse_closure", """
-    WITH RECURSIVE links AS (SELECT DISTINCT dst AS src, src AS dst FROM $F_deps),
-    reach(seed, id) AS (SELECT id, id FROM $F_nodes UNION SELECT r.seed, l.dst FROM reach r JOIN links l ON l.src = r.id)
-    SELECT seed, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM reach WHERE id <> seed GROUP BY seed""")
+@query("g9_reverse_closure", f"""
+    WITH RECURSIVE links AS (SELECT DISTINCT dst AS src, src AS dst FROM $F_kdeps),
+    reach(seed, id) AS (SELECT id, id FROM $F_knodes UNION SELECT r.seed, l.dst FROM reach r JOIN links l ON l.src = r.id)
+    SELECT {_named(seed="seed", first_id="min(id)", last_id="max(id)")}, count(*) AS n FROM reach WHERE id <> seed GROUP BY seed""")
 def _(t):
-    pairs = G.transitive_dependents(t("F_nodes").select("id"), t("F_nodes"), t("F_deps"))
-    return pairs.groupBy("seed").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return _per_seed(G.transitive_dependents(t("F_nodes").select("project", "id"), t("F_nodes"), t("F_deps")))
 
 
-@query("g10_neighbourhood", """
-    WITH RECURSIVE links AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM $F_deps UNION ALL SELECT dst, src FROM $F_deps) u
-      WHERE a IN (SELECT id FROM $F_nodes) AND b IN (SELECT id FROM $F_nodes)),
-    one AS (SELECT id AS focus, id, 0 AS distance FROM $F_nodes UNION ALL SELECT a, b, 1 FROM links WHERE a <> b),
+@query("g10_neighbourhood", f"""
+    WITH RECURSIVE links AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM $F_kdeps UNION ALL SELECT dst, src FROM $F_kdeps) u
+      WHERE a IN (SELECT id FROM $F_knodes) AND b IN (SELECT id FROM $F_knodes)),
+    one AS (SELECT id AS focus, id, 0 AS distance FROM $F_knodes UNION ALL SELECT a, b, 1 FROM links WHERE a <> b),
     two AS (SELECT focus, id, distance FROM one UNION ALL SELECT DISTINCT o.focus, l.b, 2 FROM one o JOIN links l ON l.a = o.id WHERE o.distance = 1),
     best AS (SELECT focus, id, min(distance) AS distance FROM two GROUP BY focus, id)
-    SELECT focus, distance, count(*) AS n, min(id) AS first_id FROM best GROUP BY focus, distance""")
+    SELECT {_named(focus="focus", first_id="min(id)")}, distance, count(*) AS n FROM best GROUP BY focus, distance""")
 def _(t):
-    near = G.neighbourhood(t("F_nodes"), t("F_deps"), t("F_nodes").select("id"), 2)
-    return near.groupBy("focus", "distance").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    near = G.neighbourhood(t("F_nodes"), t("F_deps"), t("F_nodes").select("project", "id"), 2)
+    return near.groupBy("project", "focus", "distance").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
-@query("g11_induced_subgraph", """
-    WITH keep AS (SELECT id FROM $F_nodes WHERE engine = 'js')
-    SELECT project, src, dst, kind FROM $F_deps WHERE src IN (SELECT id FROM keep) AND dst IN (SELECT id FROM keep)""")
+@query("g11_induced_subgraph", f"""
+    WITH keep AS (SELECT id FROM $F_knodes WHERE engine = 'js')
+    SELECT {_named(src="src", dst="dst")}, kind FROM $F_kdeps WHERE src IN (SELECT id FROM keep) AND dst IN (SELECT id FROM keep)""")
 def _(t):
     return G.induced(t("F_deps"), t("F_nodes").filter("engine = 'js'")).select("project", "src", "dst", "kind")
 
 
-_ORPHANS = """links AS (SELECT DISTINCT src, dst FROM $F_deps WHERE src <> dst AND src IN (SELECT id FROM $F_nodes)),
-    roots AS (SELECT id FROM $F_nodes WHERE id NOT IN (SELECT dst FROM links)),
+_ORPHANS = """links AS (SELECT DISTINCT src, dst FROM $F_kdeps WHERE src <> dst AND src IN (SELECT id FROM $F_knodes)),
+    roots AS (SELECT id FROM $F_knodes WHERE id NOT IN (SELECT dst FROM links)),
     reach(id, hit) AS (SELECT id, false FROM roots UNION SELECT l.dst, true FROM reach r JOIN links l ON l.src = r.id),
-    orphan AS (SELECT id, CASE WHEN id IN (SELECT src FROM $F_deps) THEN 'entry_point'
+    orphan AS (SELECT project, id, CASE WHEN id IN (SELECT src FROM $F_kdeps) THEN 'entry_point'
       WHEN type = 'asset' THEN 'unreferenced_asset' ELSE 'unreferenced' END AS reason
-      FROM $F_nodes WHERE id NOT IN (SELECT id FROM reach WHERE hit))"""
+      FROM $F_knodes WHERE id NOT IN (SELECT id FROM reach WHERE hit))"""
 
 
-@query("g12_orphans", f"WITH RECURSIVE {_ORPHANS} SELECT id, reason FROM orphan")
+@query("g12_orphans", f"""WITH RECURSIVE {_ORPHANS} SELECT {_named(id="id")}, reason FROM orphan""")
 def _(t):
     return G.orphans(t("F_nodes"), t("F_deps"))
 
 
-@query("g13_cycle_groups", """
-    WITH RECURSIVE links AS (SELECT DISTINCT src, dst FROM $F_deps WHERE dst LIKE 'src/%'),
+@query("g13_cycle_groups", f"""
+    WITH RECURSIVE links AS (SELECT DISTINCT src, dst FROM $F_kdeps WHERE contains(dst, '|src/')),
     reach(seed, id) AS (SELECT src, dst FROM links UNION SELECT r.seed, l.dst FROM reach r JOIN links l ON l.src = r.id),
     on_cycle AS (SELECT seed AS id FROM reach WHERE seed = id)
-    SELECT a.seed AS id, min(a.id) AS cycle FROM reach a JOIN reach b ON b.seed = a.id AND b.id = a.seed
+    SELECT {_named(id="a.seed", cycle="min(a.id)")} FROM reach a JOIN reach b ON b.seed = a.id AND b.id = a.seed
     WHERE a.seed IN (SELECT id FROM on_cycle) GROUP BY a.seed""")
 def _(t):
     return G.cycle_groups(t("F_deps"))
 
 
-_LAYERS = """links AS (SELECT DISTINCT src, dst FROM $F_deps WHERE src IN (SELECT id FROM $F_nodes) AND dst IN (SELECT id FROM $F_nodes)),
+_LAYERS = """links AS (SELECT DISTINCT src, dst FROM $F_kdeps WHERE src IN (SELECT id FROM $F_knodes) AND dst IN (SELECT id FROM $F_knodes)),
     reach(seed, id) AS (SELECT src, dst FROM links UNION SELECT r.seed, l.dst FROM reach r JOIN links l ON l.src = r.id),
     cyc AS (SELECT DISTINCT seed AS id FROM reach WHERE seed = id),
     blocked AS (SELECT id FROM cyc UNION SELECT seed FROM reach WHERE id IN (SELECT id FROM cyc)),
-    free AS (SELECT id FROM $F_nodes WHERE id NOT IN (SELECT id FROM blocked)),
+    free AS (SELECT id FROM $F_knodes WHERE id NOT IN (SELECT id FROM blocked)),
     depth(id, layer) AS (SELECT id, 0 FROM free WHERE id NOT IN (SELECT src FROM links)
       UNION SELECT l.src, d.layer + 1 FROM depth d JOIN links l ON l.dst = d.id WHERE l.src IN (SELECT id FROM free)),
-    placed AS (SELECT id, max(layer) AS layer FROM depth GROUP BY id)"""
+    placed AS (SELECT n.project, n.id, max(d.layer) AS layer FROM $F_knodes n LEFT JOIN depth d ON d.id = n.id GROUP BY n.project, n.id)"""
 
 
-@query("g14_topological_layers", f"""WITH RECURSIVE {_LAYERS}
-    SELECT n.id, p.layer FROM $F_nodes n LEFT JOIN placed p ON p.id = n.id""")
+@query("g14_topological_layers", f"""WITH RECURSIVE {_LAYERS} SELECT {_named(id="id")}, layer FROM placed""")
 def _(t):
     return G.layers(t("F_nodes"), t("F_deps"))
 
@@ -137,10 +146,11 @@ def _(t):
 
 
 @query("a1_graph_summary", f"""WITH RECURSIVE {_ORPHANS}
-    SELECT 'nodes' AS metric, '' AS key, count(*) AS n FROM $F_nodes UNION ALL SELECT 'edges', '', count(*) FROM $F_deps
-    UNION ALL SELECT 'orphans', '', count(*) FROM orphan
-    UNION ALL SELECT 'type', type, count(*) FROM $F_nodes GROUP BY type
-    UNION ALL SELECT 'kind', kind, count(*) FROM $F_deps GROUP BY kind""")
+    SELECT project, 'nodes' AS metric, '' AS key, count(*) AS n FROM $F_nodes GROUP BY project
+    UNION ALL SELECT project, 'edges', '', count(*) FROM $F_deps GROUP BY project
+    UNION ALL SELECT project, 'orphans', '', count(*) FROM orphan GROUP BY project
+    UNION ALL SELECT project, 'type', type, count(*) FROM $F_nodes GROUP BY project, type
+    UNION ALL SELECT project, 'kind', kind, count(*) FROM $F_deps GROUP BY project, kind""")
 def _(t):
     return G.summary(t("F_nodes"), t("F_deps"))
 
@@ -153,27 +163,27 @@ def _(t):
 
 
 @query("a5_graph_section", f"""WITH RECURSIVE {_LAYERS}
-    SELECT 'nodes' AS metric, count(*) AS n FROM $F_nodes UNION ALL SELECT 'edges', count(*) FROM $F_deps
-    UNION ALL SELECT 'layers', max(layer) + 1 FROM placed
-    UNION ALL SELECT 'cyclic', (SELECT count(*) FROM $F_nodes) - (SELECT count(*) FROM placed)
-    UNION ALL SELECT 'dangling', count(*) FROM $F_deps
-      WHERE src NOT IN (SELECT id FROM $F_nodes) OR dst NOT IN (SELECT id FROM $F_nodes)
-    UNION ALL SELECT 'layer ' || CAST(layer AS STRING), count(*) FROM placed WHERE layer < 12 GROUP BY layer""")
+    SELECT project, 'nodes' AS metric, count(*) AS n FROM $F_nodes GROUP BY project
+    UNION ALL SELECT project, 'edges', count(*) FROM $F_deps GROUP BY project
+    UNION ALL SELECT project, 'layers', coalesce(max(layer) + 1, 0) FROM placed GROUP BY project
+    UNION ALL SELECT project, 'cyclic', count(*) FROM placed WHERE layer IS NULL GROUP BY project
+    UNION ALL SELECT project, 'dangling', count(*) FROM $F_kdeps
+      WHERE src NOT IN (SELECT id FROM $F_knodes) OR dst NOT IN (SELECT id FROM $F_knodes) GROUP BY project
+    UNION ALL SELECT project, 'layer ' || CAST(layer AS STRING), count(*) FROM placed WHERE layer IS NOT NULL GROUP BY project, layer""")
 def _(t):
     return G.section_counts(t("F_nodes"), t("F_deps"))
 
 
-@query("u2_unplaced_nodes", f"""WITH RECURSIVE {_LAYERS}
-    SELECT id FROM $F_nodes WHERE id NOT IN (SELECT id FROM placed)""")
+@query("u2_unplaced_nodes", f"""WITH RECURSIVE {_LAYERS} SELECT {_named(id="id")} FROM placed WHERE layer IS NULL""")
 def _(t):
     placed = G.layers(t("F_nodes"), t("F_deps")).filter("layer IS NOT NULL")
-    return t("F_nodes").select("id").join(placed.select("id"), "id", "left_anti")
+    return t("F_nodes").select("project", "id").join(placed.select("project", "id"), ["project", "id"], "left_anti")
 
 
-@query("u4_distinct_edges", "SELECT DISTINCT src, dst, kind FROM $F_deps")
+@query("u4_distinct_edges", "SELECT DISTINCT project, src, dst, kind FROM $F_deps")
 def _(t):
-    edges = t("F_deps").select("src", "dst", "kind")
-    return edges.unionByName(edges).dropDuplicates(["src", "dst", "kind"])
+    edges = t("F_deps").select("project", "src", "dst", "kind")
+    return edges.unionByName(edges).dropDuplicates(["project", "src", "dst", "kind"])
 
 
 # --- hierarchies -------------------------------------------------------------

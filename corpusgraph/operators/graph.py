@@ -1,65 +1,173 @@
 """Graph jobs over ``nodes(id, type, ...)`` and ``edges(src, dst, kind)``.
 
+With a ``project`` column, in all tables or in none, an id belongs to its project and equal ids of two projects are
+two nodes; results then carry the project too. A row without project or id meets nothing.
+
 Edges are a multiset; reachability uses distinct links, counts use rows. Results
 are pair tables, not arrays, so a hub with many neighbours stays distributed.
+
+Jobs that walk the graph solve whole projects in a task where these are small (``plans/bins.py``; the
+``limit`` arguments say how small) and loop over the cluster on long numbers for the others.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.plans import bins, reach
+from corpusgraph.plans.bins import LINK, NODE, SEED, Bin
+from corpusgraph.plans.dense import Names
 from corpusgraph.plans.loops import RoundLimit, closure, cut, cut_counting, distinct_links, jump_to_end
 
+#: Links (for all-pairs answers: their square) of a project that a task solves in memory.
+LOCAL_LINKS = 200_000
+LOCAL_PAIRS = 4_000_000
+
+
+def keys_of(*tables: DataFrame) -> list[str]:
+    """The columns that name the project: in all tables or in none."""
+    named = {"project" in t.columns for t in tables}
+    if len(named) > 1:
+        raise ValueError("either all tables name the project or none")
+    return ["project"] if named.pop() else []
+
+
+def _types(keys: list[str], table: DataFrame) -> dict[str, str]:
+    return {k: table.schema[k].dataType.simpleString() for k in keys}
+
+
+def _only(table: DataFrame, keys: list[str], large: DataFrame) -> DataFrame:
+    """Rows of the large projects."""
+    project = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    return table.withColumn("_p", project).join(large.withColumnRenamed("project", "_p"), "_p", "left_semi").drop("_p")
+
+
+def _all(*parts: DataFrame) -> DataFrame:
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return cut(result)
+
+
+def _frame(b: Bin, nodes: np.ndarray, **columns) -> pd.DataFrame:
+    return pd.DataFrame({"project": b.project[nodes], **columns})
+
 
 def dependents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, dependent)`` from edges of every kind; NULL for a node without dependents."""
-    pairs = edges.select(F.col("dst").alias("id"), F.col("src").alias("dependent")).distinct()
-    return nodes.select("id").join(pairs, "id", "left")
+    keys = keys_of(nodes, edges)
+    pairs = edges.select(*keys, F.col("dst").alias("id"), F.col("src").alias("dependent")).distinct()
+    return nodes.select(*keys, "id").join(pairs, [*keys, "id"], "left")
 
 
 def dependencies(edges: DataFrame) -> DataFrame:
     """Distinct ``(id, dependency)``."""
-    return edges.select(F.col("src").alias("id"), F.col("dst").alias("dependency")).distinct()
+    return edges.select(*keys_of(edges), F.col("src").alias("id"), F.col("dst").alias("dependency")).distinct()
 
 
 def edges_from_adjacency(adjacency: DataFrame) -> DataFrame:
     """One import edge per entry of a ``depends_on`` array."""
-    return adjacency.select(F.col("id").alias("src"), F.explode("depends_on").alias("dst"), F.lit("import").alias("kind"))
+    return adjacency.select(*keys_of(adjacency), F.col("id").alias("src"), F.explode("depends_on").alias("dst"), F.lit("import").alias("kind"))
 
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edge rows with an endpoint that is no node; duplicates stay."""
-    ids = nodes.select("id").distinct()
+    keys = keys_of(nodes, edges)
+    ids = nodes.select(*keys, "id").distinct()
     marked = (
-        edges.join(ids.select(F.col("id").alias("src"), F.lit(True).alias("_s")), "src", "left")
-        .join(ids.select(F.col("id").alias("dst"), F.lit(True).alias("_d")), "dst", "left")
+        edges.join(ids.select(*keys, F.col("id").alias("src"), F.lit(True).alias("_s")), [*keys, "src"], "left")
+        .join(ids.select(*keys, F.col("id").alias("dst"), F.lit(True).alias("_d")), [*keys, "dst"], "left")
     )
     return marked.filter("_s IS NULL OR _d IS NULL").select(*edges.columns)
 
 
-def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+def _reached(seeds: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
+    """``(seed, id)`` over ``edges (src, dst)``, the seed included."""
+    keys = keys_of(seeds, edges)
+    rows = _all(bins.records(keys, LINK, edges, "src", "dst"), bins.records(keys, SEED, seeds, "id"))
+    size = F.count("*").cast("double")
+    weights = rows.groupBy("project").agg((size * size).alias("weight"))
+    kind = seeds.schema["id"].dataType.simpleString()
+
+    def local(frame: pd.DataFrame) -> pd.DataFrame:
+        b = Bin(frame)
+        seed, node = bins.reach_pairs(b, b.src, b.dst, np.unique(b.of_kind(SEED)))
+        return _frame(b, seed, seed=b.id[seed], id=b.id[node])
+
+    def far(large: DataFrame) -> DataFrame:
+        some, links = _only(seeds, keys, large).select(*keys, "id"), _only(edges, keys, large).select(*keys, "src", "dst")
+        names = Names(keys, some, links.select(*keys, "src"), links.select(*keys, "dst"))
+        pairs = reach.reach_pairs(names.number(some, "id").distinct(), names.number(links, "src", "dst"))
+        return names.name(pairs, "seed", "id").select(*keys, F.col("seed").cast("string"), F.col("id").cast("string"))
+
+    pairs = bins.solve(rows, weights, _types(keys, seeds), limit, local, "seed string, id string", far)
+    return pairs.select(*keys, F.col("seed").cast(kind).alias("seed"), F.col("id").cast(kind).alias("id"))
+
+
+def reachable(seeds: DataFrame, edges: DataFrame, limit: int = LOCAL_PAIRS) -> DataFrame:
     """``(seed, id)``: everything a seed needs, itself included, unknown ids too."""
-    start = seeds.select(F.col("id").alias("seed"), "id")
-    return closure(start, edges, ["seed"]).select("seed", "id")
+    return _reached(seeds.distinct(), edges, limit)
 
 
-def transitive_dependents(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def transitive_dependents(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = LOCAL_PAIRS) -> DataFrame:
     """``(seed, id)``: everything that needs a seed, the seed itself left out.
 
     The walk goes through nodes only: an unknown source is reported, not expanded.
     """
-    flipped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    known = flipped.join(nodes.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
-    start = seeds.join(nodes, "id", "left_semi").select(F.col("id").alias("seed"), "id").distinct()
-    return closure(start, known, ["seed"]).filter("id <> seed").select("seed", "id")
+    keys = keys_of(seeds, nodes, edges)
+    flipped = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    known = flipped.join(nodes.select(*keys, F.col("id").alias("src")).distinct(), [*keys, "src"], "left_semi")
+    start = seeds.join(nodes, [*keys, "id"], "left_semi").select(*keys, "id").distinct()
+    return _reached(start, known, limit).filter("id <> seed")
 
 
-def neighbourhood(nodes: DataFrame, edges: DataFrame, focus: DataFrame, depth: int = 1) -> DataFrame:
+def neighbourhood(nodes: DataFrame, edges: DataFrame, focus: DataFrame, depth: int = 1, limit: int = LOCAL_PAIRS) -> DataFrame:
     """``(focus, id, distance)`` up to ``depth`` hops in both directions, real nodes only."""
-    ids = cut(nodes.select("id").distinct())
+    keys = keys_of(nodes, edges, focus)
+    kind = nodes.schema["id"].dataType.simpleString()
+    rows = _all(bins.records(keys, LINK, edges, "src", "dst"), bins.records(keys, NODE, nodes, "id"), bins.records(keys, SEED, focus, "id"))
+    # the pairs that one hop from every neighbour makes at most: per node the square of its degree
+    ends = rows.filter(F.col("kind") == LINK).select("project", F.explode(F.array("a", "b")).alias("id")).groupBy("project", "id").agg(
+        F.count("*").alias("n")).groupBy("project").agg(F.sum(F.pow(F.col("n").cast("double"), F.lit(max(depth, 1)))).alias("n"))
+    weights = rows.groupBy("project").agg(F.count("*").alias("m")).join(ends, "project", "left").select(
+        "project", (F.col("m") + F.coalesce("n", F.lit(0))).alias("weight"))
+
+    def local(frame: pd.DataFrame) -> pd.DataFrame:
+        b = Bin(frame)
+        real = b.is_node()
+        use = real[b.src] & real[b.dst] & (b.src != b.dst)
+        one, two = b.src[use], b.dst[use]
+        link = np.unique(np.stack([np.concatenate([one, two]), np.concatenate([two, one])], axis=1), axis=0)
+        starts, targets = bins.lists(b.n, link[:, 0], link[:, 1])
+        start = np.unique(b.of_kind(SEED))
+        start = start[real[start]]
+        pairs = [(start, start, np.zeros(len(start), np.int32))]
+        seen = frontier = start * b.n + start
+        for hop in range(1, depth + 1):
+            other, at = bins.around(frontier % b.n, starts, targets)
+            frontier = np.setdiff1d((frontier // b.n)[at] * b.n + other, seen)
+            seen = np.union1d(seen, frontier)
+            pairs.append((frontier // b.n, frontier % b.n, np.full(len(frontier), hop, np.int32)))
+        first, other, distance = (np.concatenate(x) for x in zip(*pairs))
+        return _frame(b, first, focus=b.id[first], id=b.id[other], distance=distance)
+
+    def far(large: DataFrame) -> DataFrame:
+        real, links, start = (_only(x, keys, large) for x in (nodes.select(*keys, "id"), edges.select(*keys, "src", "dst"), focus.select(*keys, "id")))
+        names = Names(keys, real, links.select(*keys, "src"), links.select(*keys, "dst"), start)
+        near = _near(names.number(real, "id").distinct(), names.number(links, "src", "dst"), names.number(start, "id").distinct(), depth)
+        return names.name(near, "focus", "id").select(*keys, F.col("focus").cast("string"), F.col("id").cast("string"), "distance")
+
+    found = bins.solve(rows, weights, _types(keys, nodes), limit, local, "focus string, id string, distance int", far)
+    return found.select(*keys, F.col("focus").cast(kind).alias("focus"), F.col("id").cast(kind).alias("id"), "distance")
+
+
+def _near(nodes: DataFrame, edges: DataFrame, focus: DataFrame, depth: int) -> DataFrame:
+    ids = cut(nodes)
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     links = distinct_links(both).join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     links = cut(links.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst"))
-    seen = focus.join(ids, "id", "left_semi").select(F.col("id").alias("focus"), "id", F.lit(0).alias("distance")).distinct()
+    seen = focus.join(ids, "id", "left_semi").select(F.col("id").alias("focus"), "id", F.lit(0).alias("distance"))
     frontier = seen
     for hop in range(1, depth + 1):
         step = frontier.select("focus", F.col("id").alias("src")).join(links, "src").select(
@@ -73,13 +181,49 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, focus: DataFrame, depth: i
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both endpoints in ``ids``."""
-    inside = ids.select("id").distinct()
-    return edges.join(inside.withColumnRenamed("id", "src"), "src", "left_semi").join(
-        inside.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    keys = keys_of(edges, ids)
+    inside = ids.select(*keys, "id").distinct()
+    return edges.join(inside.withColumnRenamed("id", "src"), [*keys, "src"], "left_semi").join(
+        inside.withColumnRenamed("id", "dst"), [*keys, "dst"], "left_semi")
 
 
-def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def orphans(nodes: DataFrame, edges: DataFrame, limit: int = LOCAL_LINKS) -> DataFrame:
     """``(id, reason)`` of nodes that no root reaches, every root included."""
+    keys = keys_of(nodes, edges)
+    kind = nodes.schema["id"].dataType.simpleString()
+    rows = _all(bins.records(keys, LINK, edges, "src", "dst"), bins.records(keys, NODE, nodes, "id", "type"))
+    weights = rows.groupBy("project").agg(F.count("*").cast("double").alias("weight"))
+
+    def local(frame: pd.DataFrame) -> pd.DataFrame:
+        b = Bin(frame)
+        real = b.is_node()
+        use = real[b.src] & (b.src != b.dst)
+        starts, targets = bins.lists(b.n, b.src[use], b.dst[use])
+        inner = np.zeros(b.n, bool)
+        inner[b.dst[use]] = True
+        seen, frontier = np.zeros(b.n, bool), np.flatnonzero(real & ~inner)
+        while len(frontier):
+            frontier = np.unique(bins.around(frontier, starts, targets)[0])
+            frontier = frontier[~seen[frontier]]
+            seen[frontier] = True
+        needs = np.zeros(b.n, bool)
+        needs[b.src] = True
+        at = np.flatnonzero((b.kind == NODE) & ~seen[b.a])
+        node = b.a[at]
+        reason = np.where(needs[node], "entry_point", np.where(b.b[at] == "asset", "unreferenced_asset", "unreferenced"))
+        return _frame(b, node, id=b.id[node], reason=reason)
+
+    def far(large: DataFrame) -> DataFrame:
+        real, links = _only(nodes, keys, large).select(*keys, "id", "type").distinct(), _only(edges, keys, large).select(*keys, "src", "dst")
+        names = Names(keys, real.select(*keys, "id"), links.select(*keys, "src"), links.select(*keys, "dst"))
+        found = _loop_orphans(cut(names.number(real, "id")), cut(names.number(links, "src", "dst")))
+        return names.name(found, "id").select(*keys, F.col("id").cast("string"), "reason")
+
+    found = bins.solve(rows, weights, _types(keys, nodes), limit, local, "id string, reason string", far)
+    return found.withColumn("id", F.col("id").cast(kind))
+
+
+def _loop_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     real = distinct_links(edges).filter("src <> dst").join(
         nodes.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
     real = cut(real)
@@ -96,6 +240,33 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return unreached.join(needs, "id", "left").select("id", reason.alias("reason"))
 
 
+def cycle_groups(edges: DataFrame, limit: int = LOCAL_LINKS) -> DataFrame:
+    """``(id, cycle)``: strongly connected groups of two or more nodes, and self-loops; named by the smallest member."""
+    keys = keys_of(edges)
+    kind = edges.schema["src"].dataType.simpleString()
+    rows = _all(bins.records(keys, LINK, edges, "src", "dst"))
+    weights = rows.groupBy("project").agg(F.count("*").cast("double").alias("weight"))
+
+    def local(frame: pd.DataFrame) -> pd.DataFrame:
+        b = Bin(frame)
+        group, made = bins.groups(b.n, b.src, b.dst)
+        cyclic = np.bincount(group, minlength=made) > 1
+        cyclic[group[b.src[b.src == b.dst]]] = True
+        name = np.full(made, b.n)
+        np.minimum.at(name, group, np.arange(b.n))
+        node = np.flatnonzero(cyclic[group])
+        return _frame(b, node, id=b.id[node], cycle=b.id[name[group[node]]])
+
+    def far(large: DataFrame) -> DataFrame:
+        links = _only(edges, keys, large).select(*keys, "src", "dst").distinct()
+        names = Names(keys, links.select(*keys, "src"), links.select(*keys, "dst"))
+        found = loop_cycle_groups(names.number(links, "src", "dst"))
+        return names.name(found, "id", "cycle").select(*keys, F.col("id").cast("string"), F.col("cycle").cast("string"))
+
+    found = bins.solve(rows, weights, _types(keys, edges), limit, local, "id string, cycle string", far)
+    return found.select(*keys, F.col("id").cast(kind).alias("id"), F.col("cycle").cast(kind).alias("cycle"))
+
+
 def trim_ends(links: DataFrame, rounds: int = 2) -> DataFrame:
     """Drop links from nodes without a way in and to nodes without a way out, a few times.
 
@@ -137,8 +308,8 @@ def contract_chains(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(outside.unionByName(closed)), stand
 
 
-def cycle_groups(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """``(id, cycle)``: strongly connected groups of two or more nodes, and self-loops.
+def loop_cycle_groups(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """:func:`cycle_groups` of ``(src, dst)`` by rounds over the cluster.
 
     Thin runs are contracted first. Then every node learns the smallest id that
     reaches it and the smallest id it reaches; where both agree the node belongs to
@@ -208,9 +379,34 @@ def _both_labels(links: DataFrame, max_rounds: int) -> DataFrame:
         F.min(F.when(F.col("way") == 1, F.col("label"))).alias("back")))
 
 
-def layers(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def layers(nodes: DataFrame, edges: DataFrame, limit: int = LOCAL_LINKS) -> DataFrame:
     """``(id, layer)``: 0 without in-graph dependencies, else one more than the deepest;
-    NULL for nodes on a cycle or depending on one.
+    NULL for nodes on a cycle or depending on one."""
+    keys = keys_of(nodes, edges)
+    kind = nodes.schema["id"].dataType.simpleString()
+    rows = _all(bins.records(keys, LINK, edges, "src", "dst"), bins.records(keys, NODE, nodes, "id"))
+    weights = rows.groupBy("project").agg(F.count("*").cast("double").alias("weight"))
+
+    def local(frame: pd.DataFrame) -> pd.DataFrame:
+        b = Bin(frame)
+        real = b.is_node()
+        use = real[b.src] & real[b.dst]
+        layer, node = bins.layer_numbers(b.n, b.src[use], b.dst[use]), np.flatnonzero(real)
+        return _frame(b, node, id=b.id[node], layer=pd.array(np.where(layer[node] < 0, 0, layer[node]), "Int32")).assign(
+            layer=lambda x: x["layer"].mask(layer[node] < 0))
+
+    def far(large: DataFrame) -> DataFrame:
+        real, links = _only(nodes, keys, large).select(*keys, "id").distinct(), _only(edges, keys, large).select(*keys, "src", "dst")
+        names = Names(keys, real, links.select(*keys, "src"), links.select(*keys, "dst"))
+        found = loop_layers(names.number(real, "id"), names.number(links, "src", "dst"))
+        return names.name(found, "id").select(*keys, F.col("id").cast("string"), "layer")
+
+    found = bins.solve(rows, weights, _types(keys, nodes), limit, local, "id string, layer int", far)
+    return found.withColumn("id", F.col("id").cast(kind))
+
+
+def loop_layers(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """:func:`layers` by rounds over the cluster.
 
     Peels from the bottom: a round touches only the links of the nodes just placed,
     each node waits for its count of open dependencies to reach zero.
@@ -266,15 +462,20 @@ def same_graph(left: DataFrame, right: DataFrame) -> DataFrame:
         right.exceptAll(left).withColumn("side", F.lit("right")))
 
 
+def _counted(keys: list[str], metric: str, frame: DataFrame, key: str | None = None) -> DataFrame:
+    by = [*keys, *([key] if key else [])]
+    counts = frame.groupBy(*by).agg(F.count("*").alias("n"))
+    return counts.select(*keys, F.lit(metric).alias("metric"), (F.col(key) if key else F.lit("")).alias("key"), "n")
+
+
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(metric, key, n)`` rows: totals, orphans, counts by type and by edge kind."""
-    def row(metric: str, frame: DataFrame, key: str | None = None) -> DataFrame:
-        if key is None:
-            return frame.agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), F.lit("").alias("key"), "n")
-        return frame.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), "key", "n")
-
-    parts = [row("nodes", nodes), row("edges", edges), row("orphans", orphans(nodes, edges)),
-             row("type", nodes, "type"), row("kind", edges, "kind")]
+    """``(metric, key, n)`` rows per project: totals, orphans, counts by type and by edge kind.
+
+    Counts of nothing have no row, but for the one graph of tables without projects.
+    """
+    keys = keys_of(nodes, edges)
+    parts = [_counted(keys, "nodes", nodes), _counted(keys, "edges", edges), _counted(keys, "orphans", orphans(nodes, edges)),
+             _counted(keys, "type", nodes, "type"), _counted(keys, "kind", edges, "kind")]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -295,21 +496,22 @@ def frequency_text(frame: DataFrame, column: str) -> DataFrame:
     return counts.agg(F.coalesce(F.nullif(F.array_join(items, ", "), F.lit("")), F.lit("(none)")).alias("text"))
 
 
-def section_counts(nodes: DataFrame, edges: DataFrame, shown: int = 12) -> DataFrame:
-    """``(metric, n)`` rows: nodes, edges, layers, the first layer sizes, cyclic, dangling."""
-    placed = cut(layers(nodes, edges))
-    sizes = placed.filter(F.col("layer") < shown).groupBy("layer").agg(F.count("*").alias("n"))
-
-    def row(metric: str, frame: DataFrame, value=None) -> DataFrame:
-        total = F.count("*") if value is None else value
-        return frame.agg(total.cast("long").alias("n")).select(F.lit(metric).alias("metric"), "n")
+def section_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(metric, n)`` rows per project: nodes, edges, layers, the size of every layer, cyclic, dangling.
 
+    Counts of nothing have no row, but for the one graph of tables without projects.
+    """
+    keys = keys_of(nodes, edges)
+    placed = cut(layers(nodes, edges))
+    sizes = placed.filter("layer IS NOT NULL").groupBy(*keys, "layer").agg(F.count("*").alias("n"))
+    count = lambda metric, frame: _counted(keys, metric, frame).drop("key")
     parts = [
-        row("nodes", nodes), row("edges", edges),
-        row("layers", placed, F.coalesce(F.max("layer") + 1, F.lit(0))),
-        row("cyclic", placed.filter("layer IS NULL")),
-        row("dangling", dangling(nodes, edges)),
-        sizes.select(F.concat(F.lit("layer "), F.col("layer").cast("string")).alias("metric"), "n"),
+        count("nodes", nodes), count("edges", edges),
+        placed.groupBy(*keys).agg((F.coalesce(F.max("layer") + 1, F.lit(0))).cast("long").alias("n")).select(
+            *keys, F.lit("layers").alias("metric"), "n"),
+        count("cyclic", placed.filter("layer IS NULL")),
+        count("dangling", dangling(nodes, edges)),
+        sizes.select(*keys, F.concat(F.lit("layer "), F.col("layer").cast("string")).alias("metric"), "n"),
     ]
     result = parts[0]
     for part in parts[1:]:

@@ -134,6 +134,7 @@ def attachments(issues: DataFrame, ranked: DataFrame, limit: int = K.AUTO_ATTACH
 
 
 def signature_order(contracts: DataFrame, ranked_files: DataFrame) -> DataFrame:
-    """Signatures with ranked files first, then by id."""
-    marked = contracts.join(ranked_files.select("path", F.lit(0).alias("_r")).distinct(), "path", "left")
-    return marked.withColumn("later", F.coalesce("_r", F.lit(1))).drop("_r").orderBy("later", "path")
+    """Signatures with ranked files first, then by id; paths belong to their project."""
+    ranked = ranked_files.select("project", "path", F.lit(0).alias("_r")).distinct()
+    marked = contracts.join(ranked, ["project", "path"], "left")
+    return marked.withColumn("later", F.coalesce("_r", F.lit(1))).drop("_r").orderBy("later", "project", "path")
