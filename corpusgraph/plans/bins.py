@@ -19,9 +19,9 @@ RECORD = ["project", "kind", "a", "b"]
 
 
 def records(keys: list[str], kind: int, frame: DataFrame, a: str, b: str | None = None) -> DataFrame:
-    """Rows of one kind for a bin: project and ids as text. Rows with a null id go."""
+    """Rows of one kind for a bin: project and ids as text. Rows with a null project or id go."""
     project = F.to_json(F.struct(*keys)) if keys else F.lit("")
-    rows = frame.select(project.alias("project"), F.lit(kind).alias("kind"), F.col(a).cast("string").alias("a"),
+    rows = (frame.dropna(subset=keys) if keys else frame).select(project.alias("project"), F.lit(kind).alias("kind"), F.col(a).cast("string").alias("a"),
                         (F.col(b).cast("string") if b else F.lit(None).cast("string")).alias("b"))
     return rows.filter("a IS NOT NULL AND b IS NOT NULL" if kind == LINK else "a IS NOT NULL").distinct()
 

@@ -42,6 +42,6 @@ def reach_words(seeds: DataFrame, links: DataFrame, max_rounds: int = 100_000, h
 def reach_pairs(seeds: DataFrame, links: DataFrame, **limits) -> DataFrame:
     """``(seed, id)``: everything reachable from each seed, itself included."""
     words, known = reach_words(seeds, links, **limits)
-    places = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.shiftright("bits", k).bitwiseAND(F.lit(1)) == 1)
-    pairs = words.select("id", (F.col("word") * WORD + F.explode(places)).alias("place"))
+    places = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.getbit("bits", k) == 1)
+    pairs = words.select("id", "word", F.explode(places).alias("bit")).withColumn("place", F.col("word") * WORD + F.col("bit"))
     return pairs.join(known, "place").select("seed", "id")
