@@ -226,9 +226,10 @@ def _(t):
     return H.filter_tree(H.build_tree(t("F_tree")), t("F_tree"), " 77 ")
 
 
-@query("g20_hierarchy_flatten", f"WITH RECURSIVE {_TREE} SELECT id, depth, order_key FROM tree")
+@query("g20_hierarchy_flatten", f"""WITH RECURSIVE {_TREE}
+    SELECT id, depth, row_number() OVER (ORDER BY order_key) - 1 AS position FROM tree""")
 def _(t):
-    return H.flatten(H.build_tree(t("F_tree"))).orderBy("order_key")
+    return H.flatten(H.build_tree(t("F_tree"))).orderBy("position")
 
 
 @query("g21_parent_cycles", f"""WITH RECURSIVE {_TREE}

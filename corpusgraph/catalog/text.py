@@ -133,16 +133,13 @@ def _(t):
 
 @query("a9_listed_paths", f"""
     WITH h AS ({_HITS}),
-    k AS (SELECT path FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS rn FROM h) r
-      WHERE rn <= 50 ORDER BY path, line LIMIT 500),
-    n AS (SELECT path FROM $F_files WHERE contains(lower(path), 'src1') ORDER BY path LIMIT 200)
+    n AS (SELECT path FROM $F_files WHERE contains(lower(path), 'src1'))
     SELECT path, row_number() OVER (ORDER BY part, path) AS position FROM (
-      SELECT path, min(part) AS part FROM (SELECT path, 0 AS part FROM k UNION ALL SELECT path, 1 FROM n) u
+      SELECT path, min(part) AS part FROM (SELECT path, 0 AS part FROM h UNION ALL SELECT path, 1 FROM n) u
       GROUP BY path) g""")
 def _(t):
     files = t("F_files")
-    return search.listed_paths(search.capped_hits(files, "the", K.SEARCH_LINES_PER_FILE, K.SEARCH_TOTAL_LINES),
-                               search.capped_names(files, "src1", K.SEARCH_TOTAL_NAMES))
+    return search.listed_paths(search.line_hits(files, "the"), search.name_hits(files, "src1"))
 
 
 @query("a10_search_summary", """

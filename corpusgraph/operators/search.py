@@ -1,10 +1,11 @@
 """Search over file names and contents. Nothing is capped unless the caller asks for a page."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
 from corpusgraph.functions.exprs import numbered
+from corpusgraph.plans.dense import dictionary
 
 
 def needle_of(query: str | None) -> str | None:
@@ -86,15 +87,14 @@ def lines_by_path(hits: DataFrame) -> DataFrame:
 
 
 def listed_paths(hits: DataFrame, names: DataFrame) -> DataFrame:
-    """Files in listing order: those with line hits, then those named only.
+    """``(path, position)``: files in listing order from 1 on, those with line hits, then those named only.
 
-    A listing is numbered in one place, so give it a page: hits and names with caps.
+    Places come from ranges of (part, path) and the ranges' sizes, so a listing of all hits is no single task.
     """
     both = hits.select("path", F.lit(0).alias("part")).unionByName(
         names.select("path", F.lit(1).alias("part")))
     first = both.groupBy("path").agg(F.min("part").alias("part"))
-    order = Window.orderBy("part", "path")
-    return first.select("path", F.row_number().over(order).alias("position"))
+    return dictionary(first.select("part", "path"), "place").select("path", (F.col("place") + 1).alias("position"))
 
 
 def summary(files: DataFrame, query: str, per_file: int, total: int, names: int, max_bytes: int | None = None) -> DataFrame:

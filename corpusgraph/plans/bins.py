@@ -27,11 +27,12 @@ def records(keys: list[str], kind: int, frame: DataFrame, a: str, b: str | None
 
 
 def solve(rows: DataFrame, weights: DataFrame, keys: dict[str, str], limit: int, local: Callable, schema: str,
-          far: Callable[[DataFrame], DataFrame]) -> DataFrame:
+          far: Callable[[DataFrame], DataFrame], arrow: bool = False) -> DataFrame:
     """``local`` over the small projects' records, ``far`` for the others.
 
     ``weights (project, weight)`` says how much of a task a project takes; ``keys`` gives the project columns' types.
-    ``local`` takes the records of a bin as a pandas frame and returns ``project`` and the columns of ``schema``.
+    ``local`` takes the records of a bin as a pandas frame (an Arrow table with ``arrow``) and returns ``project`` and the
+    columns of ``schema``.
     ``far`` is given the table of large projects, ``(project)``, and returns the key columns and those of ``schema``.
     """
     weights, counts = cut_counting(weights, large=F.col("weight") > limit)
@@ -42,8 +43,9 @@ def solve(rows: DataFrame, weights: DataFrame, keys: dict[str, str], limit: int,
     result = None
     if counts["rows"] > counts["large"] or not counts["rows"]:
         small = rows.join(large, "project", "left_anti") if counts["large"] else rows
-        solved = small.withColumn("bin", F.pmod(F.xxhash64("project"), F.lit(bins))).groupBy("bin").applyInPandas(
-            lambda frame: local(frame), f"project string, {schema}")
+        dealt = small.withColumn("bin", F.pmod(F.xxhash64("project"), F.lit(bins))).groupBy("bin")
+        apply = dealt.applyInArrow if arrow else dealt.applyInPandas
+        solved = apply(lambda table: local(table), f"project string, {schema}")
         named = [F.from_json("project", ", ".join(f"`{k}` {kind}" for k, kind in keys.items()))[k].alias(k) for k in keys]
         result = solved.select(*named, *[c.split()[0] for c in schema.split(", ")])
     if counts["large"]:

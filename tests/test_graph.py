@@ -104,7 +104,7 @@ def test_tree_opens_cycles_at_the_first_member(spark):
     got = {r.id: (r.root, r.depth, r.orphan) for r in tree.collect()}
     assert got == {1: (1, 0, False), 2: (1, 1, False), 3: (3, 0, True), 4: (4, 0, True),
                    5: (5, 0, True), 6: (5, 1, False), 7: (5, 2, False), 8: (5, 3, False)}
-    order = [r.id for r in H.flatten(tree).orderBy("order_key").collect()]
+    order = [r.id for r in H.flatten(tree).orderBy("position").collect()]
     assert order == [1, 2, 3, 4, 5, 6, 7, 8]
 
 
