@@ -260,7 +260,7 @@ def cycle_groups(edges: DataFrame, limit: int = LOCAL_LINKS) -> DataFrame:
     def far(large: DataFrame) -> DataFrame:
         links = _only(edges, keys, large).select(*keys, "src", "dst").distinct()
         names = Names(keys, links.select(*keys, "src"), links.select(*keys, "dst"))
-        found = loop_cycle_groups(names.number(links, "src", "dst"))
+        found = loop_cycle_groups(names.number(links, "src", "dst"), limit)
         return names.name(found, "id", "cycle").select(*keys, F.col("id").cast("string"), F.col("cycle").cast("string"))
 
     found = bins.solve(rows, weights, _types(keys, edges), limit, local, "id string, cycle string", far)
@@ -308,14 +308,14 @@ def contract_chains(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(outside.unionByName(closed)), stand
 
 
-def loop_cycle_groups(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def loop_cycle_groups(edges: DataFrame, local: int = LOCAL_LINKS, max_rounds: int = 100_000) -> DataFrame:
     """:func:`cycle_groups` of ``(src, dst)`` by rounds over the cluster.
 
     Thin runs are contracted first. Then every node learns the smallest id that
     reaches it and the smallest id it reaches; where both agree the node belongs to
     that id's group. Links between nodes that differ in either label join no group
-    and are dropped, grouped nodes leave, and the rest goes another round. A group is
-    named by its smallest member.
+    and are dropped, grouped nodes leave, the rest is trimmed and goes another round. What is
+    left with at most ``local`` links is solved in one task. A group is named by its smallest member.
     """
     links = cut(distinct_links(edges))
     self_loops = links.filter("src = dst").select("src")
@@ -326,13 +326,17 @@ def loop_cycle_groups(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     for _ in range(max_rounds):
         if not counts["rows"]:
             break
+        if counts["rows"] <= local:
+            group = cut(work.groupBy().applyInPandas(_last_groups, "id long, cycle long"))
+            found = group if found is None else found.unionByName(group)
+            break
         labels = _both_labels(work, max_rounds)
         group = labels.filter("fore = back").select("id", F.col("fore").alias("cycle"))
         found = group if found is None else found.unionByName(group)
         loose = labels.filter("fore <> back")
         same = work.join(loose.toDF("src", "f1", "b1"), "src").join(loose.toDF("dst", "f2", "b2"), "dst").filter(
             "f1 = f2 AND b1 = b2").select("src", "dst")
-        work, counts = cut_counting(same)
+        work, counts = cut_counting(trim_ends(cut(same), 1))
     else:
         raise RoundLimit("cycle groups did not settle")
     # One node alone is no cycle, unless it stands for a run that closed on itself.
@@ -350,6 +354,16 @@ def loop_cycle_groups(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     return groups.unionByName(lonely.select("id", F.col("id").alias("cycle")))
 
 
+def _last_groups(frame: pd.DataFrame) -> pd.DataFrame:
+    """Groups of two or more nodes of what is left, in one task."""
+    ids, place = np.unique(np.concatenate([frame["src"], frame["dst"]]), return_inverse=True)
+    group, made = bins.groups(len(ids), place[:len(frame)], place[len(frame):])
+    name = np.full(made, len(ids))
+    np.minimum.at(name, group, np.arange(len(ids)))
+    node = np.flatnonzero(np.bincount(group, minlength=made)[group] > 1)
+    return pd.DataFrame({"id": ids[node], "cycle": ids[name[group[node]]]})
+
+
 def _both_labels(links: DataFrame, max_rounds: int) -> DataFrame:
     """``(id, fore, back)``: smallest id that reaches a node, and smallest id it reaches.
 
@@ -398,39 +412,88 @@ def layers(nodes: DataFrame, edges: DataFrame, limit: int = LOCAL_LINKS) -> Data
     def far(large: DataFrame) -> DataFrame:
         real, links = _only(nodes, keys, large).select(*keys, "id").distinct(), _only(edges, keys, large).select(*keys, "src", "dst")
         names = Names(keys, real, links.select(*keys, "src"), links.select(*keys, "dst"))
-        found = loop_layers(names.number(real, "id"), names.number(links, "src", "dst"))
+        found = loop_layers(names.number(real, "id"), names.number(links, "src", "dst"), limit)
         return names.name(found, "id").select(*keys, F.col("id").cast("string"), "layer")
 
     found = bins.solve(rows, weights, _types(keys, nodes), limit, local, "id string, layer int", far)
     return found.withColumn("id", F.col("id").cast(kind))
 
 
-def loop_layers(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """:func:`layers` by rounds over the cluster.
+#: Targets of links in :func:`loop_layers` that stand for all placed nodes, and for all nodes on or above a cycle.
+PLACED, CYCLIC = -1, -2
+
+
+def loop_layers(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_LINKS, max_rounds: int = 100_000) -> DataFrame:
+    """:func:`layers` of numbered nodes (from 0) by rounds over the cluster.
 
-    Peels from the bottom: a round touches only the links of the nodes just placed,
-    each node waits for its count of open dependencies to reach zero.
+    A link weighs how many layers its source is above its target at least. A node with one target lies exactly that
+    much above it, so each round follows all such nodes to the end of their chains by pointer doubling, whatever
+    their length, and links to them become heavier links to the ends. All placed nodes are one target, so
+    placing a node whose targets are placed is the same step. What is left with at most ``local`` links is solved in one task.
     """
-    ids = nodes.select("id").distinct()
-    links = distinct_links(edges).join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-    links = cut(links.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
-    need = links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("open"))
-    waiting = cut(ids.join(need, "id", "left").select("id", F.coalesce("open", F.lit(0)).alias("open")))
-    placed = None
-    for layer in range(max_rounds):
-        ready = waiting.filter("open = 0").select("id", F.lit(layer).alias("layer"))
-        ready, counts = cut_counting(ready)
+    ids = cut(nodes.select("id").distinct())
+    inside = distinct_links(edges).join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+    inside = cut(inside.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
+    leaves = ids.join(inside.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+    ends = leaves.select("id", F.lit(PLACED).cast("long").alias("root"), F.lit(0).cast("long").alias("steps"))
+    found, work = [], inside.withColumn("w", F.lit(1).cast("long"))
+    for _ in range(max_rounds):
+        ends, _ = cut_counting(ends)
+        found.append(ends)
+        moved = work.join(ends.select(F.col("id").alias("src")), "src", "left_anti").join(
+            ends.withColumnRenamed("id", "dst"), "dst", "left").select(
+            "src", F.coalesce("root", "dst").alias("dst"), (F.col("w") + F.coalesce("steps", F.lit(0))).alias("w"))
+        work, counts = cut_counting(moved.groupBy("src", "dst").agg(F.max("w").alias("w")))
         if not counts["rows"]:
             break
-        placed = ready if placed is None else placed.unionByName(ready)
-        done = links.join(ready.select(F.col("id").alias("dst")), "dst").groupBy(F.col("src").alias("id")).agg(
-            F.count("*").alias("done"))
-        waiting = cut(waiting.filter("open > 0").join(done, "id", "left").select(
-            "id", (F.col("open") - F.coalesce("done", F.lit(0))).alias("open")))
+        if counts["rows"] <= local:
+            found.append(cut(work.groupBy().applyInPandas(_last_layers, "id long, root long, steps long")))
+            break
+        # a node above a cycle is above nothing else
+        targets = work.groupBy("src").agg(F.count("*").alias("n"), F.min(F.struct("dst", "w")).alias("least"))
+        single = targets.filter((F.col("n") == 1) | (F.col("least.dst") == CYCLIC)).select(
+            F.col("src").alias("id"), F.when(F.col("least.dst") >= 0, F.col("least.dst")).alias("target"), "least.*")
+        chain, counts = cut_counting(single)
+        if not counts["rows"]:  # every node left leads to a cycle
+            found.append(work.select(F.col("src").alias("id"), F.lit(CYCLIC).cast("long").alias("root"), F.lit(0).cast("long").alias("steps")).distinct())
+            break
+        inner = chain.select(F.col("id").alias("target"), F.lit(True).alias("inner"))
+        walked = jump_to_end(chain.join(inner, "target", "left").select(
+            "id", F.when(F.col("inner"), F.col("target")).alias("parent"), F.col("w").alias("weight")))
+        # the chain's last node points to its own target, placed or with several targets
+        last = chain.select(F.col("id").alias("last"), "dst", "w")
+        ends = walked.join(last, walked["root"] == last["last"]).select(
+            "id", F.when(F.col("cyclic"), F.lit(CYCLIC).cast("long")).otherwise(F.col("dst")).alias("root"), (F.col("steps") + F.col("w")).alias("steps"))
     else:
         raise RoundLimit("layers did not settle")
-    rest = waiting.select("id", F.lit(None).cast("int").alias("layer"))
-    return rest if placed is None else placed.unionByName(rest)
+    placed = None
+    for step in reversed(found):
+        done = step.filter(F.col("root") < 0).select("id", F.when(F.col("root") == PLACED, F.col("steps")).alias("layer"))
+        if placed is not None:
+            done = done.unionByName(step.filter(F.col("root") >= 0).join(placed.withColumnRenamed("id", "root"), "root").select(
+                "id", (F.col("steps") + F.col("layer")).alias("layer")))
+            done = placed.unionByName(done)
+        placed = cut(done)
+    return placed.select("id", F.col("layer").cast("int").alias("layer"))
+
+
+def _last_layers(frame: pd.DataFrame) -> pd.DataFrame:
+    """What is left, in one task: ``(id, root, steps)`` with every root placed or cyclic."""
+    ids, place = np.unique(np.concatenate([frame["src"], frame["dst"]]), return_inverse=True)
+    src, dst, w = place[:len(frame)], place[len(frame):], frame["w"].to_numpy()
+    starts, order = bins.lists(len(ids), dst, np.arange(len(src)))
+    open_, value = np.bincount(src, minlength=len(ids)), np.zeros(len(ids), np.int64)
+    open_[ids == CYCLIC] = 1
+    ready, settled = np.flatnonzero(open_ == 0), np.zeros(len(ids), bool)
+    while len(ready):
+        settled[ready] = True
+        link, at = bins.around(ready, starts, order)
+        np.maximum.at(value, src[link], value[ready[at]] + w[link])
+        touched, times = np.unique(src[link], return_counts=True)
+        open_[touched] -= times
+        ready = touched[open_[touched] == 0]
+    some = ids >= 0
+    return pd.DataFrame({"id": ids[some], "root": np.where(settled[some], PLACED, CYCLIC), "steps": value[some]})
 
 
 def sorted_edges(edges: DataFrame) -> DataFrame:

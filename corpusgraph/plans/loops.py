@@ -101,7 +101,7 @@ def closure(seeds: DataFrame, edges: DataFrame, keys: list[str] | None = None,
 def jump_to_end(parents: DataFrame) -> DataFrame:
     """Follow ``(id, parent, ord)`` to the end of each chain by pointer doubling.
 
-    Returns ``(id, root, steps, cyclic, on_cycle, low)``: the last node of the chain
+    With a ``weight`` column a step to the parent counts that much, else one. Returns ``(id, root, steps, cyclic, on_cycle, low)``: the last node of the chain
     and the hops to it. ``cyclic`` marks chains that never end, ``on_cycle`` those
     whose start lies on the cycle itself, ``low`` is then the smallest ``ord`` of
     that cycle. A chain of n nodes takes about log2(n) rounds. Finished rows leave
@@ -109,8 +109,9 @@ def jump_to_end(parents: DataFrame) -> DataFrame:
     """
     if "ord" not in parents.columns:
         parents = parents.withColumn("ord", F.col("id"))
+    weight = F.col("weight") if "weight" in parents.columns else F.lit(1)
     start, counts = cut_counting(parents.select(
-        "id", F.coalesce("parent", "id").alias("jump"), F.col("parent").isNotNull().cast("long").alias("steps"),
+        "id", F.coalesce("parent", "id").alias("jump"), F.when(F.col("parent").isNotNull(), weight).otherwise(0).cast("long").alias("steps"),
         F.col("parent").isNotNull().alias("open"), F.col("ord").alias("low")), open=F.col("open"))
     done, active = start.filter("NOT open"), start.filter("open")
     count, covered, rounds = counts["open"], 1, 0

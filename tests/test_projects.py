@@ -133,3 +133,48 @@ def test_words_of_seeds_hold_more_than_one_word(spark, hub_limit):
     seeds = spark.createDataFrame([(k,) for k in [*range(31), *range(100, 190)]], "id long")
     got = rows(reach_pairs(seeds, links, hub_limit=hub_limit))
     assert got == sorted(((s, x) for s in [*range(31), *range(100, 190)] for x in reach(chain, s)), key=str)
+
+
+def ladder_of_cycles(count, size):
+    """Cycles of ``size`` nodes, each linked to the next one."""
+    links = []
+    for c in range(count):
+        links += [(c * size + k, c * size + (k + 1) % size) for k in range(size)]
+        if c:
+            links.append((c * size - 1, c * size))
+    return links
+
+
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_cycles_on_a_chain_and_a_long_cycle(spark, local):
+    count, size = (6, 4) if local == 0 else (99, 20)
+    links = spark.createDataFrame(ladder_of_cycles(count, size), "src long, dst long")
+    assert rows(G.loop_cycle_groups(links, local)) == sorted(((k, k // size * size) for k in range(count * size)), key=str)
+    ring = spark.range(10_000).select(F.col("id").alias("src"), ((F.col("id") + 1) % 10_000).alias("dst"))
+    assert G.loop_cycle_groups(ring, local).filter("cycle = 0").count() == 10_000
+
+
+def test_layers_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    from corpusgraph.plans import loops
+    made = []
+    cut = loops.cut_counting
+    monkeypatch.setattr(G, "cut_counting", lambda *a, **k: made.append(1) or cut(*a, **k))
+    monkeypatch.setattr(loops, "cut_counting", lambda *a, **k: made.append(1) or cut(*a, **k))
+    chain = spark.range(10_000).select(F.col("id").alias("src"), (F.col("id") - 1).alias("dst")).filter("dst >= 0")
+    branches = spark.range(10_000).select((F.col("id") + 20_000).alias("src"), F.col("id").alias("dst"))
+    placed = G.loop_layers(spark.range(30_000), chain.unionByName(branches), 0)
+    assert placed.filter("(id < 10000 AND layer = id) OR (id >= 20000 AND layer = id - 19999) OR (id BETWEEN 10000 AND 19999 AND layer = 0)").count() == 30_000
+    assert len(made) < 25
+
+
+@pytest.mark.parametrize("local", [0, 6, 10**6])
+def test_loop_layers_equal_peeling(spark, local):
+    rng = random.Random(17)
+    for n, m in ((30, 45), (24, 40)):
+        links = {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(m)) if a > b or rng.random() < 0.08}
+        layer = {}
+        for _ in range(n):
+            layer |= {i: max([layer[b] + 1 for a, b in links if a == i], default=0) for i in range(n)
+                      if i not in layer and all(b in layer for a, b in links if a == i)}
+        got = G.loop_layers(spark.range(n), spark.createDataFrame(sorted(links), "src long, dst long"), local)
+        assert rows(got) == sorted(((i, layer.get(i)) for i in range(n)), key=str)
