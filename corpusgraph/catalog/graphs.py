@@ -227,9 +227,9 @@ def _(t):
 
 
 @query("g20_hierarchy_flatten", f"""WITH RECURSIVE {_TREE}
-    SELECT id, depth, row_number() OVER (ORDER BY order_key) - 1 AS position FROM tree""")
+    SELECT id, depth, row_number() OVER (ORDER BY order_key) - 1 AS order_key FROM tree""")
 def _(t):
-    return H.flatten(H.build_tree(t("F_tree"))).orderBy("position")
+    return H.flatten(H.build_tree(t("F_tree"))).orderBy("order_key")
 
 
 @query("g21_parent_cycles", f"""WITH RECURSIVE {_TREE}

@@ -1,6 +1,7 @@
 """Line diffs of version pairs ``(key, before, after)``."""
 
-import numpy as np
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,44 +13,86 @@ from corpusgraph.functions.exprs import let
 _OP = "struct<type:string,line:string,before_line:int,after_line:int>"
 
 
-def _walk(before: list, after: list) -> list[tuple]:
-    """Operations of the longest common subsequence walk; a tie deletes first.
+#: A line with more places in the new text keeps their bits as one number; others set them when they are met.
+FREQUENT = 64
+
 
-    Memory grows with sqrt(n) * m, so files of any length have a diff.
+class _Rows:
+    """Rows of the common-subsequence table, one bit per line of ``after``.
+
+    Row i holds the common lengths of ``before[i:]`` and every ``after[j:]``, as the bits in which neighbours do
+    not differ: the length at j is the count of 0 bits among the lowest ``m - j``. A row follows from the one
+    below by one addition over all bits. Every ``stripe``-th row is kept and the rows of a
+    stripe are made again on the way through it, so memory grows with sqrt(n) * m / 8 bytes.
     """
-    ids: dict = {}
-    a = np.array([ids.setdefault(x, len(ids)) for x in before], dtype=np.int64)
-    b = np.array([ids.setdefault(x, len(ids)) for x in after], dtype=np.int64)
-    n, m = len(a), len(b)
-    stripe = max(1, int(np.sqrt(n)))
-
-    def above(i: int, below: np.ndarray) -> np.ndarray:
-        step = np.maximum(below[:-1], np.where(b == a[i], below[1:] + 1, 0))
-        return np.append(np.maximum.accumulate(step[::-1])[::-1], 0)
-
-    # Row i of the table holds the common length of before[i:] and every after[j:]. Only every
-    # stripe-th row is kept; the walk makes the rows of one stripe again when it enters it.
-    row, kept = np.zeros(m + 1, dtype=np.int64), {}
-    for i in range(n, -1, -1):
-        row = row if i == n else above(i, row)
-        if i % stripe == 0 or i == n:
-            kept[i] = row
-    ops, i, j, best = [], 0, 0, {}
-    while i < n and j < m:
-        if i not in best or i + 1 not in best:
-            last = min(n, (i // stripe + 1) * stripe)
-            best = {last: kept[last]}
+
+    def __init__(self, before: list, after: list):
+        self.before, self.n, self.m = before, len(before), len(after)
+        self.places: dict = {}
+        for k, line in enumerate(reversed(after)):
+            self.places.setdefault(line, []).append(k)
+        self.dense = {line: self._bits(at) for line, at in self.places.items() if len(at) > FREQUENT}
+        self.all = (1 << self.m) - 1
+        self.stripe = max(1, math.isqrt(self.n))
+        row, self.kept, self.near = self.all, {}, {}
+        for i in range(self.n, -1, -1):
+            row = row if i == self.n else self._above(i, row)
+            if i % self.stripe == 0 or i == self.n:
+                self.kept[i] = row
+
+    def _bits(self, places: list[int]) -> int:
+        raw = bytearray((self.m + 7) // 8)
+        for k in places:
+            raw[k >> 3] |= 1 << (k & 7)
+        return int.from_bytes(raw, "little")
+
+    def _above(self, i: int, row: int) -> int:
+        places = self.places.get(self.before[i])
+        if places is None:
+            return row
+        met = row & (self.dense.get(self.before[i]) or self._bits(places))
+        return ((row + met) | (row - met)) & self.all
+
+    def row(self, i: int) -> tuple[int, bytes]:
+        """Row i as a number and as bytes, for ``i`` that grows."""
+        if i not in self.near:
+            last = min(self.n, (i // self.stripe + 1) * self.stripe)
+            row = self.kept[last]
+            made = {last: row}
             for k in range(last - 1, i - 1, -1):
-                best[k] = above(k, best[k + 1])
-        if a[i] == b[j]:
-            ops.append(("context", before[i], i + 1, j + 1))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            ops.append(("delete", before[i], i + 1, None))
-            i += 1
-        else:
+                made[k] = row = self._above(k, row)
+            self.near = {k: (row, row.to_bytes((self.m + 7) // 8, "little")) for k, row in made.items()}
+        return self.near[i]
+
+    def length(self, i: int, j: int) -> int:
+        """Common lines of ``before[i:]`` and ``after[j:]``."""
+        rest = self.m - j
+        return rest - (self.row(i)[0] & ((1 << rest) - 1)).bit_count()
+
+
+def _walk(before: list, after: list) -> list[tuple]:
+    """Operations of the longest common subsequence walk; a tie deletes first. Files of any length have a diff."""
+    table = _Rows(before, after)
+    n, m, ops, i, j = len(before), len(after), [], 0, 0
+    while i < n and j < m:
+        here, below = table.length(i, j), table.length(i + 1, j)
+        own, under = table.row(i)[1], table.row(i + 1)[1]
+        while j < m and before[i] != after[j]:
+            at = m - 1 - j
+            here -= 1 - (own[at >> 3] >> (at & 7) & 1)  # the length one line on
+            if below >= here:
+                break
+            below -= 1 - (under[at >> 3] >> (at & 7) & 1)
             ops.append(("add", after[j], None, j + 1))
             j += 1
+        if j == m:
+            break
+        if before[i] == after[j]:
+            ops.append(("context", before[i], i + 1, j + 1))
+            j += 1
+        else:
+            ops.append(("delete", before[i], i + 1, None))
+        i += 1
     ops += [("delete", before[k], k + 1, None) for k in range(i, n)]
     ops += [("add", after[k], None, k + 1) for k in range(j, m)]
     return ops

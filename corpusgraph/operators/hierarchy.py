@@ -235,7 +235,7 @@ def _toured(keys: list[str], tree: DataFrame, large: DataFrame) -> tuple[Names,
 
 def _tree_rows(tree: DataFrame) -> tuple[list[str], DataFrame]:
     keys, tree = _keyed(tree)
-    return keys, tree.withColumn("ord", _order(tree))
+    return keys, tree.withColumn("ord", _order(tree)).withColumn("depth", F.col("depth").cast("long"))
 
 
 def subtree_sizes(tree: DataFrame, limit: int = LOCAL_ROWS) -> DataFrame:
@@ -306,7 +306,7 @@ def filter_tree(tree: DataFrame, instances: DataFrame, query: str, limit: int =
 
 
 def flatten(tree: DataFrame, limit: int = LOCAL_ROWS) -> DataFrame:
-    """``(id, depth, position)``: the place of each row in pre-order, from 0 in each project."""
+    """``(id, depth, order_key)``: the place of each row in pre-order, from 0 in each project, as a long."""
     keys, tree = _tree_rows(tree)
     kind = tree.schema["id"].dataType.simpleString()
     rows, weights = _records(keys, tree, "ord", "depth")
@@ -315,15 +315,15 @@ def flatten(tree: DataFrame, limit: int = LOCAL_ROWS) -> DataFrame:
         up, _ = _parents(table)
         depth = table.column("depth").to_numpy()
         place = _positions(table, up, depth, _sizes(up, depth))
-        return pa.table([table.column("project"), table.column("id"), table.column("depth"), pa.array(place)], ["project", "id", "depth", "position"])
+        return pa.table([table.column("project"), table.column("id"), table.column("depth"), pa.array(place)], ["project", "id", "depth", "order_key"])
 
     def far(large: DataFrame) -> DataFrame:
         names, tour = _toured(keys, tree, large)
         first = tour.groupBy("group").agg(F.min("position").alias("first"))
-        own = tour.join(first, "group").select("id", "depth", (F.col("position") - F.col("first")).alias("position"))
-        return names.name(own, "id").select(*keys, F.col("id").cast("string"), "depth", "position")
+        own = tour.join(first, "group").select("id", "depth", (F.col("position") - F.col("first")).alias("order_key"))
+        return names.name(own, "id").select(*keys, F.col("id").cast("string"), "depth", "order_key")
 
-    found = bins.solve(rows, weights, _types(keys, tree), limit, local, "id string, depth bigint, position bigint", far, arrow=True)
+    found = bins.solve(rows, weights, _types(keys, tree), limit, local, "id string, depth bigint, order_key bigint", far, arrow=True)
     return found.withColumn("id", F.col("id").cast(kind))
 
 

@@ -1,6 +1,6 @@
 """Long numbers for names, so that loops carry no strings."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.plans.loops import cut
@@ -8,25 +8,30 @@ from corpusgraph.plans.loops import cut
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition above, row in the partition below
 
 
-def dictionary(names: DataFrame, node: str = "node") -> DataFrame:
-    """The distinct rows of ``names`` with ``node``: their places from 0 on, in order of the columns.
+def placed(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """``rows``, written, with their places from 0 on in ``order``; full ties follow one another in some order.
 
     Rows are cut into ranges and numbered inside each; the sizes of the ranges, one per
-    partition, are added up on the driver and stand in the plan as one array.
+    partition, are added up on the driver and stand in the plan as one array. So no task
+    takes more than a range, whatever the keys.
     """
-    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(f"`{c}`") for c in names.columns]
-    distinct = cut(names.distinct())  # finding the ranges reads the rows once more
-    placed = cut(distinct.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(
         "_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", _LOCAL_BITS).cast("int")
-    sizes = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    sizes = {r["part"]: r["n"] for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
     before, total = [], 0
     for k in range(max(sizes, default=-1) + 1):
         before.append(total)
         total += sizes.get(k, 0)
     offsets = F.array(*[F.lit(x).cast("long") for x in before]) if before else F.array(F.lit(0).cast("long"))
-    return placed.withColumn(node, F.get(offsets, part) + F.col("_at").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))).drop("_at")
+    return ranged.withColumn(name, F.get(offsets, part) + F.col("_at").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))).drop("_at")
+
+
+def dictionary(names: DataFrame, node: str = "node") -> DataFrame:
+    """The distinct rows of ``names`` with ``node``: their places from 0 on, in order of the columns."""
+    distinct = cut(names.distinct())  # finding the ranges reads the rows once more
+    return placed(distinct, [F.col(f"`{c}`") for c in names.columns], node)
 
 
 class Names:

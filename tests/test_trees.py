@@ -88,7 +88,7 @@ def test_trees_of_several_projects(spark, limit):
         up, down = {a for i in hit for a in above(i)}, {i for i in t if hit & set(above(i))}
         reasons += [(p, i, "match" if i in hit else "descendant" if i in up else "ancestor") for i in hit | up | down]
     assert got(H.subtree_sizes(tree, limit=limit).select("project", "id", "subtree", "children")) == sorted(sizes, key=str)
-    assert got(H.flatten(tree, limit=limit).select("project", "id", "depth", "position")) == sorted(places, key=str)
+    assert got(H.flatten(tree, limit=limit).select("project", "id", "depth", "order_key")) == sorted(places, key=str)
     assert got(H.filter_tree(tree, table, " 7", limit=limit).select("project", "id", "reason")) == sorted(reasons, key=str)
 
 
@@ -99,7 +99,7 @@ def test_deep_chain(spark, limit):
     tree = H.build_tree(chain, limit=limit)
     sizes = H.subtree_sizes(tree, limit=limit)
     assert sizes.filter(F.col("subtree") == deep - F.col("id")).count() == deep
-    assert H.flatten(tree, limit=limit).filter("position = id AND depth = id").count() == deep
+    assert H.flatten(tree, limit=limit).filter("order_key = id AND depth = id").count() == deep
 
 
 def test_empty_and_broken_rows(spark):
