@@ -36,9 +36,14 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{place}/rows")
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], name: str, mode: str = "append") -> None:
-    """Process what is there, one call per micro-batch."""
-    place = work_folder(stream.sparkSession, name)
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], name: str, mode: str = "append",
+                place: str | None = None) -> None:
+    """Process what is there, one call per micro-batch.
+
+    With ``place`` the progress is kept there, so a later run goes on where this one ended, and a batch
+    that was cut off is handed over again under its number.
+    """
+    place = place or work_folder(stream.sparkSession, name)
     query = (
         stream.writeStream.foreachBatch(handle).outputMode(mode)
         .option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
