@@ -290,7 +290,7 @@ def _(t):
     SELECT project, event_id, rn FROM (SELECT project, event_id, row_number() OVER (PARTITION BY project ORDER BY ts DESC, event_id DESC) AS rn
       FROM ({_STEPS}) s) r WHERE rn <= 20""")
 def _(t):
-    return H.retained(H.record_steps(t("F_log"))).select("project", "event_id", "rn")
+    return H.retained(H.record_steps(t("F_log")), 20).select("project", "event_id", "rn")
 
 
 _REPLAY = """WITH RECURSIVE a AS (SELECT project, event_id, action, row_number() OVER (PARTITION BY project ORDER BY ts, event_id) AS n FROM $F_actions),
@@ -308,7 +308,7 @@ _REPLAY = """WITH RECURSIVE a AS (SELECT project, event_id, action, row_number()
 @query("h3_undo_redo_replay", _REPLAY + """
     SELECT project, event_id, ok, len(undo) AS undo_count, len(redo) AS redo_count FROM s WHERE n > 0""")
 def _(t):
-    return H.replay(t("F_actions")).select("project", "event_id", "ok", "undo_count", "redo_count")
+    return H.replay(t("F_actions"), 20).select("project", "event_id", "ok", "undo_count", "redo_count")
 
 
 @query("h5_history_status", _REPLAY + """
@@ -317,7 +317,7 @@ def _(t):
       array_to_string(list_transform(undo[greatest(1, len(undo) - 4):], lambda x: CAST(x AS STRING)), ',') AS recent
     FROM (SELECT *, max(n) OVER (PARTITION BY project) AS last FROM s) f WHERE n = last""")
 def _(t):
-    return H.status(H.replay(t("F_actions")))
+    return H.status(H.replay(t("F_actions"), 20))
 
 
 @query("h4_conflicts", f"""
@@ -344,7 +344,7 @@ def _(t):
         SELECT project AS step, path, count(*) OVER (PARTITION BY project) AS n, row_number() OVER (PARTITION BY project ORDER BY path) AS rn
         FROM (SELECT DISTINCT project, path FROM $F_log) d) r GROUP BY step) g""")
 def _(t):
-    return H.describe_steps(t("F_log").select(F.col("project").alias("step"), "path").distinct())
+    return H.describe_steps(t("F_log").select(F.col("project").alias("step"), "path").distinct(), shown=3)
 
 
 @query("h8_clear_history", """

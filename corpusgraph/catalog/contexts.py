@@ -145,7 +145,7 @@ def _(t):
     asked = C.requested_files(issues).select("query_id", F.col("path").alias("target"), F.lit(True).alias("requested"))
     symbols = issues.select("query_id", T.called_symbol(F.concat("logs", "issue")).alias("symbol"))
     rows = aim.join(asked, ["query_id", "target"], "left").fillna({"requested": False}).join(symbols, "query_id")
-    return C.target_sections(rows, t("F_bodies")).select("query_id", "path", "kind", "start_line", "end_line", "text")
+    return C.target_sections(rows, t("F_bodies"), whole_lines=200).select("query_id", "path", "kind", "start_line", "end_line", "text")
 
 
 @query("c5_outline", f"SELECT path, {_OUTLINED} AS outline FROM $F_bodies")
@@ -163,7 +163,7 @@ def _(t):
     return C.dependents_rows(aim, t("F_nodes"), t("F_deps"))
 
 
-_SECTIONS = f"""{_TARGET}, parts AS (
+_SECTIONS = f"""{_TARGET.replace("len(ls) <= 200", "true")}, parts AS (
       SELECT query_id, path, 'target' AS part, kind, length(CASE WHEN kind = 'signatures' THEN {_OUTLINED}
         ELSE array_to_string(list_slice(ls, start_line, end_line), chr(10)) END) AS chars, requested FROM tsec
       UNION ALL SELECT a.query_id, a.path, 'requested', 'full', length(b.content), true FROM asked a JOIN body b ON b.project = a.project AND b.path = a.path

@@ -201,7 +201,7 @@ def _(t):
 
 @query("v11_source_lint", """
     SELECT path, 4 AS line, 10 AS "column", 'no-math-random' AS rule, 'Math.random' AS text FROM $F_code
-    UNION ALL SELECT path, 6, 1, 'no-module-mutable-state', 'let shared =…' FROM $F_code
+    UNION ALL SELECT path, 6, 1, 'no-module-mutable-state', string_split(content, chr(10))[6] FROM $F_code
     UNION ALL SELECT path, 7, instr(s, 'window'), 'no-dom-global', 'window' FROM (
       SELECT path, string_split(content, chr(10))[7] AS s FROM $F_code) l""")
 def _(t):

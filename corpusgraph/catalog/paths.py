@@ -57,8 +57,7 @@ def _(t):
       SELECT project, path AS scene_path, row_number() OVER (PARTITION BY project
         ORDER BY CASE WHEN path = 'scene.json' THEN 0 ELSE 1 END, path) AS rn
       FROM (SELECT project, regexp_replace(raw_path, '^res://', '') AS path FROM $F_paths) p
-      WHERE path = 'scene.json' OR (path LIKE 'scenes/%' AND path LIKE '%.scene.json'
-        AND len(string_split(path, '/')) - 2 <= 4)) r
+      WHERE path = 'scene.json' OR (path LIKE 'scenes/%' AND path LIKE '%.scene.json')) r
     WHERE rn = 1""")
 def _(t):
     table = t("F_paths").select("project", P.strip_resource_scheme(F.col("raw_path")).alias("path"))
@@ -220,7 +219,7 @@ def _(t):
           ELSE '(project root)' END AS folder FROM $F_paths) f) r
       WHERE rn <= 6 GROUP BY folder) g""")
 def _(t):
-    return summary.folder_map(t("F_paths").select(F.col("raw_path").alias("path")))
+    return summary.folder_map(t("F_paths").select(F.col("raw_path").alias("path")), sample=6)
 
 
 @query("a7_prefab_modules", """

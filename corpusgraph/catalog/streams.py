@@ -69,7 +69,7 @@ def _(t):
       FROM s JOIN a ON a.project = s.project AND a.n = s.n + 1)
     SELECT project, event_id, ok, u AS undo_count, r AS redo_count FROM s WHERE n > 0""")
 def _(t):
-    return feeds.run_to_table(stateful.undo_redo(_stream(t, "events", "F_actions")), "undo")
+    return feeds.run_to_table(stateful.undo_redo(_stream(t, "events", "F_actions"), 20), "undo")
 
 
 @query("t6_incremental_validation", _WITH + " SELECT scene, path, message FROM shape UNION ALL SELECT scene, path, message FROM relation")

@@ -83,11 +83,10 @@ def _(t):
                                F.size(T.diff_lines(text)).alias("diff_lines"))
 
 
-_HITS = """SELECT path, line, greatest(instr(lower(shown), 'the'), 1) AS "column", shown AS text FROM (
-      SELECT path, line, CASE WHEN length(bare) > 300 THEN substr(bare, 1, 300) || '…' ELSE bare END AS shown FROM (
+_HITS = """SELECT path, line, greatest(instr(lower(bare), 'the'), 1) AS "column", bare AS text FROM (
         SELECT path, generate_subscripts(ls, 1) AS line, unnest(ls) AS raw, regexp_replace(unnest(ls), '^\\s+', '') AS bare
-        FROM (SELECT path, string_split(content, chr(10)) AS ls FROM $F_files WHERE size <= 2097152) a) b
-      WHERE contains(lower(raw), 'the')) c"""
+        FROM (SELECT path, string_split(content, chr(10)) AS ls FROM $F_files) a) b
+      WHERE contains(lower(raw), 'the')"""
 
 
 @query("p20_display_line", """SELECT path, line, "column", text FROM (

@@ -73,19 +73,12 @@ FORBIDDEN_SUBSTRINGS = ["/app/", "svelte", "electron", "three"]
 # Budgets and caps (fixed values).
 AUTO_ATTACH = 6
 DEFAULT_BUDGET_CHARS = 12_000
-MAX_FULL_FILE_CHARS = 400_000
-MAX_WHOLE_FILE_LINES = 200
 SLICE_CONTEXT_LINES = 5
-OUTLINE_FALLBACK_LINES = 40
 DIFF_CONTEXT_LINES = 2
-HISTORY_LIMIT = 20
 RECENT_LIMIT = 5
-TAIL_LIMIT = 200
-FOLDER_SAMPLE = 6
 SEARCH_LINES_PER_FILE = 50
 SEARCH_TOTAL_LINES = 500
 SEARCH_TOTAL_NAMES = 200
-DISPLAY_CHARS = 300
 DEBOUNCE_MS = 150
 
 # Words that introduce a binding, and words that announce a function (fixed values).

@@ -158,7 +158,7 @@ def _export_entries(statement: Column) -> Column:
     specifiers = F.transform(clause, lambda n: _entry(F.lit("specifier"), n))
     expression = F.regexp_replace(F.regexp_replace(flat, r"^default\s+", ""), r";\s*$", "")
     label = F.when(expression.rlike(r"^(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*=>"), "arrow function").otherwise(
-        F.substring(expression, 1, 40))
+        expression)
     return (
         F.when(statement.rlike(_FUNCTION), function)
         .when(statement.rlike(_CLASS + r"\b|" + _CLASS + r"\s*\{"), klass)
@@ -308,8 +308,8 @@ LINT_RULES = {
 _CALL_OR_DECLARATION = ("no-scene-add", "no-module-mutable-state")
 
 
-def lint(source: Column) -> Column:
-    """``array<struct(rule, line, column, text)>`` sorted by line, column and rule."""
+def lint(source: Column, chars: int | None = None) -> Column:
+    """``array<struct(rule, line, column, text)>`` sorted by line, column and rule; ``chars`` shortens the text."""
     pairs = F.arrays_zip(F.split(blank(source, same_length=True), "\n", -1).alias("code"),
                          F.split(source, "\n", -1).alias("raw"))
     mark = "\u0001"
@@ -327,7 +327,8 @@ def lint(source: Column) -> Column:
                     whole = F.trim(F.regexp_extract(rest, r"^[^;]*;?", 0))
                 else:
                     whole = F.substring(rest, F.lit(1), F.length(F.regexp_extract(piece, pattern.replace("(?<![\\w$.])", "^"), 0)))
-                text = F.when(F.length(whole) > 12, F.concat(F.substring(whole, 1, 12), F.lit("…"))).otherwise(whole)
+                text = whole if chars is None else F.when(
+                    F.length(whole) > chars, F.concat(F.substring(whole, F.lit(1), F.lit(chars)), F.lit("…"))).otherwise(whole)
                 return F.struct(number.alias("line"), column.alias("column"), F.lit(rule).alias("rule"), text.alias("text"))
 
             return F.slice(F.transform(pieces, hit), F.lit(2), F.size(pieces))

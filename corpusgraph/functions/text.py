@@ -101,16 +101,16 @@ def diff_lines(text: Column) -> Column:
     )
 
 
-def display_line(line: Column) -> Column:
+def display_line(line: Column, chars: int | None = None) -> Column:
+    """The line without leading white space; its first ``chars`` characters and a mark where a caller asks for that."""
     bare = F.regexp_replace(line, r"^\s+", "")
-    return F.when(
-        F.length(bare) > K.DISPLAY_CHARS,
-        F.concat(F.substring(bare, 1, K.DISPLAY_CHARS), F.lit("…")),
-    ).otherwise(bare)
+    if chars is None:
+        return bare
+    return F.when(F.length(bare) > chars, F.concat(F.substring(bare, 1, chars), F.lit("…"))).otherwise(bare)
 
 
 def display_column(line: Column, needle: Column) -> Column:
-    """1-based column of the hit in the display line, 1 when it was cut away."""
+    """1-based column of the hit in the line without leading white space, 1 when it lies in that white space."""
     return F.greatest(F.position(needle, F.lower(display_line(line))), F.lit(1))
 
 

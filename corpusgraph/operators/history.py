@@ -39,7 +39,7 @@ def newest(steps: DataFrame, limit: int) -> DataFrame:
     return top_per_group(steps, ["project"], [F.col("ts").desc(), F.col("event_id").desc()], limit)
 
 
-def retained(steps: DataFrame, limit: int = K.HISTORY_LIMIT) -> DataFrame:
+def retained(steps: DataFrame, limit: int) -> DataFrame:
     return newest(steps, limit)
 
 
@@ -49,7 +49,7 @@ def recent_keys(log: DataFrame, key: str, limit: int) -> DataFrame:
     return top_per_group(last, ["project"], [F.col("last").desc()], limit).select("project", key, "rn")
 
 
-def describe_steps(changes: DataFrame, shown: int = 3) -> DataFrame:
+def describe_steps(changes: DataFrame, shown: int) -> DataFrame:
     """``(step, description)``: the first files by path, and how many more."""
     counts = changes.groupBy("step").agg(F.count("*").alias("n"))
     first = top_per_group(changes.select("step", "path"), ["step"], [F.col("path")], shown).groupBy("step").agg(
@@ -175,7 +175,7 @@ def _block_starts(functions: DataFrame, chain: int) -> DataFrame:
     return starts
 
 
-def replay(actions: DataFrame, limit: int = K.HISTORY_LIMIT, bucket: Column | None = None, block_rows: int = BLOCK_ROWS,
+def replay(actions: DataFrame, limit: int, bucket: Column | None = None, block_rows: int = BLOCK_ROWS,
            chain: int = CHAIN) -> DataFrame:
     """``(project, event_id, ts, action, ok, undo_count, redo_count, dropped)`` per action.
 

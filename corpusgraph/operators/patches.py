@@ -227,4 +227,4 @@ def write_new_projects(replies: DataFrame, place: str) -> None:
 
 def patch_steps(changes: DataFrame) -> DataFrame:
     """One description per reply: its first three files and how many more."""
-    return history.describe_steps(changes.select(F.col("reply_id").alias("step"), "path"))
+    return history.describe_steps(changes.select(F.col("reply_id").alias("step"), "path"), shown=3)

@@ -29,11 +29,12 @@ def _matching_lines(needle: str) -> Column:
 
 
 def line_hits(files: DataFrame, query: str, per_file: int | None = None,
-              max_bytes: int | None = None) -> DataFrame:
+              max_bytes: int | None = None, chars: int | None = None) -> DataFrame:
     """``(path, line, column, text)`` of lines that contain the query.
 
     Works inside each file row, so nothing is shuffled. ``per_file`` keeps the first
-    hits of a file; files over ``max_bytes`` are left out before their content is read.
+    hits of a file; files over ``max_bytes`` are left out before their content is read;
+    ``chars`` shortens the text of a hit.
     """
     needle = needle_of(query)
     if needle is None:
@@ -48,7 +49,7 @@ def line_hits(files: DataFrame, query: str, per_file: int | None = None,
         "path",
         F.col("h.line").alias("line"),
         T.display_column(F.col("h.raw"), F.lit(needle or "")).cast("long").alias("column"),
-        T.display_line(F.col("h.raw")).alias("text"),
+        T.display_line(F.col("h.raw"), chars).alias("text"),
     )
 
 

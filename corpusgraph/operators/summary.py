@@ -27,7 +27,7 @@ def files_by_extension(files: DataFrame) -> DataFrame:
     return files.groupBy(name.alias("extension")).agg(F.count("*").alias("n"))
 
 
-def folder_map(files: DataFrame, sample: int = K.FOLDER_SAMPLE) -> DataFrame:
+def folder_map(files: DataFrame, sample: int) -> DataFrame:
     """Per folder: number of files, the first few in order, and how many more.
 
     Counting and sampling are separate so that neither collects a whole folder:

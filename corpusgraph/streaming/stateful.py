@@ -76,7 +76,7 @@ def drop_repeats_batch(events: DataFrame) -> DataFrame:
     return events.withColumn("_before", before).filter(~F.col("content_hash").eqNullSafe(F.col("_before"))).drop("_before")
 
 
-def bounded_tail(stream: DataFrame, limit: int = K.TAIL_LIMIT) -> DataFrame:
+def bounded_tail(stream: DataFrame, limit: int) -> DataFrame:
     """``(key, seen, event_id, age)``: the last rows per key after each batch, newest age 1.
 
     A reader keeps, per key, the rows with the largest ``seen``.
@@ -97,7 +97,7 @@ def latest_tail(tails: DataFrame) -> DataFrame:
     return tails.join(now, ["key", "seen"], "left_semi")
 
 
-def undo_redo(stream: DataFrame, limit: int = K.HISTORY_LIMIT) -> DataFrame:
+def undo_redo(stream: DataFrame, limit: int) -> DataFrame:
     """``(project, event_id, ok, undo_count, redo_count)`` with both stacks as state.
 
     A record clears the redo stack and lets the oldest step fall off at the limit; the
