@@ -174,8 +174,8 @@ _SECTIONS = f"""{_TARGET.replace("len(ls) <= 200", "true")}, parts AS (
       PARTITION BY query_id, requested ORDER BY chars DESC, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dropped FROM parts)"""
 
 
-def _sections(t):
-    return C.compile_sections(t("F_issues"), t("F_bodies"), t("F_contracts"), t("F_deps"), budget=600)
+def _sections(t, ranked=None):
+    return C.compile_sections(t("F_issues"), t("F_bodies"), t("F_contracts"), t("F_deps"), ranked, budget=600)
 
 
 @query("c1_context_compilation", f"WITH {_SECTIONS} SELECT query_id, part, path, kind, chars, dropped FROM packed")
@@ -209,7 +209,7 @@ def _(t):
     FROM kept k LEFT JOIN whole w ON w.query_id = k.query_id""")
 def _(t):
     ranked = _ranked(t)
-    return C.totals(_sections(t), ranked, t("F_bodies"))
+    return C.totals(_sections(t, ranked), ranked, t("F_bodies"))
 
 
 @query("c11_brief_counts", """

@@ -255,7 +255,14 @@ def script_contract(source: Column) -> Column:
 
     # A colon before "=" marks an inferred type, which is no declared type.
     plain = F.regexp_replace(blank_script(source), r":=", "=")
-    return compact(F.transform(F.split(plain, r"\r?\n"), read))
+    return compact(F.transform(F.split(_logical_lines(plain), r"\r?\n"), read))
+
+
+def _logical_lines(script: Column) -> Column:
+    """Export annotations on lines of their own join the variable below; heads that go on inside their parentheses become one line."""
+    joined = F.regexp_replace(script, r"(?m)^(@export\w*(?:\([^)\n]*\))?)[ \t]*(?:\r?\n[ \t]*)+(?=var\b|onready\b)", "$1 ")
+    inside = r"((?:[^()\n]|\([^()\n]*\))*)\r?\n[ \t]*"
+    return F.regexp_replace(joined, r"(?m)(^(?:(?:static[ \t]+)?func|signal)[ \t]+\w+[ \t]*\(|\G(?!\A))" + inside, "$1$2 ")
 
 
 def script_signatures(contract: Column, kinds: list[str]) -> Column:

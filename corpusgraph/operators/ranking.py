@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph import constants as K
 from corpusgraph.functions import text as T
+from corpusgraph.plans.loops import cut
 from corpusgraph.sources.files import top_per_group
 
 _RULE = ["query_id", "project", "file", "score", "line", "reason", "seq"]
@@ -35,21 +36,44 @@ def log_rule(issues: DataFrame, files: DataFrame) -> DataFrame:
                        reason.alias("reason"), _order(1, F.col("ord"), 0))
 
 
-def name_rule(issues: DataFrame, files: DataFrame) -> DataFrame:
-    """Files whose path contains a word of the issue: 40.
+#: Paths that hold a piece and stand under one join key; a piece of more paths is spread over several.
+POSTINGS = 100_000
+
+
+def _pieces(text: Column) -> Column:
+    """The distinct three-character pieces of a text."""
+    return F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
+
+
+def paths_with(words: DataFrame, files: DataFrame, postings: int = POSTINGS) -> DataFrame:
+    """``(project, word, path)``: the paths of a project that contain a lower-case word of three or more characters.
 
-    Words are looked up by their first three characters among the three-character
-    pieces of each path, then checked in full: an equi join instead of a cross product.
+    A table counts the paths of each three-character piece of a project. Each word meets only the paths that hold
+    its rarest piece, and the check in full follows, so a piece that all paths share (``src``) costs
+    nothing unless a word has no other. Pieces of more than ``postings`` paths are spread over several join keys.
     """
+    lower = F.lower("path")
+    held = cut(files.select("project", "path", F.explode(_pieces(lower)).alias("piece")))
+    counts = held.groupBy("project", "piece").agg(F.count("*").alias("n"))
+    asked = words.select("project", "word").distinct().select("project", "word", F.explode(_pieces(F.col("word"))).alias("piece"))
+    # a word with a piece that no path of its project holds is in no path
+    rarest = asked.join(counts, ["project", "piece"], "left").groupBy("project", "word").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("r")).filter("r.n > 0").select("project", "word", "r.*")
+    rarest = cut(rarest)
+    parts = F.ceil(F.col("n") / postings).cast("int")
+    needed = rarest.select("project", "piece", parts.alias("parts")).distinct()
+    spread = held.join(needed, ["project", "piece"]).withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int")).drop("parts")
+    keyed = rarest.select("project", "word", "piece", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return keyed.join(spread, ["project", "piece", "part"]).filter(lower.contains(F.col("word"))).select("project", "word", "path")
+
+
+def name_rule(issues: DataFrame, files: DataFrame) -> DataFrame:
+    """Files whose path contains a word of the issue: 40. See :func:`paths_with`."""
     words = issues.select("query_id", "project", F.posexplode(T.issue_tokens(F.col("issue"))).alias("pos", "word"))
     words = words.groupBy("query_id", "project", "word").agg(F.min("pos").alias("pos"))
-    lower = F.lower("path")
-    pieces = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(lower) - 2, F.lit(1))), lambda i: F.substring(lower, i, F.lit(3))))
-    grams = files.select("project", "path", F.explode(pieces).alias("gram"))
-    distinct = words.select("project", "word", F.substring("word", 1, 3).alias("gram")).distinct()
-    hits = distinct.join(grams, ["project", "gram"]).filter(F.lower("path").contains(F.col("word")))
-    rows = words.join(hits.select("project", "word", "path"), ["project", "word"])
+    words = cut(words)
+    rows = words.join(paths_with(words, files), ["project", "word"])
     reason = F.concat(F.lit('Filename matches "'), "word", F.lit('"'))
     return rows.select("query_id", "project", F.col("path").alias("file"), F.lit(40).alias("score"),
                        F.lit(None).cast("long").alias("line"), reason.alias("reason"), _order(2, F.col("pos"), 0))
@@ -90,8 +114,8 @@ def neighbour_rule(direct: DataFrame, edges: DataFrame) -> DataFrame:
 
 def rank(issues: DataFrame, files: DataFrame, contracts: DataFrame, edges: DataFrame) -> DataFrame:
     """``(query_id, project, file, score, line, reason, is_top)``: best score per file,
-    first line, distinct reasons in rule order."""
-    logs = log_rule(issues, files).select(*_RULE)
+    first line, distinct reasons in rule order. Written once, since callers read it several times."""
+    logs = cut(log_rule(issues, files).select(*_RULE))
     others = name_rule(issues, files).select(*_RULE).unionByName(symbol_rule(issues, contracts).select(*_RULE))
     near = neighbour_rule(logs, edges).select(*_RULE)
     rows = logs.unionByName(others).unionByName(near)
@@ -99,10 +123,10 @@ def rank(issues: DataFrame, files: DataFrame, contracts: DataFrame, edges: DataF
         F.max("score").alias("score"), F.min_by("line", F.when(F.col("line").isNotNull(), F.col("seq"))).alias("line"),
         F.min(F.when(F.col("line").isNotNull(), F.col("seq"))).alias("line_seq"), F.min("seq").alias("seq"))
     reasons = F.transform(F.array_sort(F.collect_list(F.struct("seq", "reason"))), lambda r: r["reason"])
-    return once.groupBy("query_id", "project", "file").agg(
+    return cut(once.groupBy("query_id", "project", "file").agg(
         F.max("score").alias("score"), F.min_by("line", "line_seq").alias("line"),
         F.array_join(reasons, "; ").alias("reason"),
-    ).withColumn("is_top", F.col("score") >= 95)
+    ).withColumn("is_top", F.col("score") >= 95))
 
 
 def top_ranked(ranked: DataFrame, limit: int = K.AUTO_ATTACH) -> DataFrame:
