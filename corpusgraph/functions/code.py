@@ -118,6 +118,7 @@ def imports_of(text: Column) -> Column:
 _EXPORT = (
     r"(?m)^[ \t]*export\s+(\{[^}]*\}[^;\n]*"
     r"|(?:default\s+)?(?:async\s+)?function\b\s*\*?\s*[\w$]*\s*\([^)]*\)(?:\s*:\s*[^{;\n]+)?"
+    r"|(?:const|let|var)\b[^\n]*(?:(?<=,)[ \t]*\n[^\n]*)*"
     r"|[^\n]*)"
 )
 _FUNCTION = r"^(?:default\s+)?(?:async\s+)?function\b\s*\*?\s*([\w$]*)\s*\(([^)]*)\)(?:\s*:\s*([^{;\n]+))?"
@@ -133,6 +134,28 @@ def _entry(kind: Column, name: Column, parameters: Column | None = None,
                     (nothing if returns is None else returns).alias("returns"))
 
 
+#: Brackets inside brackets that the search for declarators looks through.
+_NESTED = 12
+
+
+def _declared(statement: Column) -> Column:
+    """Names that a ``const`` / ``let`` / ``var`` statement declares, in order.
+
+    Strings go first, then patterns in front of ``=`` are put in other brackets, and what brackets
+    hold goes from inside out. The commas left outside patterns part the declarators; an open bracket or a semicolon ends them.
+    """
+    rest = F.regexp_replace(F.regexp_replace(statement, r"^(?:const|let|var)\b\s*", ""),
+                            r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`", "")
+    rest = F.regexp_replace(rest, r"(^|,\s*)[{\[]([^{}\[\]]*)[}\]](?=\s*(?::[^=,]*)?=(?!=))", "$1\u2039$2\u203a")
+    for _ in range(_NESTED):
+        rest = F.regexp_replace(rest, r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}|<[\w$, |]*>", "")
+    parts = F.split(F.regexp_replace(rest, r"(?s)[({\[;].*$", ""), ",(?![^\u2039\u203a]*\u203a)")
+    patterns = F.transform(parts, lambda p: F.when(
+        F.trim(p).startswith("\u2039"), F.transform(F.split(F.regexp_extract(p, "\u2039([^\u203a]*)\u203a", 1), ","), lambda n: F.trim(F.regexp_replace(n, r"[:=].*$", ""))))
+        .otherwise(F.array(F.regexp_extract(p, r"^\s*([\w$]+)", 1))))
+    return F.filter(F.flatten(patterns), lambda n: n != "")
+
+
 def _export_entries(statement: Column) -> Column:
     default = statement.rlike(r"^default\b")
     flat = T.normalize_signature(statement)
@@ -148,11 +171,7 @@ def _export_entries(statement: Column) -> Column:
         T.normalize_signature(F.regexp_extract(statement, _FUNCTION, 2)),
         F.nullif(T.normalize_signature(F.regexp_extract(statement, _FUNCTION, 3)), F.lit(""))))
     klass = F.array(_entry(kinded("class"), text_or(F.regexp_extract(statement, _CLASS, 1), "anonymous")))
-    names = F.filter(
-        F.transform(F.split(F.regexp_replace(F.regexp_extract(statement, _VARIABLE, 2), r"[{}\[\]]", ""), ","),
-                    lambda n: F.trim(F.regexp_replace(n, r"[:=].*$", ""))),
-        lambda n: n != "")
-    variables = F.transform(names, lambda n: _entry(F.regexp_extract(statement, _VARIABLE, 1), n))
+    variables = F.transform(_declared(statement), lambda n: _entry(F.regexp_extract(statement, _VARIABLE, 1), n))
     clause = F.filter(
         F.transform(F.split(F.regexp_extract(flat, r"^\{([^}]*)\}", 1), ","), lambda v: F.trim(v)), lambda n: n != "")
     specifiers = F.transform(clause, lambda n: _entry(F.lit("specifier"), n))

@@ -74,3 +74,11 @@ def test_words_in_paths_equal_a_plain_search(spark):
     for postings in (1, 7, 10**6):
         got = ranking.paths_with(spark.createDataFrame(words, "project string, word string"), files, postings)
         assert sorted(tuple(r) for r in got.select("project", "word", "path").collect()) == want
+
+
+def test_every_declarator_is_exported(spark):
+    source = ("export const x = 1, y = 2;\nexport let a = f(1, [2, 3]), b = {p: 1, q: {r: 2}}, c;\nexport const { d, e: f2, g = 4 } = obj, [h, i] = list;\n"
+              "export const s = 'one, two', t = `three, ${x}`, u = (k, l) => { return [k, l]; };\nexport const big = {\n  v: 1,\n};\n"
+              "export var m = 1,\n  n = 2,\n  o = 3;\nexport const typed: Map<string, number> = new Map(), w = a === b;\nconst hidden = 1, none = 2;\n")
+    names = [e.name for e in one(spark, source, code.exports)]
+    assert names == ["x", "y", "a", "b", "c", "d", "e", "g", "h", "i", "s", "t", "u", "big", "m", "n", "o", "typed", "w"]

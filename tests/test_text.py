@@ -65,7 +65,7 @@ export * from './all.js';
     assert got == [("./m.js", ["def", "a", "b as c"], False), ("../n", ["* as ns"], False), ("./side.css", [], False),
                    ("./lazy.js", [], True), ("./req", [], True)]
     names = [(e.kind, e.name) for e in value(spark, code.exports, source)]
-    assert names == [("default_function", "anonymous"), ("function", "go"), ("class", "Car"), ("const", "p"), ("const", "q"),
+    assert names == [("default_function", "anonymous"), ("function", "go"), ("class", "Car"), ("const", "p"), ("const", "q"), ("const", "z"),
                      ("specifier", "a"), ("specifier", "b as d"), ("specifier", "*")]
 
 
