@@ -80,9 +80,9 @@ def mix(docs: DataFrame, size: Column, id_column: str = "doc_id", source_column:
     inside = Window.partitionBy("source").orderBy("_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     at_end = rows.filter("_range = end_range").withColumn(
         "middle", F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2).withColumn(
-        "more", F.col("middle") <= F.col("need")).drop("middle")
+        "more", (F.col("middle") <= F.col("need")) & (F.col("need") > 0)).drop("middle")
     elsewhere = rows.filter("_range <> end_range OR end_range IS NULL").withColumn(
-        "more", F.coalesce(F.col("_range") < F.col("end_range"), F.lit(False)))
+        "more", F.coalesce((F.col("_range") < F.col("end_range")) & (F.col("need") > 0), F.lit(False)))
     taken = at_end.unionByName(elsewhere).withColumn("repeats", F.col("whole") + F.col("more").cast("long"))
     return taken.select("id", "source", "size", "source_size", "target", "repeats",
                         (F.col("size") * F.col("repeats")).alias("taken"), *(keep or []))
