@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from corpusgraph.llm import wordhash
 from corpusgraph.llm.tasks import lean
 
-#: Words a run of sentences has at least; a run is as short as that allows.
+#: Words a run of sentences has at least (letters, in scripts without spaces); a run is as short as that allows.
 LEAST_WORDS = 30
-#: What lies between two sentences: a line break, or white space after an end mark.
-_GAP = re.compile(r"\s*\n\s*|(?<=[.!?…。！？])\s+")
+#: What lies between two sentences: a line break, white space after an end mark, an end mark that needs no white space
+#: behind it, or white space in scripts that have it between phrases only (Thai, Lao, Khmer, Burmese).
+_GAP = re.compile(r"\s*\n\s*|(?<=[.!?…])\s+|(?<=[。！？])\s*|(?<=[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff])\s+")
 _MULTIPLIERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407))
 
 
@@ -29,6 +30,28 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [x for x in out if not text[x[0]:x[1]].isspace()]
 
 
+def _units(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and per text the number of its first one; each letter of a script without spaces is a word.
+
+    Such letters are known by their first bytes: kana and Han, Thai and Lao, Burmese, Khmer.
+    """
+    begin, end = wordhash.word_spans(raw, ends)
+    if len(raw) and raw.max() >= 0xE0:
+        then = np.append(raw[1:], np.uint8(0))
+        wide = (raw >= 0xE3) & (raw <= 0xE9) | (raw == 0xEF) & (then >= 0xA4) & (then <= 0xAB)
+        thai = (raw == 0xE0) & (then >= 0xB8) & (then <= 0xBB)
+        others = (raw == 0xE1) & ((then >= 0x80) & (then <= 0x82) | (then >= 0x9E) & (then <= 0x9F))
+        rare = (raw == 0xF0) & (then >= 0xA0) & (then <= 0xAF)
+        heads = np.flatnonzero(wide | thai | others | rare)
+        cuts = np.union1d(heads, heads + np.where(rare[heads], 4, 3))
+        word = np.searchsorted(begin, cuts, "right") - 1
+        cuts = cuts[(word >= 0) & (cuts < end[word])]
+        parts = np.union1d(begin, cuts)
+        end = np.minimum(end[np.searchsorted(begin, parts, "right") - 1], np.append(parts[1:], len(raw)))
+        begin = parts
+    return wordhash.span_hashes(raw, begin, end, fold=False), np.searchsorted(begin, ends)
+
+
 def _run_hashes(value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
     """Two hashes of the words ``begin[k] .. end[k] - 1`` for every k, whatever sentences they lie in."""
     out = []
@@ -54,7 +77,7 @@ def runs_of(texts: list[str], least: int):
     heads = np.concatenate([[0], np.cumsum(counts)])
     flat = pa.array([t[a:b] for t, own in zip(texts, spans) for a, b in own], pa.large_string())
     raw, ends = wordhash.text_bytes(flat)
-    value, firsts = wordhash.words(raw, ends, fold=False)
+    value, firsts = _units(raw, ends)
     owner = np.repeat(np.arange(len(texts)), counts)
     begin = np.arange(heads[-1])
     stop = np.searchsorted(firsts, firsts[begin] + least)

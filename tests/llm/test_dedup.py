@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +230,39 @@ def test_word_hashes_tell_words_apart():
 def test_everything_ignores_other_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 2)], "doc_id long, text string, id long").withColumn("tkey", F.lit("x"))
     assert minhash.near_duplicates(docs).count() == 1
+
+
+def test_lists_grow_with_the_table_so_recall_stays():
+    r = np.random.default_rng(11)
+    x = r.standard_normal((400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.standard_normal((400, 64))
+    y -= (y * x).sum(1, keepdims=True) * x
+    y = 0.951 * x + np.sqrt(1 - 0.951 ** 2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    for classes in (10**4, 10**6, 10**8):
+        words = int(np.ceil((classes * 2.0) ** 0.25))
+        met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(caps.decode(x, words), caps.decode(y, words))]
+        assert np.mean(met) > 0.99
+
+
+def test_passages_of_scripts_without_spaces(spark):
+    r = random.Random(8)
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    thai = lambda n: "".join(chr(r.randrange(0x0E01, 0x0E2E)) for _ in range(n))
+    shared = "".join(han(12) + "。" for _ in range(20))
+    phrases = " ".join(thai(15) for _ in range(12))
+    rows = [(k, "".join(han(10) + "。" for _ in range(5)) + shared + "".join(han(9) + "！" for _ in range(4))) for k in range(6)]
+    rows += [(10 + k, thai(40) + " " + phrases + " " + thai(30)) for k in range(4)]
+    rows += [(20, han(40)), (21, "kurz " * 40), (22, "日本語 mixed 日本 words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["id"]: x["text"] for x in substrings.remove_repeats(docs).collect()}
+    assert shared in got[0] and all(shared not in got[k] and len(got[k]) == len(rows[k][1]) - len(shared) for k in range(1, 6))
+    assert phrases in got[10] and all(phrases not in got[k] for k in range(11, 14))
+    assert all(got[k] == dict(rows)[k] for k in (20, 21, 22))
+
+
+def test_letters_of_unspaced_scripts_are_words():
+    raw, ends = wordhash.text_bytes(pa.array(["ab 日本x語 c", "", "ไทย ok", "𠀀𠀁", "é日"]))
+    value, firsts = substrings._units(raw, ends)
+    assert np.diff(firsts).tolist() == [6, 0, 4, 2, 2]
+    assert value[0] == wordhash.words(*wordhash.text_bytes(pa.array(["ab"])), fold=False)[0][0]

@@ -383,3 +383,10 @@ def test_mixing_targets_and_repeats(spark):
         assert target[s] == pytest.approx(share[s] if s in free else 3 * sizes[s])
         assert abs(taken[s] - target[s]) <= 40
     assert mixing.mix(docs.limit(0), mixing.word_count(F.col("text"))).collect() == []
+
+
+def test_wordless_rows_are_taken_no_more_than_the_epochs(spark):
+    rows = [(k, "a", "") for k in range(60)] + [(100 + k, "a", "one two three") for k in range(3)] + [(k, "b", "word " * 400) for k in range(200, 220)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs, mixing.word_count(F.col("text"))).collect()
+    assert max(x["repeats"] for x in got) <= 3 and {x["repeats"] for x in got if x["source"] == "a"} == {3}
