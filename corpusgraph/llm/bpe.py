@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.llm.chunks import WordTable, gather
 from corpusgraph.llm.tasks import lean
+from corpusgraph.plans.loops import cut
 
 #: Rows, and characters of text, whose distinct words are folded together.
 BLOCK_ROWS = 4096
@@ -171,9 +172,9 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_column: str
                  digest: bool = False, digest_decoded: bool = False) -> DataFrame:
     """Ids of every text and the bytes that they decode to.
 
-    No shuffle and no broadcast: a task takes a block of its documents, lists their distinct
-    words (matches of ``pattern``) once, folds those in the JVM (:func:`fold_word`) and writes
-    the ids of each document by word number. A block is bounded in rows and characters; a
+    No shuffle and no broadcast: a task takes a block of its documents and lists their distinct
+    words (matches of ``pattern``) once. Blocks are written; the next tasks fold their words in the JVM (:func:`fold_word`) and
+    give the ids of each document by word number. A block is bounded in rows and characters; a
     longer text is a block of its own.
 
     Returns ``id, n_tokens, ids, decoded``: ids as little-endian unsigned 32-bit numbers and bytes,
@@ -184,7 +185,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_column: str
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     shift, cells = rank_literal(ranks_path)
-    blocks = rows.mapInArrow(_blocks(ranks_path, pattern), f"words array<array<bigint>>, ids array<{kind}>, docs array<binary>")
+    # written, so that a core has one Python worker at a time: first those that split, then those that put together
+    blocks = cut(rows.mapInArrow(_blocks(ranks_path, pattern), f"words array<array<bigint>>, ids array<{kind}>, docs array<binary>"))
     # one lambda variable holds the two literals, so that the plan holds them once and not at every look-up
     coded = blocks.select("ids", "docs", F.get(F.transform(F.array(F.struct(shift.alias("shift"), cells.alias("cells"))), lambda table: F.transform(
         "words", lambda w: fold_word(w, table["shift"], table["cells"]))), F.lit(0)).alias("coded"))
