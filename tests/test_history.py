@@ -57,7 +57,7 @@ def test_replay_equals_plain_stacks(spark, block_rows, chain):
 
 
 def test_replay_of_nothing(spark):
-    assert H.replay(spark.createDataFrame([], "project long, event_id long, ts timestamp, action string")).collect() == []
+    assert H.replay(spark.createDataFrame([], "project long, event_id long, ts timestamp, action string"), 5).collect() == []
 
 
 def table_walk(a, b):
