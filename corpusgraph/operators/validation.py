@@ -1,6 +1,6 @@
 """Validation jobs: documents, relations, parameters, slots, problem tables."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import documents as D
@@ -17,9 +17,11 @@ def shape_problems(docs: DataFrame) -> DataFrame:
 
 def duplicate_ids(rows: DataFrame, list_name: str) -> DataFrame:
     """Later rows ``(scene, pos, id)`` with an id used before, citing the first index."""
-    first = rows.groupBy("scene", "id").agg(F.min("pos").alias("first"))
+    # A window, not a join with the first places: these are as many as the rows, and a planner that takes them for few broadcasts them.
+    named = rows.select("scene", "pos", "id").filter("scene IS NOT NULL AND id IS NOT NULL")
     place = lambda c: F.concat(F.lit(list_name + "["), F.col(c).cast("string"), F.lit("]"))
-    return rows.join(first, ["scene", "id"]).filter("pos > first").select(
+    first = F.min("pos").over(Window.partitionBy("scene", "id"))
+    return named.withColumn("first", first).filter("pos > first").select(
         "scene", F.concat(place("pos"), F.lit(".id")).alias("path"),
         F.concat(F.lit('duplicate id "'), "id", F.lit('" — first defined at '), place("first")).alias("message"))
 
