@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpusgraph.operators.graph import _only, _types, keys_of
 from corpusgraph.plans import bins
 from corpusgraph.plans.dense import Names, dictionary
-from corpusgraph.plans.loops import cut, jump_to_end
+from corpusgraph.plans.loops import by_shuffle, cut, jump_to_end
 from corpusgraph.plans.running import running_sum
 
 #: Rows of a project that a task solves in memory.
@@ -126,7 +126,7 @@ def usable_parents(instances: DataFrame) -> DataFrame:
     order = F.col("ord") if "ord" in instances.columns else F.col("id")
     ids = instances.select(F.col("id").alias("parent"), F.lit(True).alias("known")).distinct()
     return instances.select("id", "parent", order.alias("ord"), *[c for c in ("named",) if c in instances.columns]).join(
-        ids, "parent", "left").select(
+        by_shuffle(ids), "parent", "left").select(
         "id",
         F.when(F.col("known") & (F.col("parent") != F.col("id")), F.col("parent")).alias("parent"),
         "ord",
@@ -139,7 +139,7 @@ def _numbered(keys: list[str], table: DataFrame, *columns: str) -> tuple[Names,
     names = Names(keys, table.select(*keys, "id"))
     ids = names.table.select(*keys, F.col("id").alias("parent"), F.col("node").alias("_up"))
     own = names.table.select(*keys, "id", F.col("node").alias("_id"))
-    met = table.select(*keys, "id", "parent", *columns).join(own, [*keys, "id"]).join(ids, [*keys, "parent"], "left")
+    met = table.select(*keys, "id", "parent", *columns).join(by_shuffle(own), [*keys, "id"]).join(by_shuffle(ids), [*keys, "parent"], "left")
     return names, cut(met.select(*keys, F.col("_id").alias("id"), F.col("_up").alias("parent"), F.col("parent").isNotNull().alias("named"), *columns))
 
 
@@ -169,7 +169,7 @@ def build_tree(instances: DataFrame, limit: int = LOCAL_ROWS) -> DataFrame:
         names, table = _numbered(keys, _only(ordered, keys, large), "ord")
         built = _loop_tree(table.drop(*keys))
         up = names.table.select(F.col("node").alias("parent"), F.col("id").alias("_up"))
-        named = names.name(built, "id", "root").join(up, "parent", "left")
+        named = names.name(built, "id", "root").join(by_shuffle(up), "parent", "left")
         return named.select(*keys, F.col("id").cast("string"), F.col("_up").cast("string").alias("parent"), "ord", "depth",
                             F.col("root").cast("string"), "orphan")
 
@@ -182,14 +182,14 @@ def build_tree(instances: DataFrame, limit: int = LOCAL_ROWS) -> DataFrame:
 def _loop_tree(instances: DataFrame) -> DataFrame:
     links = cut(usable_parents(instances))
     walked = jump_to_end(links)
-    broken = cut(walked.filter("on_cycle").join(links.select("id", "ord"), "id").filter("ord = low").select(
+    broken = cut(walked.filter("on_cycle").join(by_shuffle(links.select("id", "ord")), "id").filter("ord = low").select(
         "id", F.lit(True).alias("opened")))
-    opened = links.join(broken, "id", "left").select(
+    opened = links.join(by_shuffle(broken), "id", "left").select(
         "id", F.when(F.col("opened").isNull(), F.col("parent")).alias("parent"), "ord",
         (F.col("named") & (F.col("parent").isNull() | F.coalesce("opened", F.lit(False)))).alias("orphan"))
     opened = cut(opened)
     placed = jump_to_end(opened.select("id", "parent", "ord")).select("id", "root", F.col("steps").alias("depth"))
-    return opened.join(placed, "id")
+    return opened.join(by_shuffle(placed), "id")
 
 
 def _tour(tree: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def _tour(tree: DataFrame) -> DataFrame:
     rows = cut(dictionary(tree.select("group", up.alias("up"), F.col("ord").isNotNull().alias("_o"), "ord", "id", "depth"), "seq"))
     after = rows.select((F.col("seq") - 1).alias("seq"), F.col("group").alias("g2"), F.col("up").alias("up2"), F.col("id").alias("next"))
     roots = F.col("up") == -1
-    met = rows.join(after, "seq", "left").select(
+    met = rows.join(by_shuffle(after), "seq", "left").select(
         "group", "id", "up", "seq", "depth", F.when((F.col("g2") == F.col("group")) & (F.col("up2") == F.col("up")), F.col("next")).alias("next"))
     first = rows.groupBy("group", "up").agg(F.min_by("id", "seq").alias("child"))
     children = first.filter(~roots).select(F.col("up").alias("id"), "child")
@@ -211,7 +211,7 @@ def _tour(tree: DataFrame) -> DataFrame:
     # the next group's first root follows a group's last one
     order = cut(dictionary(groups.select("group", "start"), "at"))
     following = order.join(order.select((F.col("at") - 1).alias("at"), F.col("start").alias("onward")), "at", "left").select("group", "onward")
-    met = met.join(children, "id", "left").join(following, "group", "left")
+    met = met.join(by_shuffle(children), "id", "left").join(following, "group", "left")
     enter, leave = (lambda c: 2 * F.col(c)), (lambda c: 2 * F.col(c) + 1)
     arcs = met.select(F.inline(F.array(
         F.struct(enter("id").alias("id"), F.coalesce(enter("child"), leave("id")).alias("parent")),
@@ -221,7 +221,7 @@ def _tour(tree: DataFrame) -> DataFrame:
     sides = steps.groupBy(F.expr("id div 2").alias("id")).agg(
         F.max("steps").alias("entered"), F.min("steps").alias("left"))
     # places before the entry: an entry and an exit for each node finished, an entry for each ancestor
-    return rows.select("group", "id", "depth").join(sides, "id").select(
+    return rows.select("group", "id", "depth").join(by_shuffle(sides), "id").select(
         "group", "id", "depth", F.expr(f"({longest or 0}L - entered + depth) div 2").alias("position"),
         F.expr("(entered - left + 1) div 2").alias("subtree"))
 
@@ -254,7 +254,7 @@ def subtree_sizes(tree: DataFrame, limit: int = LOCAL_ROWS) -> DataFrame:
         names, tour = _toured(keys, tree, large)
         some = _only(tree, keys, large)
         children = some.filter("parent IS NOT NULL").groupBy(*keys, F.col("parent").alias("id")).agg(F.count("*").alias("children"))
-        return names.name(tour.select("id", "subtree"), "id").join(children, [*keys, "id"], "left").select(
+        return names.name(tour.select("id", "subtree"), "id").join(by_shuffle(children), [*keys, "id"], "left").select(
             *keys, F.col("id").cast("string"), "subtree", F.coalesce("children", F.lit(0).cast("long")).alias("children"))
 
     found = bins.solve(rows, weights, _types(keys, tree), limit, local, "id string, subtree bigint, children bigint", far, arrow=True)
@@ -270,7 +270,7 @@ def filter_tree(tree: DataFrame, instances: DataFrame, query: str, limit: int =
     test = (F.lower(F.col("id").cast("string")).contains(needle) | F.lower(label).contains(needle)
             | F.lower("prefab").contains(needle))
     hits = instances.filter(test).select(*keys, "id", F.lit(True).alias("hit")).distinct()
-    marked = cut(tree.join(hits, [*keys, "id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False))))
+    marked = cut(tree.join(by_shuffle(hits), [*keys, "id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False))))
     rows, weights = _records(keys, marked, "depth", "hit")
     reasons = ["match", "descendant", "ancestor"]
 
@@ -284,21 +284,21 @@ def filter_tree(tree: DataFrame, instances: DataFrame, query: str, limit: int =
     def far(large: DataFrame) -> DataFrame:
         names, tour = _toured(keys, tree, large)
         some = names.number(_only(marked, keys, large).filter("hit").select(*keys, "id"), "id").withColumn("hit", F.lit(1))
-        met = cut(tour.join(some, "id", "left").withColumn("hit", F.coalesce("hit", F.lit(0))))
+        met = cut(tour.join(by_shuffle(some), "id", "left").withColumn("hit", F.coalesce("hit", F.lit(0))))
         n = met.count()
         counted = cut(running_sum(met.select("position", "hit"), n, "hit", "upto").select("position", "upto"))
         # a node has hits below it if more are found up to the end of its subtree than up to itself
         last = counted.select(F.col("position").alias("last"), F.col("upto").alias("at_last"))
-        below = met.withColumn("last", F.col("position") + F.col("subtree") - 1).join(last, "last").join(counted, "position")
+        below = met.withColumn("last", F.col("position") + F.col("subtree") - 1).join(by_shuffle(last), "last").join(by_shuffle(counted), "position")
         # a node is below a hit if more of their subtrees began before it than ended
         ends = met.filter("hit = 1 AND subtree > 1").select(F.inline(F.array(
             F.struct((F.col("position") + 1).alias("position"), F.lit(1).alias("open")),
             F.struct((F.col("position") + F.col("subtree")).alias("position"), F.lit(-1).alias("open"))))).groupBy("position").agg(
             F.sum("open").alias("open"))
-        opened = met.select("position").join(ends, "position", "left").select("position", F.coalesce("open", F.lit(0)).alias("open"))
+        opened = met.select("position").join(by_shuffle(ends), "position", "left").select("position", F.coalesce("open", F.lit(0)).alias("open"))
         inside = running_sum(opened, n, "open", "within").select("position", "within")
         reason = F.when(F.col("hit") == 1, reasons[0]).when(F.col("at_last") > F.col("upto"), reasons[1]).when(F.col("within") > 0, reasons[2])
-        found = below.join(inside, "position").select("id", reason.alias("reason")).filter("reason IS NOT NULL")
+        found = below.join(by_shuffle(inside), "position").select("id", reason.alias("reason")).filter("reason IS NOT NULL")
         return names.name(found, "id").select(*keys, F.col("id").cast("string"), "reason")
 
     found = bins.solve(rows, weights, _types(keys, tree), limit, local, "id string, reason string", far, arrow=True)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.plans.loops import cut
+from corpusgraph.plans.loops import by_shuffle, cut
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition above, row in the partition below
 
@@ -49,16 +49,16 @@ class Names:
         """``frame`` without project and with numbers instead of the ids in ``columns``; rows with a null there go."""
         for column in columns:
             known = self.table.select(*self.keys, F.col("id").alias(column), F.col("node").alias("_node"))
-            frame = frame.join(known, [*self.keys, column]).drop(column).withColumnRenamed("_node", column)
+            frame = frame.join(by_shuffle(known), [*self.keys, column]).drop(column).withColumnRenamed("_node", column)
         return frame.drop(*self.keys)
 
     def name(self, frame: DataFrame, first: str, *others: str) -> DataFrame:
         """``frame`` with its project and with ids instead of the numbers in the named columns."""
         known = self.table.select(F.col("node").alias(first), F.col("id").alias("_id"), *self.keys)
-        frame = frame.join(known, first).drop(first).withColumnRenamed("_id", first)
+        frame = frame.join(by_shuffle(known), first).drop(first).withColumnRenamed("_id", first)
         for column in others:
             known = self.table.select(F.col("node").alias(column), F.col("id").alias("_id"))
-            frame = frame.join(known, column).drop(column).withColumnRenamed("_id", column)
+            frame = frame.join(by_shuffle(known), column).drop(column).withColumnRenamed("_id", column)
         return frame
 
 

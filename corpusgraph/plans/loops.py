@@ -22,6 +22,15 @@ def cut(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(place)
 
 
+def by_shuffle(frame: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data: the join sorts both sides by key and never broadcasts this one.
+
+    The planner takes a table's compressed size for its size in memory, so a side of a few MB on disk would pass
+    through the driver as hundreds.
+    """
+    return frame.hint("merge")
+
+
 def cut_counting(frame: DataFrame, **conditions: Column) -> tuple[DataFrame, dict[str, int]]:
     """:func:`cut`, and how many rows it wrote, in all and per condition.
 
@@ -119,7 +128,7 @@ def jump_to_end(parents: DataFrame) -> DataFrame:
         far = done.unionByName(active).select(
             F.col("id").alias("jump"), F.col("jump").alias("far"), F.col("steps").alias("more"),
             F.col("open").alias("far_open"), F.col("low").alias("far_low"))
-        new, counts = cut_counting(active.join(far, "jump", "left").select(
+        new, counts = cut_counting(active.join(by_shuffle(far), "jump", "left").select(
             "id", F.coalesce("far", "jump").alias("jump"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
             F.coalesce("far_open", F.lit(False)).alias("open"), F.least("low", "far_low").alias("low")),
             open=F.col("open"))
@@ -137,7 +146,7 @@ def jump_to_end(parents: DataFrame) -> DataFrame:
     tails = active.select(F.col("jump").alias("id"), F.lit(True).alias("on_cycle")).distinct()
     ended = done.select("id", F.col("jump").alias("root"), "steps", F.lit(False).alias("cyclic"),
                         F.lit(False).alias("on_cycle"), "low")
-    endless = active.join(tails, "id", "left").select(
+    endless = active.join(by_shuffle(tails), "id", "left").select(
         "id", F.col("jump").alias("root"), "steps", F.lit(True).alias("cyclic"),
         F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"), "low")
     return ended.unionByName(endless)

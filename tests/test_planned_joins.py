@@ -4,9 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import hierarchy, validation
+from corpusgraph.operators import hierarchy, ranking, validation
 from corpusgraph.plans import loops
-from corpusgraph.sources import scenes
+from corpusgraph.sources import declared, scenes
 
 
 def _plan(frame):
@@ -20,3 +20,26 @@ def test_duplicate_ids_reads_the_documents_once_and_joins_nothing(spark):
     assert "Join" not in _plan(found)
     text = 'duplicate id "a" — first defined at instances[0]'
     assert sorted(map(tuple, found.collect())) == [(1, "instances[2].id", text), (1, "instances[3].id", text)]
+
+
+def test_loops_never_broadcast_a_side_that_grows(spark, monkeypatch):
+    plans, plain = [], loops.cut_counting
+
+    def watched(frame, **conditions):
+        plans.append(_plan(frame))
+        return plain(frame, **conditions)
+
+    monkeypatch.setattr(loops, "cut_counting", watched)
+    chain = spark.range(300).select("id", F.expr("CASE WHEN id % 100 > 0 THEN id - 1 WHEN id = 200 THEN 299 END").alias("parent"))
+    found = loops.jump_to_end(chain)
+    assert sum("Join" in p for p in plans) >= 5 and not any("Broadcast" in p for p in [*plans, _plan(found)])
+    ended = {r.id: (r.root, r.steps) for r in found.filter("NOT cyclic").collect()}
+    assert ended == {k: (k // 100 * 100, k % 100) for k in range(200)}
+    assert found.filter("on_cycle").count() == 100
+
+
+def test_hierarchy_jobs_of_large_projects_send_no_table_to_the_driver(spark):
+    tree = spark.createDataFrame([(k, None if k == 0 else k // 3, f"n{k}", "p", 0) for k in range(40)], "id long, parent long, name string, prefab string, ord long")
+    built = hierarchy.build_tree(tree.drop("ord"), limit=1)
+    plan = _plan(hierarchy.subtree_sizes(built, limit=1))
+    assert "Join" in plan and "BroadcastHashJoin" not in plan
