@@ -13,6 +13,7 @@ from corpusgraph.functions.exprs import joined
 from corpusgraph.operators import extraction as X
 from corpusgraph.operators import resolve as R
 from corpusgraph.operators import spans
+from corpusgraph.plans.loops import by_shuffle
 from corpusgraph.sources import declared
 
 
@@ -280,7 +281,7 @@ def resolved_slots(t):
     found = declared.registry_slots(declared.companion_slots(assets, _companion_files(t)), _registry(t))
     hints = R.slot_hints(t("F_assets").select("path", F.col("hint").alias("content"))).select(
         F.col("asset").alias("path"), "hint").dropDuplicates(["path"])
-    return R.resolve_slots(found.join(hints, "path", "left"))
+    return R.resolve_slots(found.join(by_shuffle(hints), "path", "left"))
 
 
 SLOTS_SQL = """SELECT asset_id, path, size_kb, source,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import sections
 from corpusgraph.functions import slots as S
+from corpusgraph.plans.loops import by_shuffle
 
 
 def companion_slots(assets: DataFrame, files: DataFrame) -> DataFrame:
@@ -15,9 +16,9 @@ def companion_slots(assets: DataFrame, files: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("rank"), F.regexp_replace("path", r"\.[^/.]+$", ".slot.json").alias("key")),
     )
     tried = assets.select("path", F.inline(keys))
-    found = tried.join(usable.select(F.col("path").alias("key"), "content"), "key")
+    found = tried.join(by_shuffle(usable.select(F.col("path").alias("key"), "content")), "key")
     best = found.groupBy("path").agg(F.min_by("content", "rank").alias("companion"))
-    return assets.join(best, "path", "left")
+    return assets.join(by_shuffle(best), "path", "left")
 
 
 def registry_slots(assets: DataFrame, entries: DataFrame) -> DataFrame:
@@ -32,11 +33,11 @@ def registry_slots(assets: DataFrame, entries: DataFrame) -> DataFrame:
         F.struct(F.lit(2).alias("rank"), F.substring_index(path, "/", -1).alias("key")),
     )
     tried = assets.select("path", F.inline(keys)).groupBy("path", "key").agg(F.min("rank").alias("rank"))
-    found = tried.join(entries, "key")
+    found = tried.join(by_shuffle(entries), "key")
     first_key = found.groupBy("path", "registry_rank").agg(F.min_by("value", "rank").alias("value"))
     usable = first_key.filter(S.is_json_object(F.col("value")))
     best = usable.groupBy("path").agg(F.min_by("value", "registry_rank").alias("registry"))
-    return assets.join(best, "path", "left")
+    return assets.join(by_shuffle(best), "path", "left")
 
 
 def package_names(text: Column, part: str) -> Column:

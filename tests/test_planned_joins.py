@@ -43,3 +43,11 @@ def test_hierarchy_jobs_of_large_projects_send_no_table_to_the_driver(spark):
     built = hierarchy.build_tree(tree.drop("ord"), limit=1)
     plan = _plan(hierarchy.subtree_sizes(built, limit=1))
     assert "Join" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_declared_slots_join_by_key(spark):
+    assets = spark.createDataFrame([("models/a.glb",), ("models/b.glb",)], "path string")
+    entries = spark.createDataFrame([(0, "models/a.glb", '{"slot":"x"}')], "registry_rank int, key string, value string")
+    found = declared.registry_slots(assets, entries)
+    assert "Broadcast" not in _plan(found)
+    assert sorted(map(tuple, found.collect())) == [("models/a.glb", '{"slot":"x"}'), ("models/b.glb", None)]
