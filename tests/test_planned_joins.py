@@ -51,3 +51,16 @@ def test_declared_slots_join_by_key(spark):
     found = declared.registry_slots(assets, entries)
     assert "Broadcast" not in _plan(found)
     assert sorted(map(tuple, found.collect())) == [("models/a.glb", '{"slot":"x"}'), ("models/b.glb", None)]
+
+
+def test_words_meet_paths_directly_in_small_projects_and_by_pieces_in_large_ones(spark):
+    files = spark.createDataFrame([(p, f"src/{d}/{k}.js") for p in (1, 2) for d in ("low", "High") for k in range(12)] + [(None, "src/a.js"), (1, None)],
+                                  "project long, path string")
+    words = spark.createDataFrame([(p, w) for p in (1, 2, 3) for w in ("high", "1.js", "src", "none")] + [(1, "low"), (None, "src")],
+                                  "project long, word string")
+    rows = lambda pairs: sorted(map(tuple, ranking.paths_with(words, files, pairs=pairs).collect()))
+    want = sorted((p, w, f) for p, f in map(tuple, files.dropna().collect()) for q, w in map(tuple, words.dropna().collect())
+                  if p == q and w in f.lower())
+    for pairs in (0, 110, 10**6):
+        assert rows(pairs) == want
+    assert "Generate" not in _plan(ranking.paths_with(words, files))
