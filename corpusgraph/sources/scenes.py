@@ -23,15 +23,17 @@ def read_status(docs: DataFrame) -> DataFrame:
 def instances(docs: DataFrame) -> DataFrame:
     """``(scene, pos, id, prefab, name, parent, params)`` with the array position."""
     value = F.try_parse_json("doc")
-    rows = docs.select("scene", F.posexplode(D.items(value, "instances")).alias("pos", "i"))
-    one = F.col("i")
-    return rows.select("scene", "pos", *[D.text(one, n).alias(n) for n in ("id", "prefab", "name", "parent")],
-                       F.to_json(D.field(one, "params")).alias("params"))
+    names = ["id", "prefab", "name", "parent"]
+    rows = docs.select("scene", F.posexplode(D.items(value, "instances")).alias("pos", "i")).select(
+        "scene", "pos", D.fields(F.col("i"), [*names, "params"]).alias("f"))
+    return rows.select("scene", "pos", *[D.plain(F.col("f")[n]).alias(n) for n in names], F.to_json(F.col("f")["params"]).alias("params"))
 
 
 def lights(docs: DataFrame) -> DataFrame:
-    rows = docs.select("scene", F.posexplode(D.items(F.try_parse_json("doc"), "lights")).alias("pos", "i"))
-    return rows.select("scene", "pos", *[D.text(F.col("i"), n).alias(n) for n in ("id", "kind", "color")])
+    names = ["id", "kind", "color"]
+    rows = docs.select("scene", F.posexplode(D.items(F.try_parse_json("doc"), "lights")).alias("pos", "i")).select(
+        "scene", "pos", D.fields(F.col("i"), names).alias("f"))
+    return rows.select("scene", "pos", *[D.plain(F.col("f")[n]).alias(n) for n in names])
 
 
 def write_documents(docs: DataFrame, place: str) -> None:

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from corpusgraph.functions import documents
 from corpusgraph.operators import hierarchy, ranking, validation
 from corpusgraph.plans import loops
 from corpusgraph.sources import declared, scenes
@@ -64,3 +65,15 @@ def test_words_meet_paths_directly_in_small_projects_and_by_pieces_in_large_ones
     for pairs in (0, 110, 10**6):
         assert rows(pairs) == want
     assert "Generate" not in _plan(ranking.paths_with(words, files))
+
+
+def test_shape_rules_read_the_fields_of_an_object_in_one_pass(spark):
+    docs = ['{"version":1,"name":"L","engine":"three","seed":1,"instances":[7,{"id":"a","prefab":"p","transform":[1]}],"lights":null,"camera":{}}',
+            '{"version":"1","instances":{},"camera":5,"typo":{}}', "{bad"]
+    found = spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "k int, doc string").select("k", documents.shape_problems(F.col("doc")).alias("p"))
+    assert _plan(found).count("variant_get(") < 100
+    rows = {r.k: None if r.p is None else [p.path for p in r.p] for r in found.collect()}
+    assert rows[0] == ["lights", "instances[0].id", "instances[0].prefab", "instances[0].transform", "instances[1].transform",
+                       "camera.kind", "camera.position", "camera.rotation"]
+    assert rows[1] == ["version", "name", "engine", "seed", "instances", "(root)", "camera"]
+    assert rows[2] is None
