@@ -2,7 +2,8 @@
 
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,9 +99,20 @@ def _walk(before: list, after: list) -> list[tuple]:
     return ops
 
 
-def _operations(before: pd.Series, after: pd.Series) -> pd.Series:
-    names = ("type", "line", "before_line", "after_line")
-    return pd.Series([[dict(zip(names, op)) for op in _walk(list(x), list(y))] for x, y in zip(before, after)])
+#: Pairs of texts whose lines are Python objects at once.
+SLICE = 64
+_ARROW = pa.struct([("type", pa.string()), ("line", pa.string()), ("before_line", pa.int32()), ("after_line", pa.int32())])
+
+
+def _operations(before: pa.Array, after: pa.Array) -> pa.Array:
+    """The walks of a batch, made a slice at a time, so that a worker holds the batch and its answer as Arrow and few lines more."""
+    done = [pa.array([], pa.list_(_ARROW))]
+    for low in range(0, len(before), SLICE):
+        walks = [_walk(x, y) for x, y in zip(before.slice(low, SLICE).to_pylist(), after.slice(low, SLICE).to_pylist())]
+        columns = [pa.array([op[k] for ops in walks for op in ops], field.type) for k, field in enumerate(_ARROW)]
+        ends = np.cumsum([0, *map(len, walks)]).astype(np.int32)
+        done.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, fields=list(_ARROW))))
+    return pa.concat_arrays(done)
 
 
 def diff_operations(before: Column, after: Column):
@@ -110,7 +122,7 @@ def diff_operations(before: Column, after: Column):
     exact. A common tail may pair differently and is left to the table.
     """
     # Marked so that the planner runs it once and does not copy it into filters.
-    walk = F.pandas_udf(_operations, f"array<{_OP}>").asNondeterministic()
+    walk = F.arrow_udf(_operations, f"array<{_OP}>").asNondeterministic()
     lines = F.struct(T.diff_lines(before).alias("b"), T.diff_lines(after).alias("a"))
 
     def cut(l: Column) -> Column:
