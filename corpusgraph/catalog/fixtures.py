@@ -275,6 +275,14 @@ FOR_SPARK = {
                     FROM $orders) r) o""",
 }
 
+# a path is its area and its number, so assets are told apart before texts are made of them
+FOR_SPARK["F_deps"] = FIXTURES["F_deps"].replace("""
+          SELECT DISTINCT s.project, s.path, 'models/' || CAST(l.l_partkey AS STRING) || '.glb', 'asset_ref'
+          FROM $lineitem l JOIN $F_sources s ON l.l_orderkey = s.order_no""", """
+          SELECT project, 'src/' || area || '/' || CAST(file_no AS STRING) || '.js', 'models/' || CAST(part AS STRING) || '.glb', 'asset_ref'
+          FROM (SELECT DISTINCT s.project, s.area, CASE WHEN s.area IS NOT NULL THEN s.file_no END AS file_no, l.l_partkey AS part
+                FROM $lineitem l JOIN $F_sources s ON l.l_orderkey = s.order_no WHERE l.l_partkey IS NOT NULL) a""")
+
 _NAME = re.compile(r"\$(\w+)")
 
 

@@ -10,8 +10,11 @@ Jobs that walk the graph solve whole projects in a task where these are small (`
 ``limit`` arguments say how small) and loop over the cluster on long numbers for the others.
 """
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,8 +136,8 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, focus: DataFrame, depth: i
     weights = rows.groupBy("project").agg(F.count("*").alias("m")).join(ends, "project", "left").select(
         "project", (F.col("m") + F.coalesce("n", F.lit(0))).alias("weight"))
 
-    def local(frame: pd.DataFrame) -> pd.DataFrame:
-        b = Bin(frame)
+    def local(table: pa.Table) -> pa.Table:
+        b = Bin(table.to_pandas())
         real = b.is_node()
         use = real[b.src] & real[b.dst] & (b.src != b.dst)
         one, two = b.src[use], b.dst[use]
@@ -150,7 +153,10 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, focus: DataFrame, depth: i
             seen = np.union1d(seen, frontier)
             pairs.append((frontier // b.n, frontier % b.n, np.full(len(frontier), hop, np.int32)))
         first, other, distance = (np.concatenate(x) for x in zip(*pairs))
-        return _frame(b, first, focus=b.id[first], id=b.id[other], distance=distance)
+        # pairs are many times the nodes: texts are taken by number and never made one by one
+        ids, first = pa.array(b.id, pa.string()), pa.array(first)
+        return pa.table([pa.array(b.project, pa.string()).take(first), ids.take(first), ids.take(pa.array(other)), pa.array(distance)],
+                        ["project", "focus", "id", "distance"])
 
     def far(large: DataFrame) -> DataFrame:
         real, links, start = (_only(x, keys, large) for x in (nodes.select(*keys, "id"), edges.select(*keys, "src", "dst"), focus.select(*keys, "id")))
@@ -158,7 +164,7 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, focus: DataFrame, depth: i
         near = _near(names.number(real, "id").distinct(), names.number(links, "src", "dst"), names.number(start, "id").distinct(), depth)
         return names.name(near, "focus", "id").select(*keys, F.col("focus").cast("string"), F.col("id").cast("string"), "distance")
 
-    found = bins.solve(rows, weights, _types(keys, nodes), limit, local, "focus string, id string, distance int", far)
+    found = bins.solve(rows, weights, _types(keys, nodes), limit, local, "focus string, id string, distance int", far, arrow=True)
     return found.select(*keys, F.col("focus").cast(kind).alias("focus"), F.col("id").cast(kind).alias("id"), "distance")
 
 
@@ -510,19 +516,43 @@ def row_fingerprints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Order-independent digest of a whole graph in one row.
 
-    Row digests are summed in eight 32-bit lanes, so partial sums combine on the map
-    side and no task holds the graph.
+    Row digests are summed in eight 32-bit lanes, so a task gives one row and none holds the graph.
     """
-    rows = row_fingerprints(nodes, edges)
-    lanes = [F.sum(F.conv(F.substring("digest", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(8)]
-    return rows.agg(F.count("*").alias("rows"), *lanes).select(
-        "rows", F.sha2(F.concat_ws("|", *[F.col(f"s{i}").cast("string") for i in range(8)]), 256).alias("digest"))
+    lanes = [f"s{i}" for i in range(8)]
+    parts = row_fingerprints(nodes, edges).select(F.unhex("digest").alias("digest")).mapInArrow(
+        _lane_sums, ", ".join(["rows bigint", *[f"{x} decimal(38,0)" for x in lanes]]))
+    total = parts.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("rows"), *[F.sum(x).alias(x) for x in lanes])
+    return total.select("rows", F.sha2(F.concat_ws("|", *[F.col(x).cast("string") for x in lanes]), 256).alias("digest"))
+
+
+def _lane_sums(batches):
+    """One row per task: its digests, and the sums of their eight 32-bit numbers."""
+    rows, sums = 0, [0] * 8
+    for batch in batches:
+        digests = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u4").reshape(-1, 8)
+        rows, sums = rows + len(digests), [a + int(b) for a, b in zip(sums, digests.sum(axis=0, dtype=np.uint64))]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), *[pa.array([Decimal(x)], pa.decimal128(38, 0)) for x in sums]],
+                                         ["rows", *[f"s{i}" for i in range(8)]])
+
+
+def tally(rows: DataFrame) -> DataFrame:
+    """``(digest, n)``: how often each digest is there, as bytes."""
+    return rows.groupBy(F.unhex("digest").alias("digest")).agg(F.count("*").alias("n"))
+
+
+def in_both(left: DataFrame, right: DataFrame) -> DataFrame:
+    """:func:`tally` of what two extractions share."""
+    sides = tally(left).withColumn("right", F.lit(0)).unionByName(tally(right).withColumn("right", F.lit(1)))
+    counted = sides.groupBy("digest").agg(F.count("*").alias("sides"), F.min("n").alias("n"))
+    return counted.filter("sides = 2").select("digest", "n")
 
 
 def same_graph(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Row digests that only one of two extractions has."""
-    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(
-        right.exceptAll(left).withColumn("side", F.lit("right")))
+    """``(digest, side, n)`` of row digests that only one of two extractions has, or has ``n`` times more; both given as :func:`tally`."""
+    both = left.select("digest", "n").unionByName(right.select("digest", (-F.col("n")).alias("n")))
+    net = both.groupBy("digest").agg(F.sum("n").alias("n")).filter("n <> 0")
+    return net.select(F.lower(F.hex("digest")).alias("digest"), F.when(F.col("n") > 0, "left").otherwise("right").alias("side"), F.abs("n").alias("n"))
 
 
 def _counted(keys: list[str], metric: str, frame: DataFrame, key: str | None = None) -> DataFrame:

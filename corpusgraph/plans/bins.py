@@ -5,10 +5,12 @@ graphs in memory with arrays. Projects above the limit go through loops over the
 Both give the same rows.
 """
 
+import json
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,24 @@ def records(keys: list[str], kind: int, frame: DataFrame, a: str, b: str | None
     return rows.filter("a IS NOT NULL AND b IS NOT NULL" if kind == LINK else "a IS NOT NULL").distinct()
 
 
+#: Types of project columns that JSON holds as they are.
+_PLAIN = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def _keyed(local: Callable, keys: dict[str, str]) -> Callable:
+    """``local`` with the project's columns in place of its text, which is parsed once per project and not once per row."""
+    def run(table: pa.Table) -> pa.Table:
+        solved = local(table)
+        text = solved.column("project").combine_chunks()
+        text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
+        text = text.dictionary_encode()
+        parsed = [json.loads(x) if x else {} for x in text.dictionary.to_pylist()]
+        columns = [pa.array([p.get(k) for p in parsed], _PLAIN[kind]).take(text.indices) for k, kind in keys.items()]
+        rest = [n for n in solved.column_names if n != "project"]
+        return pa.table([*columns, *[solved.column(n) for n in rest]], [*keys, *rest])
+    return run
+
+
 def solve(rows: DataFrame, weights: DataFrame, keys: dict[str, str], limit: int, local: Callable, schema: str,
           far: Callable[[DataFrame], DataFrame], arrow: bool = False) -> DataFrame:
     """``local`` over the small projects' records, ``far`` for the others.
@@ -44,9 +64,11 @@ def solve(rows: DataFrame, weights: DataFrame, keys: dict[str, str], limit: int,
     if counts["rows"] > counts["large"] or not counts["rows"]:
         small = rows.join(large, "project", "left_anti") if counts["large"] else rows
         dealt = small.withColumn("bin", F.pmod(F.xxhash64("project"), F.lit(bins))).groupBy("bin")
+        plain = arrow and all(kind in _PLAIN for kind in keys.values())
         apply = dealt.applyInArrow if arrow else dealt.applyInPandas
-        solved = apply(lambda table: local(table), f"project string, {schema}")
-        named = [F.from_json("project", ", ".join(f"`{k}` {kind}" for k, kind in keys.items()))[k].alias(k) for k in keys]
+        solved = apply(_keyed(local, keys) if plain else lambda table: local(table), ", ".join(
+            [f"`{k}` {kind}" for k, kind in keys.items()] + [schema]) if plain else f"project string, {schema}")
+        named = list(keys) if plain else [F.from_json("project", ", ".join(f"`{k}` {kind}" for k, kind in keys.items()))[k].alias(k) for k in keys]
         result = solved.select(*named, *[c.split()[0] for c in schema.split(", ")])
     if counts["large"]:
         others = far(large)
