@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -53,6 +54,51 @@ def test_bpe_blocks_do_not_matter(spark, monkeypatch):
     assert small == sorted(map(str, bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN, digest=True).collect()))
 
 
+def test_bpe_folds_a_word_of_many_blocks_once(spark, monkeypatch):
+    """Words of all blocks meet in shares: each is folded in one, and every block gets its ids from all of them."""
+    texts = [None, "", "alpha gammaray", "gammaray alpha  epsilonic", "", "x" * 500, "日本語 gammaray", None] * 3
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+    monkeypatch.setattr(bpe, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(bpe, "SPLIT_ROWS", 2)
+    monkeypatch.setattr(bpe, "SHARE_WORDS", 4)
+    got = {x["id"]: x for x in bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN).collect()}
+    ranks = bpe.read_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert sorted(got) == list(range(len(texts)))
+    for k, text in enumerate(texts):
+        assert np.frombuffer(got[k]["ids"], "<u4").tolist() == library.encode_ordinary(text or "")
+        assert bytes(got[k]["decoded"]) == (text or "").encode()
+
+
+def test_bpe_of_texts_without_words(spark):
+    """Blocks to which no share hands anything still give their documents."""
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, None)], "doc_id long, text string")
+    got = bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted(map(str, (x["id"] for x in got))) == ["1", "2", "None"]
+    assert all(x["n_tokens"] == 0 and bytes(x["ids"]) == bytes(x["decoded"]) == b"" for x in got)
+
+
+def test_bpe_share_lists_each_word_once():
+    """Blocks that hold the same words give one list to fold."""
+    words = [b"gammaray", b" alpha", "日本".encode()]
+    sizes = np.array([len(w) for w in words], "<u4")
+    table = pa.table({"share": [0, 0], "block": [7, 9], "raw": [bpe._pack(np.frombuffer(b"".join(words), np.uint8)),
+                      bpe._pack(np.frombuffer(b"".join(words[::-1]), np.uint8))], "sizes": [sizes.tobytes(), sizes[::-1].tobytes()]})
+    row = bpe._distinct(RANKS)(table).to_pylist()[0]
+    ranks = bpe.read_ranks(RANKS)
+    assert row["words"] == [[ranks[w]] if w in ranks else [ranks[bytes([b])] for b in w] for w in words]
+    assert row["blocks"] == [7, 9] and [np.frombuffer(x, "<i4").tolist() for x in row["numbers"]] == [[0, 1, 2], [2, 1, 0]]
+
+
+def test_bpe_splits_a_block_some_rows_at_a_time(spark):
+    """A block leaves its worker a few documents a row, so that no row grows with the block."""
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(600)], "id long, text string").coalesce(1)
+    rows = docs.mapInArrow(bpe._blocks(public_tokenizers.PATTERN), (
+        "block bigint, n_words bigint, raw binary, sizes binary, ids array<bigint>, numbers binary, lengths binary")).collect()
+    assert [len(x["ids"]) for x in rows] == [256, 256, 88, 0]
+    assert [x["raw"] is not None for x in rows] == [False, False, False, True]
+
+
 def test_token_file_round_trip(spark, weird, tmp_path, monkeypatch):
     monkeypatch.setattr(tokenfile, "BLOCK_IDS", 300)
     path = str(tmp_path / "tokens")
