@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from corpusgraph.llm import wordhash
 from corpusgraph.llm.chunks import WordTable, gather, ranges
-from corpusgraph.llm.tasks import lean
-from corpusgraph.plans.loops import cut_dealt
+from corpusgraph.llm.tasks import giving_back, lean
+from corpusgraph.plans.loops import cut, cut_dealt
 
 #: Rows, and characters of text, whose distinct words are listed together, and rows split at once.
 BLOCK_ROWS = 8192
@@ -216,7 +216,7 @@ def _distinct(path: str):
 
     A word that has a rank itself is listed as that one rank.
     """
-    def run(table: pa.Table) -> pa.Table:
+    def listed_once(table: pa.Table) -> pa.Table:
         ranks = read_ranks(path)
         single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         sizes = [_numbers(x, "<u4") for x in table.column("sizes")]
@@ -235,8 +235,12 @@ def _distinct(path: str):
             pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.ListArray.from_arrays(
                 pa.array(_offsets(np.where(has, 1, length)), pa.int32()), pa.array(letters[listed]))),
             pa.array([table.column("block").to_pylist()], pa.list_(pa.int64())),
-            pa.array([[numbers[a:b].tobytes() for a, b in zip(place, place[1:])]], pa.list_(pa.binary()))],
+            pa.array([[_planes(numbers[a:b]) for a, b in zip(place, place[1:])]], pa.list_(pa.binary()))],
             ["share", "words", "blocks", "numbers"])
+
+    def run(table: pa.Table) -> pa.Table:
+        with giving_back():
+            return listed_once(table)
     return run
 
 
@@ -252,7 +256,7 @@ def _hand_back(kind: str):
                 flat = np.array(coded.flatten(), np.int64).astype(kind)
                 share = batch.column("share")[row].as_py()
                 for block, numbers in zip(batch.column("blocks")[row].values, batch.column("numbers")[row].values):
-                    own = _numbers(numbers, "<i4")
+                    own = _from_planes(numbers)
                     yield pa.RecordBatch.from_arrays([
                         pa.array([block.as_py()], pa.int64()), pa.array([share], pa.int64()),
                         pa.array([np.diff(starts)[own].astype("<u4").tobytes()], pa.binary()),
@@ -276,7 +280,7 @@ def decode(ids: np.ndarray, path: str) -> bytes:
 
 def _assemble(path: str, shares: int, kind: str, digest_ids: bool, digest_decoded: bool):
     """A block and the ids of its words back to documents."""
-    def run(block: pa.Table, handed: pa.Table) -> pa.Table:
+    def documents(block: pa.Table, handed: pa.Table) -> pa.Table:
         handed = handed.sort_by("share")
         dealt = [_numbers(x, "<u4").astype(np.int64) for x in handed.column("counts")]
         flat = np.concatenate([np.zeros(0, kind), *(_unpack(x, kind, n.sum()) for x, n in zip(handed.column("coded"), dealt))])
@@ -298,6 +302,10 @@ def _assemble(path: str, shares: int, kind: str, digest_ids: bool, digest_decode
                          for values, hashed in ((raw, digest_ids), (back, digest_decoded)))
             tables.append(pa.table([ids.values, pa.array([len(x) for x in own], pa.int64()), raw, back], ["id", "n_tokens", "ids", "decoded"]))
         return pa.concat_tables(tables)
+
+    def run(block: pa.Table, handed: pa.Table) -> pa.Table:
+        with giving_back():
+            return documents(block, handed)
     return run
 
 
@@ -312,7 +320,8 @@ def _coded_words(blocks: DataFrame, shares: int, path: str, kind: str) -> DataFr
     coded = distinct.select("share", "blocks", "numbers", F.get(F.transform(
         F.array(F.struct(shift.alias("shift"), cells.alias("cells"))), lambda table: F.transform(
             "words", lambda w: fold_word(w, table["shift"], table["cells"], border))), F.lit(0)).alias("coded"))
-    return coded.mapInArrow(_hand_back(kind), "block bigint, share bigint, counts binary, coded binary")
+    # written, so that a core has one Python worker at a time: first those that list, then those that hand back
+    return cut(coded).mapInArrow(_hand_back(kind), "block bigint, share bigint, counts binary, coded binary")
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text",

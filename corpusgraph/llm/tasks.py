@@ -1,6 +1,7 @@
 """What functions over Arrow batches share."""
 
 import ctypes
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -26,3 +27,12 @@ def lean(function):
         finally:
             _give_back()
     return run
+
+
+@contextmanager
+def giving_back():
+    """:func:`lean` for a block of code: free memory goes back at its end."""
+    try:
+        yield
+    finally:
+        _give_back()
