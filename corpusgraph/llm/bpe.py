@@ -42,7 +42,7 @@ def merge_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     """The rank map of neighbouring pieces as two arrays of fixed size.
 
     ``cells[shift[a] + b] = a * 2**BITS + rank`` if pieces a and b (by rank) join to a piece of that
-    rank; other cells hold another a or 2**60. Rows are laid over one another, longest first, each
+    rank; other cells hold another a or ``NONE``. Rows are laid over one another, longest first, each
     at a seeded random shift at which its cells are free. One piece more than there are, the last
     of ``shift``, joins with none.
     """
@@ -54,7 +54,7 @@ def merge_table(path: str) -> tuple[np.ndarray, np.ndarray]:
             if a is not None and b is not None:
                 rows.setdefault(a, []).append((b, rank))
     size = max(ranks.values()) + 1
-    span = 3 * sum(map(len, rows.values()))
+    span = 2 * sum(map(len, rows.values()))
     shift, cells = np.zeros(size + 1, np.int64), np.full(span + size + 1, -1, np.int64)
     random = np.random.Generator(np.random.PCG64(11))
     for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
@@ -65,7 +65,7 @@ def merge_table(path: str) -> tuple[np.ndarray, np.ndarray]:
             free = tried[(cells[tried[:, None] + b] < 0).all(axis=1)]
         shift[a] = free[0]
         cells[free[0] + b] = a * 2**BITS + rank
-    return shift, np.where(cells < 0, 2**60, cells)
+    return shift, np.where(cells < 0, NONE, cells)  # short in plans, which the driver keeps as text
 
 
 def rank_literal(path: str) -> tuple[Column, Column]:
