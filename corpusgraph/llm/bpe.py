@@ -43,8 +43,8 @@ def merge_table(path: str) -> tuple[np.ndarray, np.ndarray]:
 
     ``cells[shift[a] + b] = a * 2**BITS + rank`` if pieces a and b (by rank) join to a piece of that
     rank; other cells hold another a or ``NONE``. Rows are laid over one another, longest first, each
-    at a seeded random shift at which its cells are free. One piece more than there are, the last
-    of ``shift``, joins with none.
+    at a shift at which its cells are free; where there is none the table grows. One piece more than
+    there are, the last of ``shift``, joins with none.
     """
     ranks = read_ranks(path)
     rows: dict[int, list[tuple[int, int]]] = {}
@@ -54,18 +54,27 @@ def merge_table(path: str) -> tuple[np.ndarray, np.ndarray]:
             if a is not None and b is not None:
                 rows.setdefault(a, []).append((b, rank))
     size = max(ranks.values()) + 1
-    span = 2 * sum(map(len, rows.values()))
-    shift, cells = np.zeros(size + 1, np.int64), np.full(span + size + 1, -1, np.int64)
+    shift, cells = np.zeros(size + 1, np.int64), np.full(3 * sum(map(len, rows.values())) + size + 1, NONE, np.int64)
+    free = np.ones(len(cells), bool)
     random = np.random.Generator(np.random.PCG64(11))
     for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
         b, rank = (np.array(x, np.int64) for x in zip(*sorted(row)))
-        free = np.zeros(0, np.int64)
-        while not len(free):
-            tried = random.integers(0, span, 32)
-            free = tried[(cells[tried[:, None] + b] < 0).all(axis=1)]
-        shift[a] = free[0]
-        cells[free[0] + b] = a * 2**BITS + rank
-    return shift, np.where(cells < 0, NONE, cells)  # short in plans, which the driver keeps as text
+        while (at := _free_shift(free, b, len(free) - size, random)) is None:
+            cells, free = np.append(cells, np.full(size, NONE)), np.append(free, np.ones(size, bool))
+        shift[a] = at
+        cells[at + b], free[at + b] = a * 2**BITS + rank, False
+    return shift, cells  # free cells are short in plans, which the driver keeps as text
+
+
+def _free_shift(free: np.ndarray, keys: np.ndarray, shifts: int, random: np.random.Generator) -> int | None:
+    """A shift below ``shifts`` at which all ``keys`` meet free cells: one of some random ones, else the least of all."""
+    for n in (32, 1024, 32_768, shifts):
+        tried = np.arange(shifts) if n >= shifts else random.integers(0, shifts, n)
+        for key in keys:
+            tried = tried[free[tried + key]]
+        if len(tried):
+            return int(tried[0])
+    return None
 
 
 def rank_literal(path: str) -> tuple[Column, Column]:

@@ -78,6 +78,34 @@ def test_bpe_of_texts_without_words(spark):
     assert all(x["n_tokens"] == 0 and bytes(x["ids"]) == bytes(x["decoded"]) == b"" for x in got)
 
 
+def test_bpe_rank_map_holds_every_pair_and_always_ends():
+    """A shift is found wherever one is free, however rare; where none is, the table grows."""
+    ranks = bpe.read_ranks(RANKS)
+    shift, cells = bpe.merge_table(RANKS)
+    pairs = [(ranks[w[:k]], ranks[w[k:]], n) for w, n in ranks.items() for k in range(1, len(w)) if w[:k] in ranks and w[k:] in ranks]
+    a, b, rank = (np.array(x) for x in zip(*pairs))
+    assert (cells[shift[a] + b] == a * 2**bpe.BITS + rank).all()
+    assert (cells != bpe.NONE).sum() == len(pairs) and len(cells) >= shift.max() + len(ranks) + 1
+    rare = np.zeros(200_000, bool)
+    rare[[150_007, 150_010]] = True
+    draws = np.random.Generator(np.random.PCG64(1))
+    assert bpe._free_shift(rare, np.array([7, 10]), 199_000, draws) == 150_000
+    assert bpe._free_shift(rare, np.array([7, 11]), 199_000, draws) is None
+
+
+def test_bpe_rank_map_grows_past_its_first_size(monkeypatch, tmp_path):
+    pieces = [bytes([x]) for x in range(256)] + [b"ab", b"abc", b"bc", b"ac"]
+    ranks = tmp_path / "few.tiktoken"
+    ranks.write_bytes(b"".join(base64.b64encode(x) + b" %d\n" % k for k, x in enumerate(pieces)))
+    found, asked = bpe._free_shift, []
+    monkeypatch.setattr(bpe, "_free_shift", lambda free, *rest: asked.append(len(free)) or (None if len(asked) == 2 else found(free, *rest)))
+    shift, cells = bpe.merge_table(str(ranks))
+    assert asked[2] == asked[0] + len(pieces) == len(cells)
+    ab, bc, rank = 256, 258, {(97, 98): 256, (97, 258): 257, (256, 99): 257, (98, 99): 258, (97, 99): 259}
+    assert all(cells[shift[x] + y] == x * 2**bpe.BITS + n for (x, y), n in rank.items()) and (cells != bpe.NONE).sum() == len(rank)
+    assert cells[shift[ab] + bc] >> bpe.BITS != ab
+
+
 def test_bpe_share_lists_each_word_once():
     """Blocks that hold the same words give one list to fold."""
     words = [b"gammaray", b" alpha", "日本".encode()]
