@@ -14,9 +14,12 @@ SLOTS = 64
 BANDS = 16
 #: Standard errors below the threshold at which an estimate still sends a pair to the exact check.
 SLACK = 4.5
-#: Hashes in one block of a family, and in one slice of its matrix product.
+#: Bytes of text whose sets are made and signed at once.
+CHUNK_BYTES = 1 << 19
+#: Hashes and sets in one block of a family, and rows and hashes in one slice of its matrix product.
 FAMILY_SHINGLES = 400_000
-FAMILY_COLUMNS = 4096
+FAMILY_SETS = 2_000
+FAMILY_ROWS, FAMILY_COLUMNS = 512, 1024
 _LEVEL = np.uint64(56)
 _NONE = np.uint64(2**64 - 1)
 
@@ -81,7 +84,7 @@ def _signer(words: int, slots: int, bands: int):
     @lean
     def sign(batches):
         for batch in batches:
-            for at, to, raw, ends in wordhash.chunks(batch.column("text")):
+            for at, to, raw, ends in wordhash.chunks(batch.column("text"), CHUNK_BYTES):
                 value, offsets = _shingle_sets(raw, ends, words)
                 best = superminhash(value, offsets, slots)
                 rows = best.reshape(to - at, bands, slots // bands)
@@ -104,7 +107,7 @@ def _set_maker(words: int):
     @lean
     def make(batches):
         for batch in batches:
-            for at, to, raw, ends in wordhash.chunks(batch.column("text")):
+            for at, to, raw, ends in wordhash.chunks(batch.column("text"), CHUNK_BYTES):
                 value, offsets = _shingle_sets(raw, ends, words)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("digest").slice(at, to - at),
@@ -143,7 +146,7 @@ def _family_verifier(numerator: int, denominator: int):
     """Links that join the components of one family of sets, at most one per member.
 
     Intersections of all pairs come from products of 0/1 matrices over slices of the
-    hashes that at least two members hold.
+    sets and of the hashes that at least two members hold, so memory does not grow with their square.
     """
     def join(table):
         digests, parts = table.column("digest").to_pylist(), table.column("component").to_pylist()
@@ -156,18 +159,21 @@ def _family_verifier(numerator: int, denominator: int):
         codes, owner = number[codes[common]], owner[common]
         order = np.argsort(codes, kind="stable")
         codes, owner = codes[order], owner[order]
-        shared = np.zeros((len(sets), len(sets)), np.float32)
-        for low in range(0, int(codes[-1]) + 1 if len(codes) else 0, FAMILY_COLUMNS):
-            i, j = np.searchsorted(codes, [low, low + FAMILY_COLUMNS])
-            held = np.zeros((len(sets), min(FAMILY_COLUMNS, int(codes[-1]) + 1 - low)), np.float32)
-            held[owner[i:j], codes[i:j] - low] = 1
-            shared += held @ held.T
-        shared = shared.astype(np.int64)
-        linked = denominator * shared >= numerator * (sizes[:, None] + sizes[None, :] - shared)
+        slices = [(low, *np.searchsorted(codes, [low, low + FAMILY_COLUMNS])) for low in range(0, int(codes[-1]) + 1 if len(codes) else 0, FAMILY_COLUMNS)]
         groups, found = UnionFind(), []
-        for x, y in np.argwhere(np.triu(linked, 1)):
-            if groups.union(parts[x], parts[y]):
-                found.append((digests[x], digests[y]))
+        for first in range(0, len(sets), FAMILY_ROWS):
+            rows = np.arange(first, min(first + FAMILY_ROWS, len(sets)))
+            shared = np.zeros((len(rows), len(sets) - first), np.float32)
+            for low, i, j in slices:
+                held = np.zeros((len(sets) - first, FAMILY_COLUMNS), np.float32)
+                here = owner[i:j] >= first
+                held[owner[i:j][here] - first, codes[i:j][here] - low] = 1
+                shared += held[:len(rows)] @ held.T
+            for x in rows.tolist():
+                both = shared[x - first, x + 1 - first:].astype(np.int64)
+                for y in (x + 1 + np.flatnonzero(denominator * both >= numerator * (sizes[x] + sizes[x + 1:] - both))).tolist():
+                    if groups.union(parts[x], parts[y]):
+                        found.append((digests[x], digests[y]))
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
     return join
 
@@ -184,7 +190,7 @@ def _links_across(shared: DataFrame, groups: DataFrame, sets: DataFrame, numerat
     """Links between different components that meet in a bucket.
 
     Classes that such buckets connect form a family. A family is cut into blocks of
-    about ``FAMILY_SHINGLES`` hashes, and each pair of blocks is one group, so no group
+    about ``FAMILY_SHINGLES`` hashes and ``FAMILY_SETS`` sets at most, and each pair of blocks is one group, so no group
     grows with the family.
     """
     members = shared.select("key", "digest", "n").join(groups.withColumnRenamed("id", "digest"), "digest", "left").withColumn(
@@ -196,7 +202,8 @@ def _links_across(shared: DataFrame, groups: DataFrame, sets: DataFrame, numerat
         {"id": "digest", "component": "family"})
     each = cut(members.groupBy("digest").agg(F.any_value("n").alias("n"), F.any_value("component").alias("component")).join(
         families, "digest", "left").withColumn("family", F.coalesce("family", "digest")))
-    blocks = each.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_SHINGLES).cast("int").alias("blocks"))
+    blocks = each.groupBy("family").agg(F.ceil(F.greatest(
+        F.sum("n") / FAMILY_SHINGLES, F.count("*") / FAMILY_SETS)).cast("int").alias("blocks"))
     placed = each.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "digest", "component", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))

@@ -128,12 +128,12 @@ def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return where
 
 
-def chunks(texts: pa.Array):
-    """Slices of the batch of about ``CHUNK_BYTES`` each: ``(first row, last row, raw, ends)``."""
+def chunks(texts: pa.Array, size: int = CHUNK_BYTES):
+    """Slices of the batch of about ``size`` bytes each: ``(first row, last row, raw, ends)``."""
     raw, ends = text_bytes(texts)
     at, n = 0, len(ends) - 1
     while at < n:
-        to = int(np.searchsorted(ends, ends[at] + CHUNK_BYTES, "right")) - 1
+        to = int(np.searchsorted(ends, ends[at] + size, "right")) - 1
         to = min(max(to, at + 1), n)
         yield at, to, raw[ends[at]:ends[to]], ends[at:to + 1] - ends[at]
         at = to

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -97,6 +98,60 @@ def test_large_families_are_compared_in_blocks(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == least_ids(list(range(len(texts))), pairs)
 
 
+def test_families_of_short_sets_are_cut_by_their_number_too(spark, monkeypatch):
+    """A block of a family is bounded in sets, so that many short ones do not meet in one task."""
+    monkeypatch.setattr(minhash, "FAMILY_SETS", 10)
+    texts = [" ".join(random.Random(k).sample("abcdefgh", 6)) for k in range(40)] + ["a b c d e f", "a b c d e f g"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    pairs = [(a, b) for a, b in combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    rows = {x["id"]: x["component_id"] for x in minhash.near_duplicates(docs).collect()}
+    assert [rows[k] for k in range(len(texts))] == least_ids(list(range(len(texts))), pairs)
+    members = [(f"d{k}".encode(), 4, "key") for k in range(45)]
+    shared = spark.createDataFrame([(key, d, n) for d, n, key in members], "key string, digest binary, n bigint")
+    full = spark.createDataFrame([(d, np.arange(4, dtype=np.uint64).tobytes()) for d, *_ in members], "digest binary, members binary")
+    nothing = spark.createDataFrame([], "id binary, component binary")
+    joined = minhash._family_verifier
+    counts = spark.sparkContext.accumulator(0)
+
+    def counting(*args):
+        run = joined(*args)
+
+        def wrapped(table):
+            counts.add(1)
+            return run(table)
+        return wrapped
+
+    monkeypatch.setattr(minhash, "_family_verifier", counting)
+    links = minhash._links_across(shared, nothing, full, 85, 100).collect()
+    assert counts.value > 1 and len({x for link in links for x in (link["a"], link["b"])}) == 45
+
+
+def test_memory_of_a_family_does_not_grow_with_the_square_of_its_sets():
+    sets = [np.unique(np.random.default_rng(k).integers(0, 3000, 5).astype(np.uint64)) for k in range(4000)]
+    sets[7] = sets[3999] = np.arange(5000, 5006, dtype=np.uint64)
+    digests = [b"%05d" % k for k in range(len(sets))]
+    table = pa.table({"digest": digests, "component": digests, "members": [x.tobytes() for x in sets]})
+    tracemalloc.start()
+    links = minhash._family_verifier(85, 100)(table).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    same, want = UnionFind(), UnionFind()
+    for x in links:
+        assert same.union(x["a"], x["b"])
+    held = [set(x.tolist()) for x in sets]
+    by_hash = {}
+    for k, x in enumerate(held):
+        for h in x:
+            by_hash.setdefault(h, []).append(k)
+    for k, x in enumerate(held):
+        for other in {o for h in x for o in by_hash[h] if o > k}:
+            if 100 * len(x & held[other]) >= 85 * len(x | held[other]):
+                want.union(digests[k], digests[other])
+    assert [same.find(d) for d in digests] == [want.find(d) for d in digests] and (b"00007", b"03999") in {(x["a"], x["b"]) for x in links}
+    assert peak < 60e6
+
+
 @pytest.mark.parametrize("per_task", [1_000_000, 3])
 def test_components_of_chains_stars_and_noise(spark, monkeypatch, per_task):
     monkeypatch.setattr("corpusgraph.llm.components.STARS_PER_TASK", per_task)
