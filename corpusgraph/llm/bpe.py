@@ -2,7 +2,6 @@
 
 import base64
 import hashlib
-import json
 from functools import lru_cache
 
 import numpy as np
@@ -63,7 +62,7 @@ def merge_table(path: str) -> tuple[np.ndarray, np.ndarray]:
             cells, free = np.append(cells, np.full(size, NONE)), np.append(free, np.ones(size, bool))
         shift[a] = at
         cells[at + b], free[at + b] = a * 2**BITS + rank, False
-    return shift, cells  # free cells are short in plans, which the driver keeps as text
+    return shift, cells
 
 
 def _free_shift(free: np.ndarray, keys: np.ndarray, shifts: int, random: np.random.Generator) -> int | None:
@@ -77,11 +76,6 @@ def _free_shift(free: np.ndarray, keys: np.ndarray, shifts: int, random: np.rand
     return None
 
 
-def rank_literal(path: str) -> tuple[Column, Column]:
-    """:func:`merge_table` as two literal arrays (parsed once, when the plan is optimized)."""
-    return tuple(F.from_json(F.lit(json.dumps(x.tolist())), "array<bigint>") for x in merge_table(path))
-
-
 def _long(value: int) -> Column:
     return F.lit(value).cast("bigint")
 
@@ -223,7 +217,8 @@ def _deal(shares: int):
 def _distinct(path: str):
     """A share of the words: those that differ as ranks of their bytes, and each block's as numbers of these.
 
-    A word that has a rank itself is listed as that one rank.
+    A word that has a rank itself is listed as that one rank. The rank map (:func:`merge_table`) goes with each share:
+    in the plan the driver would keep its text many times over.
     """
     def listed_once(table: pa.Table) -> pa.Table:
         ranks = read_ranks(path)
@@ -244,8 +239,9 @@ def _distinct(path: str):
             pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.ListArray.from_arrays(
                 pa.array(_offsets(np.where(has, 1, length)), pa.int32()), pa.array(letters[listed]))),
             pa.array([table.column("block").to_pylist()], pa.list_(pa.int64())),
-            pa.array([[_planes(numbers[a:b]) for a, b in zip(place, place[1:])]], pa.list_(pa.binary()))],
-            ["share", "words", "blocks", "numbers"])
+            pa.array([[_planes(numbers[a:b]) for a, b in zip(place, place[1:])]], pa.list_(pa.binary())),
+            *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in merge_table(path))],
+            ["share", "words", "blocks", "numbers", "shift", "cells"])
 
     def run(table: pa.Table) -> pa.Table:
         with giving_back():
@@ -322,12 +318,12 @@ def _coded_words(blocks: DataFrame, shares: int, path: str, kind: str) -> DataFr
     """``block, share, counts, coded``: the ids of each block's words, by share."""
     words = blocks.filter("raw IS NOT NULL").select("block", "raw", "sizes").mapInArrow(_deal(shares), "share bigint, block bigint, raw binary, sizes binary")
     distinct = words.groupBy("share").applyInArrow(
-        _distinct(path), "share bigint, words array<array<bigint>>, blocks array<bigint>, numbers array<binary>")
-    shift, cells = rank_literal(path)
-    border = len(merge_table(path)[0]) - 1
-    # one lambda variable holds the two literals, so that the plan holds them once and not at every look-up
+        _distinct(path), (
+            "share bigint, words array<array<bigint>>, blocks array<bigint>, numbers array<binary>, shift array<bigint>, cells array<bigint>"))
+    border = max(read_ranks(path).values()) + 1
+    # one lambda variable holds the rank map, so that it is read from the row once and not at every look-up
     coded = distinct.select("share", "blocks", "numbers", F.get(F.transform(
-        F.array(F.struct(shift.alias("shift"), cells.alias("cells"))), lambda table: F.transform(
+        F.array(F.struct("shift", "cells")), lambda table: F.transform(
             "words", lambda w: fold_word(w, table["shift"], table["cells"], border))), F.lit(0)).alias("coded"))
     # written, so that a core has one Python worker at a time: first those that list, then those that hand back
     return cut(coded).mapInArrow(_hand_back(kind), "block bigint, share bigint, counts binary, coded binary")
